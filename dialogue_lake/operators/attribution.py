@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import ordered
-from dialogue_lake.operators.intervals import overlap_ms, range_join
+from dialogue_lake.operators.intervals import overlap_ms, range_collect, range_join
 
 
 @dataclass(frozen=True)
@@ -28,90 +28,69 @@ def attribute(
     """Speaker of each span by overlap, then padded overlap, then nearest turn.
 
     ``ids`` identify a span within its meeting. One range join finds every turn close
-    enough for any of the three methods; two aggregations on the span key choose. Turns
+    enough for any of the three methods, and the choice is made on that short array. Turns
     must be exclusive, so at most one turn on either side can be nearest.
     """
-    reach = max(rules.tolerance_ms, rules.nearest_ms)
-    start, end = F.col("start_ms"), F.col("end_ms")
-    ts, te, who = F.col("_ts"), F.col("_te"), F.col("_who")
+    reach, pad = max(rules.tolerance_ms, rules.nearest_ms), rules.tolerance_ms
+    start, end, ts, te = F.col("start_ms"), F.col("end_ms"), F.col("_ts"), F.col("_te")
     point = start == end
-    near = range_join(
-        spans.select("meeting_id", *ids, "start_ms", "end_ms"),
+    near = range_collect(
+        spans,
         turns.select(
-            "meeting_id",
-            F.col("turn_id").alias("_turn"),
-            F.col("speaker_id").alias("_who"),
-            F.col("start_ms").alias("_ts"),
-            F.col("end_ms").alias("_te"),
+            "meeting_id", F.col("turn_id").alias("_turn"), F.col("speaker_id").alias("_who"),
+            F.col("start_ms").alias("_ts"), F.col("end_ms").alias("_te"),
         ),
-        ["meeting_id"],
+        ids,
         (start - reach, end + reach),
         (ts, te),
         (ts <= end + reach) & (te >= start - reach),
+        F.struct(
+            ts.alias("at"),
+            F.col("_who").alias("who"),
+            F.col("_turn").alias("turn_id"),
+            F.when(point, ((ts <= start) & (start < te)).cast("bigint"))
+            .otherwise(overlap_ms(start, end, ts, te)).alias("direct"),
+            (overlap_ms(start - pad, end + pad, ts, te) if pad else F.lit(0).cast("bigint")).alias("padded"),
+            F.greatest(ts - end, start - te, F.lit(0)).alias("gap"),
+        ),
+        "_near",
     )
-    direct = F.when(point, ((ts <= start) & (start < te)).cast("bigint")).otherwise(
-        overlap_ms(start, end, ts, te)
-    )
-    pad = rules.tolerance_ms
-    padded = overlap_ms(start - pad, end + pad, ts, te) if pad else F.lit(0).cast("bigint")
-    gap = F.greatest(ts - end, start - te, F.lit(0))
-    key = ["meeting_id", *ids, "start_ms", "end_ms"]
-    turn = F.struct(ts.alias("at"), F.col("_turn").alias("turn_id"))
-    per_speaker = (
-        near.withColumns({"_ov": direct, "_pov": padded, "_gap": gap})
-        .groupBy(*key, "_who")
-        .agg(
-            F.sum("_ov").alias("ov"),
-            F.min(F.when(F.col("_ov") > 0, ts)).alias("ov_at"),
-            F.array_sort(F.collect_list(F.when(F.col("_ov") > 0, turn))).alias("ov_turns"),
-            F.sum("_pov").alias("pov"),
-            F.min(F.when(F.col("_pov") > 0, ts)).alias("pov_at"),
-            F.array_sort(F.collect_list(F.when(F.col("_pov") > 0, turn))).alias("pov_turns"),
-            F.min(F.struct("_gap", ts.alias("at"), F.col("_turn").alias("turn_id"))).alias("close"),
-        )
-    )
-    only_near = F.lit(rules.nearest_ms > 0) & (F.col("close._gap") <= rules.nearest_ms)
-    chosen = per_speaker.groupBy(*key).agg(
-        F.min(
-            F.when(F.col("ov") > 0, F.struct((-F.col("ov")).alias("m"), "ov_at", "_who", "ov_turns"))
-        ).alias("a"),
-        F.min(
-            F.when(
-                F.col("pov") > 0, F.struct((-F.col("pov")).alias("m"), "pov_at", "_who", "pov_turns")
-            )
-        ).alias("b"),
-        F.min(
-            F.when(only_near, F.struct("close._gap", "close.at", "_who", "close.turn_id"))
-        ).alias("c"),
-    )
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    ids_of = lambda turns_column: F.transform(turns_column, lambda t: t["turn_id"])
-    found = chosen.select(
-        "meeting_id",
-        *ids,
-        F.coalesce(a["_who"], b["_who"], c["_who"]).alias("speaker_id"),
-        F.when(a.isNotNull(), "overlap")
-        .when(b.isNotNull(), "tolerance")
-        .when(c.isNotNull(), "nearest")
-        .alias("method"),
-        F.when(
-            a.isNotNull() & (F.col("end_ms") > F.col("start_ms")),
-            F.least(F.lit(1.0), -a["m"] / (F.col("end_ms") - F.col("start_ms"))),
-        ).alias("_fraction"),
-        F.when(a.isNotNull(), ids_of(a["ov_turns"]))
-        .when(b.isNotNull(), ids_of(b["pov_turns"]))
-        .when(c.isNotNull(), F.array(c["turn_id"]))
-        .alias("source_turn_ids"),
-    )
+
+    def most(field: str) -> Column:
+        """Speaker with the largest total; ties go to the earliest turn, then the label."""
+        hits = F.filter("_near", lambda t: t[field] > 0)
+        total = lambda who: F.aggregate(
+            hits, F.lit(0).cast("bigint"),
+            lambda sum_, t: sum_ + F.when(t["who"] == who, t[field]).otherwise(0))
+        ranked = F.transform(
+            hits, lambda t: F.struct((-total(t["who"])).alias("m"), t["at"].alias("at"), t["who"].alias("who")))
+        return F.array_min(ranked)
+
+    def turns_of(field: str, who: Column) -> Column:
+        mine = F.filter("_near", lambda t: (t[field] > 0) & (t["who"] == who))
+        return F.transform(mine, lambda t: t["turn_id"])
+
+    close = F.filter("_near", lambda t: F.lit(rules.nearest_ms > 0) & (t["gap"] <= rules.nearest_ms))
+    nearest = F.array_min(F.transform(
+        close, lambda t: F.struct(t["gap"].alias("gap"), t["at"].alias("at"), t["who"].alias("who"), t["turn_id"].alias("turn_id"))))
+    a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
     return (
-        spans.join(found, ["meeting_id", *ids], "left")
-        .withColumn("method", F.coalesce("method", F.lit("unknown")))
+        near.withColumns({"_a": most("direct"), "_b": most("padded"), "_c": nearest})
+        .withColumn("speaker_id", F.coalesce(a["who"], b["who"], c["who"]))
+        .withColumn(
+            "method",
+            F.when(a.isNotNull(), "overlap").when(b.isNotNull(), "tolerance")
+            .when(c.isNotNull(), "nearest").otherwise("unknown"))
         .withColumn(
             "overlap_fraction",
-            F.when(F.col("end_ms") > F.col("start_ms"), F.coalesce("_fraction", F.lit(0.0))),
-        )
-        .withColumn("source_turn_ids", F.coalesce("source_turn_ids", F.array().cast("array<string>")))
-        .drop("_fraction")
+            F.when(~point, F.when(a.isNotNull(), F.least(F.lit(1.0), -a["m"] / (end - start))).otherwise(0.0)))
+        .withColumn(
+            "source_turn_ids",
+            F.when(a.isNotNull(), turns_of("direct", a["who"]))
+            .when(b.isNotNull(), turns_of("padded", b["who"]))
+            .when(c.isNotNull(), F.array(c["turn_id"]))
+            .otherwise(F.array().cast("array<string>")))
+        .drop("_near", "_a", "_b", "_c")
     )
 
 
@@ -134,18 +113,17 @@ def attribute_wordless_segments(
 def flag_overlap(spans: DataFrame, regions: DataFrame, ids: list[str]) -> DataFrame:
     """Does the span touch any overlap region; a point uses half-open containment."""
     start, end, rs, re = F.col("start_ms"), F.col("end_ms"), F.col("_rs"), F.col("_re")
-    touching = range_join(
-        spans.select("meeting_id", *ids, "start_ms", "end_ms"),
+    touching = range_collect(
+        spans,
         regions.select("meeting_id", F.col("start_ms").alias("_rs"), F.col("end_ms").alias("_re")),
-        ["meeting_id"],
+        ids,
         (start, end),
         (rs, re),
         F.when(start == end, (rs <= start) & (start < re)).otherwise((rs < end) & (re > start)),
+        rs,
+        "_hits",
     )
-    hits = touching.select("meeting_id", *ids).distinct().withColumn("overlap_present", F.lit(True))
-    return spans.join(hits, ["meeting_id", *ids], "left").withColumn(
-        "overlap_present", F.coalesce("overlap_present", F.lit(False))
-    )
+    return touching.withColumn("overlap_present", F.size("_hits") > 0).drop("_hits")
 
 
 def assemble_utterances(

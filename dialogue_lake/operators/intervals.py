@@ -48,6 +48,44 @@ def range_join(
     )
 
 
+def range_collect(
+    left: DataFrame,
+    right: DataFrame,
+    ids: Sequence[str],
+    left_span: tuple[Column, Column],
+    right_span: tuple[Column, Column],
+    condition: Column,
+    value: Column,
+    out: str,
+    width: int = BIN_MS,
+) -> DataFrame:
+    """Every left row with the sorted array of ``value`` over its matching right rows.
+
+    For short spans with few matches each. ``ids`` identify a left row within its
+    meeting; ``right`` is joined on ``meeting_id``. One join and one aggregation replace
+    the usual join, aggregation and join back.
+    """
+    key = ["meeting_id", *ids]
+    rest = [c for c in left.columns if c not in key]
+    a = left.withColumn("_la", F.floor(left_span[0] / F.lit(width)).cast("bigint")).withColumn(
+        "_bin", F.explode(_bins(*left_span, width))
+    )
+    b = right.withColumn("_rb", F.floor(right_span[0] / F.lit(width)).cast("bigint")).withColumn(
+        "_bin", F.explode(_bins(*right_span, width))
+    )
+    joined = a.join(b, ["meeting_id", "_bin"], "left")
+    match = (F.col("_bin") == F.greatest("_la", "_rb")) & condition
+    return (
+        joined.groupBy(*key)
+        .agg(
+            F.first(F.struct(*rest)).alias("_rest"),
+            F.array_sort(F.collect_list(F.when(match, value))).alias(out),
+        )
+        .select(*key, "_rest.*", out)
+        .select(*left.columns, out)
+    )
+
+
 def overlap_ms(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2)).cast("bigint")
 

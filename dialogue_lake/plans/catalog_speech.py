@@ -363,8 +363,8 @@ _tests = {
     "unmapped": "state = 'UNMAPPED_SECONDARY'",
 }
 _sums = ", ".join(
-    f"coalesce(least(1.0::DOUBLE, CAST(coalesce(sum(ms) FILTER (WHERE {t}), 0) AS DOUBLE) / nullif(k.end_ms - k.start_ms, 0)),"
-    f" 0.0) AS {n}_fraction" for n, t in _tests.items())
+    f"CASE WHEN k.end_ms > k.start_ms THEN least(1.0::DOUBLE, CAST(coalesce(sum(ms) FILTER (WHERE {t}), 0) AS DOUBLE)"
+    f" / (k.end_ms - k.start_ms)) ELSE 0.0::DOUBLE END AS {n}_fraction" for n, t in _tests.items())
 view("v_wm", MEASURE.format(ids="k.segment_id, k.word_index", using="segment_id, word_index", src="v_at", sums=_sums))
 view("v_um", MEASURE.format(ids="k.utterance_id", using="utterance_id", src="v_utt", sums=_sums))
 view("v_wsole", """SELECT meeting_id, segment_id, word_index, arg_min(sole, (-ms, sole)) AS secondary_speaker FROM (
@@ -440,8 +440,9 @@ def _(v):
         "meeting_id", "agree_ms", "total_ms", "speech_ms", "overlap_ms", "agreement_fraction")
 
 
-@query("e08_word_status", """SELECT meeting_id, status, count(*) AS words,
-    round(count(*) / sum(count(*)) OVER (PARTITION BY meeting_id), 6) AS fraction FROM v_wr GROUP BY ALL""")
+@query("e08_word_status", """SELECT meeting_id, status, words,
+    round(words / sum(words) OVER (PARTITION BY meeting_id), 6) AS fraction
+    FROM (SELECT meeting_id, status, count(*) AS words FROM v_wr GROUP BY ALL)""")
 def _(v):
     from dialogue_lake.operators import metrics
 
