@@ -11,3 +11,13 @@ def status_shares(words: DataFrame) -> DataFrame:
     # Three statuses at most per meeting remain here.
     total = F.sum("words").over(Window.partitionBy("meeting_id"))
     return counts.withColumn("fraction", F.round(F.col("words") / total, 6))
+
+
+def retrieval_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Recall at 1, 3 and 5 and mean reciprocal rank of the expected entry."""
+    right = hits.withColumnRenamed("entry_id", "expected")
+    ranked = cases.select("case_id", "expected").join(right, ["case_id", "expected"], "left")
+    at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_at_{k}")
+    return ranked.agg(
+        F.count(F.lit(1)).alias("cases"), at(1), at(3), at(5),
+        F.round(F.avg(F.when(F.col("rank").isNotNull(), 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"))
