@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogue_lake.functions import fixed_values as fixed
+from dialogue_lake.functions import text as tx
+from dialogue_lake.functions.similarity import word_edit_distance
+from dialogue_lake.operators.lookup import spread_join
+
 
 def status_shares(words: DataFrame) -> DataFrame:
     counts = words.groupBy("meeting_id", "status").agg(F.count(F.lit(1)).alias("words"))
@@ -21,3 +26,218 @@ def retrieval_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     return ranked.agg(
         F.count(F.lit(1)).alias("cases"), at(1), at(3), at(5),
         F.round(F.avg(F.when(F.col("rank").isNotNull(), 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"))
+
+
+def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
+    """Precision, recall and F1; null where the denominator is empty."""
+    rounded = lambda a, b, name: F.round(F.try_divide(a, b), 6).alias(name)
+    return [rounded(tp, tp + fp, "precision"), rounded(tp, tp + fn, "recall"), rounded(2 * tp, 2 * tp + fp + fn, "f1")]
+
+
+def stratified_accuracy(probes: DataFrame) -> DataFrame:
+    """Accuracy of two attributions per agreement stratum.
+
+    ``probes``: ``text, truth_id, primary_id, secondary_id, primary_truth, secondary_truth,
+    mapped_secondary, agreement``; one probe belongs to several strata.
+    """
+    scored = probes.filter(F.col("truth_id").isNotNull())
+    tier = F.when(F.col("agreement") >= 0.90, "high").when(F.col("agreement") >= 0.65, "medium").otherwise("low")
+    pair = (
+        F.when(F.col("primary_id").isNull() | F.col("mapped_secondary").isNull(), "one_sided_or_ambiguous")
+        .when(F.col("primary_id") == F.col("mapped_secondary"), "labels_agree").otherwise("labels_disagree"))
+    spoken = F.lower(F.regexp_replace("text", r"^[ .,!?;]+|[ .,!?;]+$", ""))
+    groups = F.array_compact(F.array(
+        F.lit("all"), tier, pair, F.when(spoken.isin(fixed.INTERJECTIONS), F.lit("interjections"))))
+    right = lambda c: F.coalesce(F.col(c) == F.col("truth_id"), F.lit(False))
+    rows = scored.select(
+        F.explode(groups).alias("stratum"), right("primary_truth").alias("p"), right("secondary_truth").alias("s"),
+        F.col("primary_id").isNull().alias("np"), F.col("secondary_id").isNull().alias("ns"))
+    n = F.count(F.lit(1))
+    return rows.groupBy("stratum").agg(
+        n.alias("words"), F.count_if("p").alias("primary_correct"), F.count_if("s").alias("secondary_correct"),
+        F.count_if("np").alias("primary_unattributed"), F.count_if("ns").alias("secondary_unattributed"),
+        F.round(F.count_if("p") / n, 6).alias("primary_accuracy"), F.round(F.count_if("s") / n, 6).alias("secondary_accuracy"))
+
+
+def diarization_error(cells: DataFrame, mapping: DataFrame, verified: DataFrame) -> DataFrame:
+    """Missed, false and confused speech over elementary cells, and the error rate.
+
+    ``cells``: ``truth`` and ``model`` speaker arrays; ``mapping``: ``model_id, truth_id``;
+    only verified references yield a rate. DER = (miss + false alarm + confusion) / truth.
+    """
+    per_meeting = mapping.filter(F.col("truth_id").isNotNull()).groupBy("meeting_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("model_id", "truth_id"))).alias("_m"))
+    rows = spread_join(cells, per_meeting, ["meeting_id"], F.col("start_ms"))
+    mapped = F.filter(F.transform("model", lambda s: F.try_element_at("_m", s)), lambda x: x.isNotNull())
+    right = F.coalesce(F.size(F.array_intersect("truth", mapped)), F.lit(0))
+    ms, n_ref, n_hyp = F.col("end_ms") - F.col("start_ms"), F.size("truth"), F.size("model")
+    rows = rows.select(
+        "meeting_id", (ms * n_ref).alias("truth_ms"), (ms * F.greatest(F.lit(0), n_ref - n_hyp)).alias("miss_ms"),
+        (ms * F.greatest(F.lit(0), n_hyp - n_ref)).alias("false_ms"), (ms * (F.least(n_ref, n_hyp) - right)).alias("confusion_ms"))
+    sums = rows.groupBy("meeting_id").agg(*[F.sum(c).alias(c) for c in ("truth_ms", "miss_ms", "false_ms", "confusion_ms")])
+    wrong = F.col("miss_ms") + F.col("false_ms") + F.col("confusion_ms")
+    return sums.join(verified, "meeting_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False))).withColumn(
+        "der", F.when(F.col("verified"), F.round(F.try_divide(wrong, F.col("truth_ms")), 6))).withColumn(
+        "reason", F.when(~F.col("verified"), "no_verified_reference"))
+
+
+def jaccard_error(cells: DataFrame, mapping: DataFrame, verified: DataFrame) -> DataFrame:
+    """Mean over truth speakers of 1 - |truth and model| / |truth or model|, in time."""
+    ms = F.col("end_ms") - F.col("start_ms")
+    truth = cells.select("meeting_id", "start_ms", ms.alias("ms"), F.explode("truth").alias("truth_id"), "model")
+    model = cells.select("meeting_id", "start_ms", ms.alias("ms"), F.explode("model").alias("model_id"), "truth")
+    pairs = mapping.filter(F.col("truth_id").isNotNull())
+    total = truth.groupBy("meeting_id", "truth_id").agg(F.sum("ms").alias("t_ms"))
+    spoken = model.groupBy("meeting_id", "model_id").agg(F.sum("ms").alias("m_ms"))
+    shared = truth.select("meeting_id", "ms", "truth_id", F.explode("model").alias("model_id")).groupBy(
+        "meeting_id", "truth_id", "model_id").agg(F.sum("ms").alias("both_ms"))
+    rows = total.join(pairs, ["meeting_id", "truth_id"], "left").join(spoken, ["meeting_id", "model_id"], "left").join(
+        shared, ["meeting_id", "truth_id", "model_id"], "left")
+    both, m_ms = F.coalesce("both_ms", F.lit(0)), F.coalesce("m_ms", F.lit(0))
+    error = 1 - both / (F.col("t_ms") + m_ms - both)
+    means = rows.groupBy("meeting_id").agg(F.round(F.avg(error), 6).alias("_jer"))
+    return means.join(verified, "meeting_id", "left").select("meeting_id", F.when(F.coalesce("verified", F.lit(False)), F.col("_jer")).alias("jer"))
+
+
+def word_error_rate(pairs: DataFrame) -> DataFrame:
+    """Token errors of each (reference, hypothesis) text pair; null rate when undefined."""
+    ref, hyp = tx.wer_tokens(F.col("reference")), tx.wer_tokens(F.col("hypothesis"))
+    rows = pairs.withColumns({"_r": ref, "_h": hyp}).withColumn("word_errors", word_edit_distance("_r", "_h"))
+    n, m = F.size("_r"), F.size("_h")
+    rate = F.when(n > 0, F.round(F.col("word_errors") / n, 6)).when(m == 0, 0.0)
+    return rows.withColumns({"reference_words": n.cast("bigint"), "hypothesis_words": m.cast("bigint"), "wer": rate}).drop("_r", "_h")
+
+
+def term_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Occurrence precision and recall; ``counts`` has ``expected`` and ``found`` per term."""
+    hit = F.sum(F.least("expected", "found"))
+    extra = F.sum(F.greatest(F.lit(0), F.col("found") - F.col("expected")))
+    grouped = counts.groupBy(*keys) if keys else counts.groupBy()
+    rows = grouped.agg(hit.alias("true_terms"), extra.alias("false_terms"), F.sum("expected").alias("reference_terms"), F.sum("found").alias("predicted_terms"))
+    precision, recall = F.try_divide("true_terms", "predicted_terms"), F.try_divide("true_terms", "reference_terms")
+    return rows.withColumns({
+        "precision": F.round(precision, 6), "recall": F.round(recall, 6),
+        "f1": F.round(F.try_divide(2 * precision * recall, precision + recall), 6)})
+
+
+def edit_metrics(cases: DataFrame) -> DataFrame:
+    """``cases``: ``expected_action, action, applied, correct, protected_changed``."""
+    replace = F.col("expected_action") == "REPLACE"
+    tp, predicted = F.count_if(F.col("correct")), F.count_if(F.col("applied"))
+    positives, negatives = F.count_if(replace), F.count_if(~replace)
+    p, r = F.try_divide(tp, predicted), F.try_divide(tp, positives)
+    rate = lambda a: F.round(F.try_divide(
+        F.count_if((F.col("expected_action") == a) & (F.col("action") == a)), F.count_if(F.col("expected_action") == a)), 6).alias(f"{a.lower()}_rate")
+    meaning = F.count_if(F.col("applied") & ~F.col("correct"))
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
+        F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"),
+        F.round(F.try_divide(F.count_if(F.col("applied") & ~replace), negatives), 6).alias("false_correction_rate"),
+        rate("KEEP"), rate("REPLACE"), rate("UNCERTAIN"), F.count_if("protected_changed").alias("protected_changes"),
+        F.round(F.coalesce(F.try_divide(meaning, predicted), F.lit(0.0)), 6).alias("meaning_changing_rate"))
+
+
+def match_gold(outputs: DataFrame, gold: DataFrame) -> DataFrame:
+    """Outputs in order take the first unused gold row whose keywords they contain.
+
+    ``outputs``: ``case_id, item_no, tokens``; ``gold``: ``case_id, gold_no, keywords``. A
+    case is one short labelled conversation. Candidate pairs are found by joining on the
+    first keyword of a gold row, and only they are folded.
+    """
+    words = outputs.select("case_id", "item_no", "tokens", F.explode(F.array_distinct("tokens")).alias("_w"))
+    firsts = gold.select("case_id", "gold_no", "keywords", F.explode(F.array_distinct(F.col("keywords")[0])).alias("_w"))
+    fits = words.join(firsts, ["case_id", "_w"]).filter(tx.keyword_match(F.col("tokens"), F.col("keywords"))).select(
+        "case_id", "item_no", "gold_no").distinct()
+    options = fits.groupBy("case_id", "item_no").agg(F.array_sort(F.collect_list("gold_no")).alias("g"))
+    per_case = options.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "g"))).alias("_o"))
+
+    def take(done: Column, o: Column) -> Column:
+        free = F.filter(o["g"], lambda g: ~F.exists(done, lambda d: d["gold_no"] == g))
+        return F.when(F.size(free) > 0, F.concat(done, F.array(F.struct(o["item_no"].alias("item_no"), F.get(free, F.lit(0)).alias("gold_no"))))).otherwise(done)
+
+    empty = F.expr("cast(array() as array<struct<item_no:bigint,gold_no:bigint>>)")
+    return per_case.select("case_id", F.inline(F.aggregate("_o", empty, take)))
+
+
+def extraction_metrics(outputs: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:
+    """Precision, recall and evidence agreement of matched claims per section."""
+    n_out = outputs.groupBy("section").agg(F.count(F.lit(1)).alias("outputs"))
+    n_gold = gold.groupBy("section").agg(F.count(F.lit(1)).alias("gold"))
+    rows = matches.join(outputs.select("case_id", "item_no", "section", F.col("evidence_ids").alias("_c"), F.col("owner").alias("_o")), ["case_id", "item_no"]).join(
+        gold.select("case_id", "gold_no", F.col("evidence_ids").alias("_e"), F.col("owner").alias("_g")), ["case_id", "gold_no"])
+    hit = rows.groupBy("section").agg(
+        F.count(F.lit(1)).alias("tp"), F.sum(F.size(F.array_intersect("_c", "_e"))).alias("_s"), F.sum(F.size("_c")).alias("_cited"),
+        F.sum(F.size("_e")).alias("_expected"), F.count_if(F.col("_o").eqNullSafe(F.col("_g"))).alias("_owner"))
+    joined = n_gold.join(n_out, "section", "full").join(hit, "section", "left").na.fill(0)
+    tp, fp, fn = F.col("tp"), F.col("outputs") - F.col("tp"), F.col("gold") - F.col("tp")
+    return joined.select(
+        "section", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn),
+        F.round(F.try_divide("_owner", "tp"), 6).alias("owner_accuracy"),
+        F.round(F.try_divide("_s", "_cited"), 6).alias("support_precision"), F.round(F.try_divide("_s", "_expected"), 6).alias("support_recall"))
+
+
+def set_scores(expected: DataFrame, observed: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Per-class and micro scores of two label sets; both empty counts as perfect."""
+    a = expected.select(*keys, label).distinct().withColumn("_e", F.lit(1))
+    b = observed.select(*keys, label).distinct().withColumn("_o", F.lit(1))
+    rows = a.join(b, [*keys, label], "full").select(label, F.coalesce("_e", F.lit(0)).alias("e"), F.coalesce("_o", F.lit(0)).alias("o"))
+    both = rows.withColumn("class", F.explode(F.array(F.col(label), F.lit("(micro)"))))
+    sums = both.groupBy("class").agg(F.sum("e").alias("expected"), F.sum("o").alias("observed"), F.sum(F.col("e") * F.col("o")).alias("correct"))
+    p = F.coalesce(F.try_divide("correct", "observed"), (F.col("expected") == 0).cast("double"))
+    r = F.coalesce(F.try_divide("correct", "expected"), (F.col("observed") == 0).cast("double"))
+    return sums.withColumns({
+        "precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6)})
+
+
+def calibration_bins(predictions: DataFrame) -> DataFrame:
+    """Ten bins of the chosen probability: ``p`` and ``right``."""
+    n = F.count(F.lit(1))
+    return predictions.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("bigint").alias("bin")).agg(
+        n.alias("count"), F.round(F.avg("p"), 6).alias("mean_probability"), F.round(F.avg(F.col("right").cast("double")), 6).alias("accuracy"))
+
+
+def calibration(predictions: DataFrame) -> DataFrame:
+    """Multiclass Brier score and expected calibration error.
+
+    ``predictions``: ``gold, choice, p`` and the ``probabilities`` map of all labels.
+    """
+    brier = F.aggregate(
+        F.map_entries("probabilities"), F.lit(0.0),
+        lambda s, e: s + F.pow(e["value"] - (e["key"] == F.col("gold")).cast("double"), 2))
+    rows = predictions.withColumn("_b", brier).withColumn("right", F.col("choice") == F.col("gold"))
+    bins = rows.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mp"), F.avg(F.col("right").cast("double")).alias("acc"), F.sum("_b").alias("b"),
+        F.count_if("right").alias("ok"))
+    n = F.sum("n")
+    return bins.agg(
+        n.alias("samples"), F.round(F.sum("b") / n, 6).alias("brier"), F.round(F.sum(F.col("n") * F.abs(F.col("mp") - F.col("acc"))) / n, 6).alias("ece"),
+        F.round(F.sum("ok") / n, 6).alias("argmax_accuracy"))
+
+
+def call_usage(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Latency, retries and tokens; the token sum is null if any call lacks its own."""
+    return calls.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("latency_ms").alias("latency_ms"), F.count_if("retry").alias("retries"),
+        F.when(F.count(F.lit(1)) == F.count("tokens"), F.sum("tokens")).alias("tokens"))
+
+
+def evolution_scores(states: DataFrame, gold: DataFrame) -> DataFrame:
+    """Do the current and the historical decisions of a case equal the labelled ones?
+
+    Both have ``case_id, unit_id, state``; sets are compared by counting, not collecting.
+    """
+    both = states.select("case_id", "unit_id", "state", F.lit(1).alias("_s")).join(
+        gold.select("case_id", "unit_id", "state", F.lit(1).alias("_g")), ["case_id", "unit_id", "state"], "full")
+    differs = lambda s: F.count_if((F.col("state") == s) & (F.col("_s").isNull() | F.col("_g").isNull())) == 0
+    return both.groupBy("case_id").agg(differs("current_decision").alias("final_correct"), differs("historical").alias("supersession_correct"))
+
+
+def diagnostics_report(turns: DataFrame, exclusive: DataFrame, info: DataFrame, regions: DataFrame, durations: DataFrame) -> DataFrame:
+    """One row per meeting: speakers, turns, words by method, regions."""
+    t = turns.groupBy("meeting_id").agg(F.count_distinct("speaker_id").alias("detected_speakers"), F.count(F.lit(1)).alias("regular_turns"))
+    e = exclusive.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("exclusive_turns"))
+    r = regions.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("overlap_regions"))
+    out = durations.join(info, "meeting_id", "left")
+    for part in (t, e, r):
+        out = out.join(part, "meeting_id", "left")
+    return out.na.fill(0, ["detected_speakers", "regular_turns", "exclusive_turns", "overlap_regions"])

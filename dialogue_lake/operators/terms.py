@@ -6,7 +6,6 @@ import math
 import sys
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -157,6 +156,9 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
         T.StructField("normalized", T.StringType()), T.StructField("variant_normalized", T.StringType()),
         T.StructField("lexical", T.DoubleType()), T.StructField("phonetic", T.DoubleType())])
     out = None
+    # The texts are few bytes but much work: adaptive coalescing would put them in one task.
+    width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = distinct_spans.select("normalized").repartition(width, "normalized")
     for number in range(passes):
         names = sorted(r[0] for r in spread.filter(F.col("_pass") == number).select("variant_normalized").toLocalIterator())
         if not names:
@@ -166,45 +168,33 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
         def compare(batches, shared=shared):
             names = shared.value
             plain = VariantTable(names)
-            tokens = VariantTable([token_sorted(n) for n in names])
             codes = [metaphone_of(n.replace(" ", "")) for n in names]
-            sounds = VariantTable(codes)
-            has_code = np.array([bool(c) for c in codes])
+            sounding = [i for i, c in enumerate(codes) if c]
+            sounds = VariantTable([codes[i] for i in sounding])
+            heard: dict[str, list[int]] = {}
             for batch in batches:
                 rows = []
                 for text in batch["normalized"]:
-                    lexical = np.zeros(len(names))
                     at, ratio = plain.ratios(text, ratio_floor)
-                    if len(at):
-                        sorted_ratio = np.zeros(len(names))
-                        t_at, t_ratio = tokens.ratios(token_sorted(text))
-                        sorted_ratio[t_at] = t_ratio
-                        lexical[at] = 0.75 * ratio + 0.25 * sorted_ratio[at]
+                    close = set(at[ratio >= ratio_floor - 1e-9].tolist())
                     code = metaphone_of(text.replace(" ", ""))
-                    phonetic = np.zeros(len(names))
-                    if code:
-                        s_at, s_ratio = sounds.ratios(code, phonetic_floor)
-                        phonetic[s_at] = s_ratio
-                        phonetic[~has_code] = 0.0
-                    for i in np.flatnonzero((lexical >= lexical_floor) | (phonetic >= phonetic_floor)):
-                        rows.append((text, names[i]))
-                yield _scored(rows)
-
-        part = distinct_spans.select("normalized").mapInPandas(compare, schema)
+                    if code and code not in heard:
+                        at, ratio = sounds.ratios(code, phonetic_floor)
+                        heard[code] = [sounding[i] for i in at[ratio >= phonetic_floor - 1e-9]]
+                    close.update(heard.get(code, ()))
+                    for i in sorted(close):
+                        lexical = 0.75 * indel_ratio_of(text, names[i]) + 0.25 * indel_ratio_of(
+                            token_sorted(text), token_sorted(names[i]))
+                        phonetic = indel_ratio_of(code, codes[i]) if code else 0.0
+                        if lexical >= lexical_floor or phonetic >= phonetic_floor:
+                            rows.append((text, names[i], lexical, phonetic))
+                yield pd.DataFrame(rows, columns=["normalized", "variant_normalized", "lexical", "phonetic"])
+
+        part = tasks.mapInPandas(compare, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scored(rows: list[tuple[str, str]]) -> pd.DataFrame:
-    """Exact scores of the close pairs (a pair near one floor needs both numbers)."""
-    out = []
-    for a, b in rows:
-        lexical = 0.75 * indel_ratio_of(a, b) + 0.25 * indel_ratio_of(token_sorted(a), token_sorted(b))
-        x, y = metaphone_of(a.replace(" ", "")), metaphone_of(b.replace(" ", ""))
-        out.append((a, b, lexical, indel_ratio_of(x, y) if x else 0.0))
-    return pd.DataFrame(out, columns=["normalized", "variant_normalized", "lexical", "phonetic"])
-
-
 def candidate_pairs(spans: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:
     """Shortlist: close forms for ordinary spans, equal forms for digits and short ones.
 

@@ -117,8 +117,8 @@ def _(v):
 
 @query("j05_refine_requests", """SELECT meeting_id, utt_idx, count(DISTINCT grounding_id) AS n_records, count(*) AS n_candidates,
     any_value(near) AS n_neighbours FROM v_cand JOIN (SELECT meeting_id, utt_idx,
-      CASE WHEN greatest(start_ms - lag(end_ms) OVER w, 0) <= 5000 THEN 1 ELSE 0 END
-      + CASE WHEN greatest(lead(start_ms) OVER w - end_ms, 0) <= 5000 THEN 1 ELSE 0 END AS near
+      CASE WHEN start_ms - lag(end_ms) OVER w <= 5000 THEN 1 ELSE 0 END
+      + CASE WHEN lead(start_ms) OVER w - end_ms <= 5000 THEN 1 ELSE 0 END AS near
       FROM v_u WINDOW w AS (PARTITION BY meeting_id ORDER BY utt_idx)) USING (meeting_id, utt_idx) WHERE rank <= 3 GROUP BY ALL""")
 def _(v):
     return ed.refine_requests(v.utterances, candidates(v)).select("meeting_id", "utt_idx", "n_records", "n_candidates", "n_neighbours")
@@ -194,8 +194,8 @@ def _(v):
     return cl.claim_violations(v.items, v.utterances)
 
 
-@query("c18_evidence_review", """SELECT meeting_id, item_id FROM v_it WHERE len(evidence_ids) = 0 OR len(list_filter(evidence_ids,
-    lambda e: e NOT LIKE 'utt_000%')) > 0""")
+@query("c18_evidence_review", """SELECT DISTINCT meeting_id, item_id FROM (SELECT meeting_id, item_id, unnest(evidence_ids) AS e FROM v_it)
+    WHERE (meeting_id, e) NOT IN (SELECT (meeting_id, utterance_id) FROM v_u)""")
 def _(v):
     from dialogue_lake.operators import validate
 

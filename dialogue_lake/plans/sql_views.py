@@ -152,6 +152,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Put the views a statement needs in front of it, each after those it uses."""
     known = {**VIEWS, **(extra or {})}
     needed: list[str] = []
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
 
     def visit(sql: str) -> None:
         for name in re.findall(r"\bv_[a-z0-9_]+\b", sql):

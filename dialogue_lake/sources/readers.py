@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SCHEMA_VERSION = "1.0"
+BAD = "_bad"
+
+ASR_SCHEMA = (
+    "meeting_id BIGINT, chunk BIGINT, offset_ms BIGINT, duration DOUBLE, text STRING, language STRING, "
+    "language_probability DOUBLE, segments ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, avg_logprob: DOUBLE, "
+    "no_speech_prob: DOUBLE, compression_ratio: DOUBLE>>, words ARRAY<STRUCT<word: STRING, start: DOUBLE, end: DOUBLE>>"
+)
+GLOSSARY_SCHEMA = (
+    "id STRING, canonical STRING, category STRING, domain STRING, description STRING, aliases ARRAY<STRING>, "
+    "asr_aliases ARRAY<STRING>, ambiguous_aliases ARRAY<STRING>, symbols ARRAY<STRING>, acronym_expansion STRING, "
+    "source STRING, priority DOUBLE, requires_context BOOLEAN, safe_normalization BOOLEAN, sense STRING"
+)
+MEDIA_SCHEMA = (
+    "streams ARRAY<STRUCT<`index`: INT, codec_type: STRING, codec_name: STRING, sample_rate: STRING, channels: INT, "
+    "bits_per_sample: INT, duration: STRING, duration_ts: BIGINT, time_base: STRING, disposition: STRUCT<`default`: INT>>>, "
+    "format STRUCT<format_name: STRING, duration: STRING>"
+)
 
 
 def name_entries(names: DataFrame) -> DataFrame:
@@ -16,3 +36,153 @@ def name_entries(names: DataFrame) -> DataFrame:
         F.concat(F.lit("meeting."), F.substring(F.sha2(F.concat("kind", "name"), 256), 1, 20)).alias("entry_id"),
         F.col("name").alias("canonical"), F.col("kind").alias("category"), F.lit("meeting").alias("scope"),
         F.lit(1.0).alias("priority"))
+
+
+def read_stage(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
+    """Saved stage rows as JSON lines, and the lines that are not exactly of the schema.
+
+    A row must parse, have no missing or unknown top-level field, and schema version 1.0.
+    """
+    fields = F.array(*[F.lit(f.name) for f in schema.fields])
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    rows = spark.read.text(path).withColumn(
+        "_row", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    keys = F.json_object_keys("value")
+    strict = (
+        F.col(f"_row.{BAD}").isNull() & keys.isNotNull() & (F.size(F.array_except(keys, fields)) == 0)
+        & (F.size(F.array_except(fields, keys)) == 0))
+    if "schema_version" in schema.names:
+        strict = strict & (F.col("_row.schema_version") == SCHEMA_VERSION)
+    marked = rows.withColumn("_ok", F.coalesce(strict, F.lit(False)))
+    good = marked.filter("_ok").select(*[F.col("_row")[n].alias(n) for n in schema.names])
+    return good, marked.filter("NOT _ok").select(F.col("value").alias("line"))
+
+
+def scan_asr_responses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved recogniser answers (one JSON object per chunk) as segments, words, violations.
+
+    Times are shifted by the chunk offset and become whole milliseconds.
+    """
+    return explode_asr(spark.read.schema(ASR_SCHEMA).json(path))
+
+
+def explode_asr(chunks: DataFrame, chunk_seconds: float = 600.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    key = ["meeting_id", "chunk"]
+    at = lambda seconds: (F.round(seconds * 1000) + F.col("offset_ms")).cast("bigint")
+    segments = chunks.select(*key, "offset_ms", F.posexplode("segments").alias("seg_no", "s")).select(
+        *key, F.col("seg_no").cast("bigint").alias("seg_no"), at(F.col("s.start")).alias("start_ms"), at(F.col("s.end")).alias("end_ms"),
+        F.col("s.text").alias("text"), F.col("s.avg_logprob").alias("avg_logprob"))
+    words = chunks.select(*key, "offset_ms", F.posexplode("words").alias("word_no", "w")).select(
+        *key, F.col("word_no").cast("bigint").alias("word_no"), at(F.col("w.start")).alias("start_ms"), at(F.col("w.end")).alias("end_ms"),
+        F.col("w.word").alias("text"))
+    length = F.coalesce(F.col("chunk_seconds") if "chunk_seconds" in chunks.columns else F.lit(None), F.lit(chunk_seconds))
+
+    def unordered(name: str) -> Column:
+        starts = F.transform(name, lambda x: x["start"])
+        return F.coalesce(F.array_sort(starts) != starts, F.lit(False))
+
+    spoken = F.trim("text") != ""
+    rules = F.array_compact(F.array(
+        F.when(F.abs(F.col("duration") - length) > F.greatest(F.lit(1.0), length * 0.02), "wrong_duration"),
+        F.when(spoken & (F.coalesce(F.size("segments"), F.lit(0)) < 1), "missing_segments"),
+        F.when(spoken & (F.coalesce(F.size("words"), F.lit(0)) < 1), "missing_words"),
+        F.when(unordered("segments"), "segments_out_of_order"), F.when(unordered("words"), "words_out_of_order")))
+    return segments, words, chunks.select(*key, F.explode(rules).alias("rule"))
+
+
+def merge_chunks(segments: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments renumbered over all chunks, and one transcript row per meeting.
+
+    A language is kept only when every chunk names it; its probability only for a single
+    chunk. Text stays one piece per chunk, in order.
+    """
+    from dialogue_lake.operators import ordered
+
+    numbered = ordered.scan(
+        segments, ["meeting_id"], ["chunk", "start_ms", "seg_no"], ordered.bucket_of("chunk", 16), [ordered.numbered("n")]
+    ).withColumn("segment_id", F.format_string("seg_%06d", "n"))
+    named = F.coalesce("language", F.lit(""))
+    whole = chunks.groupBy("meeting_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.when(F.count_distinct(named) == 1, F.max("language")).alias("language"),
+        F.when(F.count(F.lit(1)) == 1, F.max("language_probability")).alias("language_probability"),
+        F.sum(F.length("text")).alias("chars"))
+    return numbered, whole
+
+
+def plan_chunks(recordings: DataFrame, seconds: int = 600, max_bytes: int = 25_000_000, rate: int = 16_000) -> DataFrame:
+    """Frame ranges of each recording, limited in time and in bytes of 16-bit audio."""
+    step = min(seconds * rate, (max_bytes - 44) // 2)
+    return recordings.filter(F.col("frames") > 0).select(
+        "meeting_id", "frames", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1, F.lit(step).cast("bigint"))).alias("_n", "first_frame")
+    ).select(
+        "meeting_id", F.col("_n").cast("bigint").alias("chunk"), "first_frame",
+        F.least(F.lit(step).cast("bigint"), F.col("frames") - F.col("first_frame")).alias("n_frames"))
+
+
+def read_glossary(spark: SparkSession, path: str, scope: str, max_chars: int = 32_000) -> tuple[DataFrame, DataFrame]:
+    """Entries of one layer from JSON lines, and lines that are bad or of another scope."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").withColumn("_e", F.from_json("value", GLOSSARY_SCHEMA))
+    fine = (F.length("value") <= max_chars) & F.col("_e.id").isNotNull() & (F.col("_e.source") == scope)
+    marked = rows.withColumn("_ok", F.coalesce(fine, F.lit(False)))
+    return marked.filter("_ok").select("_e.*"), marked.filter("NOT _ok").select(F.col("value").alias("line"))
+
+
+def read_context_documents(spark: SparkSession, folder: str, max_chars: int = 262_144) -> tuple[DataFrame, DataFrame]:
+    """Supplied text and term files of a folder.
+
+    Returns free texts (``source_id, sha, text``) from TXT, MD and JSON, and explicit terms
+    (``source_id, canonical, aliases, category, scope``) from JSON and CSV.
+    """
+    whole = lambda glob: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    source = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    texts = whole("*.{txt,md}").select(source.alias("source_id"), F.col("value").alias("text"))
+    json_schema = "text STRING, terms ARRAY<STRUCT<canonical: STRING, aliases: ARRAY<STRING>, category: STRING, scope: STRING>>"
+    documents = whole("*.json").select(source.alias("source_id"), F.from_json("value", json_schema).alias("_d"))
+    free = texts.unionByName(documents.select("source_id", F.col("_d.text").alias("text")).filter(F.col("text").isNotNull()))
+    free = free.filter(F.length("text") <= max_chars).withColumn("sha", F.sha2("text", 256))
+    listed = documents.select("source_id", F.explode("_d.terms").alias("_t")).select("source_id", "_t.*")
+    rows = spark.read.option("pathGlobFilter", "*.csv").option("header", "true").schema(
+        "canonical STRING, aliases STRING, category STRING, scope STRING").csv(folder)
+    from_csv = rows.select(
+        source.alias("source_id"), "canonical",
+        F.filter(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda a: F.trim(a) != "").alias("aliases"), "category", "scope")
+    return free, listed.unionByName(from_csv)
+
+
+def read_rttm(spark: SparkSession, path: str) -> DataFrame:
+    """Speaker lines of RTTM truth files in whole milliseconds."""
+    parts = F.split(F.trim("value"), r"\s+")
+    ms = lambda c: F.round(c.cast("double") * 1000).cast("bigint")
+    rows = spark.read.text(path).filter(F.col("value").startswith("SPEAKER")).select(parts.alias("p"))
+    start = ms(F.col("p")[3])
+    return rows.select(
+        F.col("p")[1].alias("recording"), F.col("p")[7].alias("speaker_id"), start.alias("start_ms"), (start + ms(F.col("p")[4])).alias("end_ms"))
+
+
+def check_media(manifest: DataFrame, minimum_seconds: float = 0.1, tolerance_seconds: float = 0.25, tolerance_ratio: float = 0.01) -> DataFrame:
+    """Chosen audio stream, its duration and the canonical-format checks.
+
+    ``manifest``: ``meeting_id, probe`` (saved probe JSON) and ``source_seconds``.
+    """
+    p = F.from_json("probe", MEDIA_SCHEMA)
+    audio = F.filter(F.col("_p.streams"), lambda s: s["codec_type"] == "audio")
+    preferred = F.filter(audio, lambda s: s["disposition"]["default"] == 1)
+    stream = F.coalesce(F.get(preferred, F.lit(0)), F.get(audio, F.lit(0)))
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    base = F.split("_s.time_base", "/")
+    ticks = F.col("_s.duration_ts") * F.try_divide(base[0].cast("double"), base[1].cast("double"))
+    rows = manifest.withColumn("_p", p).withColumn("_s", stream)
+    own = F.coalesce(number("_s.duration"), ticks)
+    rows = rows.withColumns({
+        "duration_seconds": F.coalesce(own, number("_p.format.duration")),
+        "duration_source": F.when(own.isNotNull(), "stream").when(number("_p.format.duration").isNotNull(), "container").otherwise("unknown")})
+    duration = F.col("duration_seconds")
+    canonical = (
+        (F.col("_p.format.format_name") == "wav") & (F.col("_s.codec_name") == "pcm_s16le")
+        & (F.col("_s.sample_rate").cast("int") == 16_000) & (F.col("_s.channels") == 1) & (F.col("_s.bits_per_sample") == 16))
+    allowed = F.greatest(F.lit(tolerance_seconds), F.col("source_seconds") * tolerance_ratio)
+    return rows.select(
+        "meeting_id", F.col("_s.index").cast("bigint").alias("stream_index"), duration.alias("duration_seconds"), "duration_source",
+        F.col("_s").isNotNull().alias("has_audio"), F.coalesce(canonical, F.lit(False)).alias("canonical"),
+        F.coalesce(duration >= minimum_seconds, F.lit(False)).alias("long_enough"),
+        F.coalesce(F.abs(duration - F.col("source_seconds")) <= allowed, F.lit(False)).alias("same_duration"))
