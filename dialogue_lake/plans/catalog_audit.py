@@ -112,9 +112,10 @@ view("v_calm", f"""SELECT a.meeting_id, a.window_id, {signature_sql(meaning_sql(
 view("v_off", """SELECT c.meeting_id, c.window_id, k.grounding_id, k.cand_id AS entry_id, s.start_ms, s.end_ms
     FROM (SELECT meeting_id, window_id, unnest(string_split(ids, ',')) AS grounding_id FROM v_cw) c
     JOIN v_cand k USING (meeting_id, grounding_id) JOIN v_su s USING (meeting_id, grounding_id)""")
+view("v_w2n", f"SELECT *, {norm_sql('text')} AS nt FROM v_w2")
 view("v_lnk", f"""SELECT o.meeting_id, o.window_id, o.grounding_id, o.entry_id, min(w.word_no) AS word_no FROM v_off o JOIN v_g g USING (entry_id)
     JOIN v_calm c ON c.meeting_id = o.meeting_id AND c.window_id = o.window_id AND c.calm
-    JOIN v_w2 w ON w.meeting_id = o.meeting_id AND w.window_id = o.window_id AND {norm_sql('w.text')} = g.canonical
+    JOIN v_w2n w ON w.meeting_id = o.meeting_id AND w.window_id = o.window_id AND w.nt = g.canonical
       AND w.start_ms <= o.end_ms + 750 AND w.end_ms >= o.start_ms - 750 GROUP BY ALL""")
 
 
