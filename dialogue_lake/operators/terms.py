@@ -171,22 +171,28 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
             codes = [metaphone_of(n.replace(" ", "")) for n in names]
             sounding = [i for i, c in enumerate(codes) if c]
             sounds = VariantTable([codes[i] for i in sounding])
-            heard: dict[str, list[int]] = {}
+            heard: dict[str, set[int]] = {}
             for batch in batches:
                 rows = []
                 for text in batch["normalized"]:
                     at, ratio = plain.ratios(text, ratio_floor)
-                    close = set(at[ratio >= ratio_floor - 1e-9].tolist())
+                    near = ratio >= ratio_floor - 1e-9
+                    close = dict(zip(at[near].tolist(), ratio[near].tolist()))
                     code = metaphone_of(text.replace(" ", ""))
                     if code and code not in heard:
                         at, ratio = sounds.ratios(code, phonetic_floor)
-                        heard[code] = [sounding[i] for i in at[ratio >= phonetic_floor - 1e-9]]
-                    close.update(heard.get(code, ()))
-                    for i in sorted(close):
-                        lexical = 0.75 * indel_ratio_of(text, names[i]) + 0.25 * indel_ratio_of(
-                            token_sorted(text), token_sorted(names[i]))
-                        phonetic = indel_ratio_of(code, codes[i]) if code else 0.0
-                        if lexical >= lexical_floor or phonetic >= phonetic_floor:
+                        heard[code] = {sounding[i] for i in at[ratio >= phonetic_floor - 1e-9].tolist()}
+                    alike = heard.get(code, set())
+                    spaced = " " in text
+                    for i in close.keys() | alike:
+                        plain_ratio = close[i] if i in close else indel_ratio_of(text, names[i])
+                        if spaced or " " in names[i]:
+                            by_token = indel_ratio_of(token_sorted(text), token_sorted(names[i]))
+                        else:
+                            by_token = plain_ratio
+                        lexical = 0.75 * plain_ratio + 0.25 * by_token
+                        if lexical >= lexical_floor or i in alike:
+                            phonetic = indel_ratio_of(code, codes[i]) if code else 0.0
                             rows.append((text, names[i], lexical, phonetic))
                 yield pd.DataFrame(rows, columns=["normalized", "variant_normalized", "lexical", "phonetic"])
 
