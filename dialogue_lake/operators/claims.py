@@ -35,7 +35,7 @@ def build_chunks(utterances: DataFrame, max_chars: int = 18_000, overlap: int =
 
     # One step closes the open chunk when the next utterance no longer fits, and reopens
     # it ``overlap`` utterances earlier, or fewer while that would not leave room for it.
-    def reopen(sizes: Column, start: Column, end: Column) -> Column:
+    def reopen(sizes: Column, start: Column, end: Column) -> tuple[Column, Column]:
         first = F.greatest(start + 1, end - F.lit(overlap))
         options = F.sequence(first, end)
         room = lambda s: F.aggregate(
