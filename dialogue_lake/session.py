@@ -23,19 +23,24 @@ def local_session(name: str = "dialogue_lake", cores: str = "8") -> SparkSession
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary
-    folder is used only in local mode, where one machine is all there is.
+    It is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is
+    used only in local mode, where one machine is all there is.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
