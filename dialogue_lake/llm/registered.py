@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import quality_rules
+from dialogue_lake.llm import mixing, packing, quality_rules, token_counts
+from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +36,59 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.col(f"_q_{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"), (~base & quality_rules.verdict()).alias("kept"))
+
+
+OP2_SQL = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         substr(md5(cast(doc_id as varchar)), 1, 12) as h
+  from documents),
+sources as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as place
+  from sized group by source),
+weighed as (select *, (place - 1) % 3 + 1 as weight from sources),
+steps as (
+  select *,
+    cast(sum(source_size) over () - coalesce(sum(3 * source_size) over (
+      order by source_size / cast(weight as double), place rows between unbounded preceding and 1 preceding), 0) as double) as left_over,
+    cast(sum(weight) over (
+      order by source_size / cast(weight as double), place rows between current row and unbounded following) as double) as weights
+  from weighed),
+stops as (select *, 3.0::double * source_size * weights < left_over * weight as stopped,
+                 source_size / cast(weight as double) as ratio from steps),
+level as (select left_over as l, weights as w, ratio as r, place as p from stops where not stopped order by ratio, place limit 1),
+wanted as (
+  select source, source_size,
+    case when (ratio, place) >= (r, p) then l * weight / w else 3.0::double * source_size end as target
+  from stops, level),
+budget as (
+  select *, case when source_size > 0 then least(cast(floor(target / source_size) as bigint), 3) else 0 end as copies from wanted),
+rest as (select *, target - copies * source_size as rest from budget),
+ranked as (
+  select s.doc_id, s.size, r.source_size, r.target, r.copies, r.rest,
+    sum(s.size) over (partition by s.source order by s.h range between unbounded preceding and current row) as upto,
+    sum(s.size) over (partition by s.source, s.h) as own
+  from sized s join rest r on s.source is not distinct from r.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast(size * (copies + case when upto <= rest or (upto - own <= rest and upto - rest < rest - (upto - own)) then 1 else 0 end) as bigint) as taken
+from ranked
+"""
+
+
+@query(OP2_SQL)
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(documents(spark, folder)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query()
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = documents(spark, folder).select(
+        "doc_id", F.octet_length(tx.whole("text")).cast("long").alias("n_bytes"),
+        token_counts.n_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query()
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
