@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import mixing, packing, quality_rules, token_counts
+from dialogue_lake.llm import mixing, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,13 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = documents(spark, folder).select("doc_id", secret_scan.secret_spans(F.col("text")).alias("spans"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x.kind.isin(*secret_scan.KINDS))
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
