@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import mixing, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,10 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda x: x.kind.isin(*secret_scan.KINDS))
     return found.select(
         "doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query()
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.components_of(documents(spark, folder), words=4)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
