@@ -1,8 +1,8 @@
 """Near-duplicates by b-bit MinHash.
 
 A text is the set of its shingles. Texts of equal sets are one class, which its smallest
-id stands for. Of ``HASHES`` minima per class, groups of ``ROWS`` make band keys; classes
-that share a band are candidates. Only the low bits of the minima are kept, packed into
+id stands for. Of the first ``BANDED`` minima of a class, groups of ``ROWS`` make band keys;
+classes that share a band are candidates. Only the low bits of the minima are kept, packed into
 longs: the number of equal fields, corrected for chance hits, estimates the similarity and
 drops hopeless candidates. The others are confirmed on their full sets.
 
@@ -28,11 +28,14 @@ from dialogue_lake.llm import components
 from dialogue_lake.llm import textual as tx
 from dialogue_lake.llm.hashed_words import Words, blocks
 
-HASHES, ROWS, LOW_BITS = 128, 4, 2
+#: Minima of a text; the first of them make the bands, the low bits of all the estimate.
+HASHES, BANDED, ROWS, LOW_BITS = 768, 128, 4, 2
 PERCENT = 80
-#: Six standard deviations of the estimate below the threshold.
-MARGIN = 0.25
-STAR_ROUNDS = 4
+#: 4.5 standard deviations of the estimate below the threshold.
+MARGIN = 0.077
+STAR_ROUNDS = 2
+#: Up to so many ids are sent to every task to pick their texts; more are joined by shuffling.
+FEW_IDS = 500_000
 
 SKETCH = "id long, n_shingles long, class_hi long, class_lo long, low array<long>, bands array<long>"
 
@@ -46,7 +49,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
 
     def sketch(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shifts = (np.arange(HASHES) % fields * LOW_BITS).astype(np.uint64)
-        weights = np.random.default_rng(11).integers(0, 1 << 63, (HASHES // ROWS, ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        weights = np.random.default_rng(11).integers(0, 1 << 63, (BANDED // ROWS, ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         for table in tables:
             for at, texts in blocks(table.column(1)):
                 hashes, starts = Words(texts).shingles(words)
@@ -58,7 +61,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
                         minima[:, j] = np.minimum.reduceat((short ^ masks[j]) * factors[j], starts[held])
                 low = (minima & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64) << shifts
                 packed = np.bitwise_or.reduce(low.reshape(len(held), -1, fields), axis=2).view(np.int64)
-                grouped = (minima.astype(np.uint64).reshape(len(held), -1, ROWS) * weights).sum(axis=2, dtype=np.uint64)
+                grouped = (minima[:, :BANDED].astype(np.uint64).reshape(len(held), -1, ROWS) * weights).sum(axis=2, dtype=np.uint64)
                 grouped = ((grouped ^ (grouped >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
                 n = np.zeros(len(texts), np.int64)
                 digests = np.zeros((len(texts), 2), np.int64)
@@ -70,7 +73,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
                     pa.array(np.concatenate([[0], np.cumsum((n > 0) * width)]).astype(np.int32)), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [table.column(0).slice(at, len(texts)), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                     lists(packed, HASHES // fields), lists(grouped, HASHES // ROWS)],
+                     lists(packed, HASHES // fields), lists(grouped, BANDED // ROWS)],
                     names=["id", "n_shingles", "class_hi", "class_lo", "low", "bands"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sketch, SKETCH)
@@ -106,68 +109,78 @@ def hopeful(a: str, b: str) -> Column:
     return sizes & (estimate(F.col(f"{a}low"), F.col(f"{b}low")) >= PERCENT / 100 - MARGIN)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(
-        ids, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
-    sets = tx.stored(shingle_sets(wanted, words), "nd-sets")
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(first, "a").join(second, "b").filter(
-        100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def picked(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the ids of a stored table, one row each."""
+    few = ids.count() <= FEW_IDS
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(
+        F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+class Links:
+    """Confirms candidate pairs on full sets; the sets of ids met before are kept."""
+
+    def __init__(self, docs: DataFrame, facts: DataFrame, words: int, key: str, text: str):
+        self.docs, self.facts, self.words, self.key, self.text = docs, facts, words, key, text
+        self.sets = self.seen = None
+
+    def among(self, pairs: DataFrame) -> DataFrame:
+        """The links among hopeful pairs (a < b) that were not compared before."""
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = tx.stored(pairs, "nd-pairs")
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        ids = tx.stored(ids, "nd-ids")
+        sets = tx.stored(shingle_sets(picked(self.docs, ids, self.key, self.text), self.words), "nd-sets")
+        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
+        first = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        second = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return tx.stored(pairs.join(first, "a").join(second, "b").filter(
+            100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "nd-links")
+
+    def hopeful(self, pairs: DataFrame) -> DataFrame:
+        side = lambda p: self.facts.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("low").alias(f"{p}_low"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(hopeful("a_", "b_")).select("a", "b")
 
 
 def components_of(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     found = tx.stored(sketches(docs, words, key, text), "nd-sketches")
     classes = tx.stored(found.filter("n_shingles > 0").groupBy("class_hi", "class_lo").agg(
-        F.min("id").alias("component"), F.count("*").alias("members")), "nd-classes")
+        F.min("id").alias("component")), "nd-classes")
     # One sketch per class; a class's rows are equal but for the id.
-    leaders = tx.stored(found.join(classes, ["class_hi", "class_lo"]).filter("id = component").dropDuplicates(["id"]).select(
-        "id", F.col("n_shingles").alias("n"), "low", "bands"), "nd-leaders")
-    banded = leaders.select("id", "n", "low", F.explode("bands").alias("band"))
-    # The centre of a bucket is its smallest id, but in later rounds its smallest hash.
-    shared = tx.stored(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "nd-buckets")
-    rows = tx.stored(banded.select("id", "band").join(shared, "band"), "nd-rows")
-    facts = leaders.select("id", "n", "low")
+    leaders = found.join(classes.select("component"), F.col("id") == F.col("component"), "left_semi").dropDuplicates(["id"])
+    leaders = tx.stored(leaders.select("id", F.col("n_shingles").alias("n"), "low", "bands"), "nd-leaders")
+    banded = leaders.select("id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
+    rows = tx.stored(banded.join(shared, "band"), "nd-rows")
+    links = Links(docs, leaders, words, key, text)
     labels = leaders.select("id", F.col("id").alias("component"))
-    seen = None
     for turn in range(STAR_ROUNDS):
+        # The centre of a bucket is its smallest id, in a later round its smallest hash.
         rank = F.col("id") if turn == 0 else F.xxhash64("id", "band", F.lit(turn))
         live = rows.join(labels, "id")
-        open_bands = live.groupBy("band").agg(
+        centres = live.groupBy("band").agg(
             F.min(F.struct(rank.alias("r"), F.col("id"), F.col("component"))).alias("c"),
             F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(
             "band", F.col("c.id").alias("a"), F.col("c.component").alias("ca"))
-        pairs = live.join(open_bands, "band").filter("component != ca").select("a", F.col("id").alias("b")).distinct()
-        pairs, links, labels = _compared(pairs, seen, facts, docs, labels, words, key, text)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        if links == 0:
-            break
-    # What is left: classes of one bucket that lie in different components.
-    live = rows.join(labels, "id").join(facts, "id")
-    side = lambda p: live.select("band", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "low")])
-    open_bands = rows.join(labels, "id").groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    pairs = side("a_").join(open_bands, "band").join(side("b_"), "band").filter(
-        (F.col("a_component") < F.col("b_component")) & hopeful("a_", "b_")).select(
-        F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    _, _, labels = _compared(pairs, seen, facts, docs, labels, words, key, text)
-    return _answers(found, classes, labels)
-
-
-def _compared(pairs, seen, facts, docs, labels, words, key, text):
-    """The hopeful new pairs, how many of them are links, and the components with those."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if seen is not None:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    side = lambda p: facts.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("low").alias(f"{p}_low"))
-    pairs = tx.stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(hopeful("a_", "b_")).select("a", "b"), "nd-pairs")
-    if pairs.isEmpty():
-        return pairs, 0, labels
-    links = tx.stored(confirmed(pairs, docs, words, key, text), "nd-links")
-    return pairs, links.count(), components.merged(labels, links)
+        pairs = live.join(centres, "band").filter("component != ca").select("a", F.col("id").alias("b"))
+        labels = components.merged(labels, links.among(links.hopeful(pairs)))
+    # What is left: classes of one bucket that lie in different components. A pair counts in
+    # its first common bucket; the join itself drops hopeless pairs.
+    live = rows.join(labels, "id")
+    split = live.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
+    live = live.join(split, "band").join(leaders, "id")
+    side = lambda p: live.select("band", *[F.col(c).alias(p + c) for c in ("id", "component", "n", "low", "bands")])
+    left = side("a_").join(side("b_"), "band").filter(
+        (F.col("a_component") < F.col("b_component")) & hopeful("a_", "b_")
+        & (F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == F.col("band")))
+    left = left.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return _answers(found, classes, components.merged(labels, links.among(left)))
 
 
 def _answers(found: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
