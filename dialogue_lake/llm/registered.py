@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,14 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.components_of(documents(spark, folder), words=4)
     return found.select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def remainder(n: int):
+    """crc32 of the document id's text, modulo 5, equals ``n``."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == n
+
+
+@query()
+def op4_gru_lm(spark: SparkSession, folder: str) -> DataFrame:
+    found = gru_lm.likelihoods(documents(spark, folder), ~remainder(1))
+    return found.select("doc_id", remainder(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
