@@ -26,7 +26,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """hashes: of all words of a block; starts: the first word of each text, and the end;
-    last: the last byte of each word."""
+    begin: each word's first byte; last: its last byte, as a value."""
 
     def __init__(self, texts: pa.Array):
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -49,6 +49,7 @@ class Words:
         back = np.cumprod(np.full(len(data), INVERSE))
         own = (sums[end] - sums[begin]) * back[begin]
         self.hashes = mixed(own + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.begin = begin
         self.starts = np.searchsorted(begin, ends)
         self.last = lower[end - 1] if len(end) else np.zeros(0, np.uint8)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import gru_lm, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,11 @@ def remainder(n: int):
 def op4_gru_lm(spark: SparkSession, folder: str) -> DataFrame:
     found = gru_lm.likelihoods(documents(spark, folder), ~remainder(1))
     return found.select("doc_id", remainder(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op3_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~remainder(0))
+    found = docs.select("doc_id", remainder(0).alias("held_out"), line_crf.scored(docs, labels).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
