@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import gru_lm, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op3_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~remainder(0))
     found = docs.select("doc_id", remainder(0).alias("held_out"), line_crf.scored(docs, labels).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query()
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scanned(documents(spark, folder))
