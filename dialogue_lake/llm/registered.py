@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import gru_lm, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, iblt, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op3_line_crf(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scanned(documents(spark, folder))
+
+
+@query()
+def op5_iblt(spark: SparkSession, folder: str) -> DataFrame:
+    return iblt.compared(documents(spark, folder))
