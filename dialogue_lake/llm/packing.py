@@ -27,38 +27,70 @@ from dialogue_lake.llm.token_counts import batches, tokenizer
 SEQUENCE = 2048
 STEP = 16
 END_TOKEN = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 RANK_BUCKETS = 64
 
 PIECES = "key long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Token ids of whole texts as bytes; words are encoded once while the cache holds them.
+    """Token ids of whole texts as bytes; a word is encoded once while the cache holds it.
 
-    The tokenizer drops white space and never joins words across it.
+    The tokenizer drops white space, never joins words across it, and takes a run of
+    letters for one unit whose last token ends a word. So words share what is left without
+    their capitals and final stops, and plain words are encoded many at a time.
     """
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch_fast
+        own = tokenizer(path)
+        self.encode = own.encode_batch_fast
+        vocabulary = own.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        found = text.encode().split()
-        new = {x for x in found if x not in self.known}
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = set(found)
-            for batch in batches(sorted(x.decode() for x in new)):
-                for word, ids in zip(batch, self.encode(batch, add_special_tokens=False), strict=True):
-                    self.known[word.encode()] = np.asarray(ids.ids, "<u4").tobytes()
-        ids = b"".join(map(self.known.__getitem__, found))
+        self.units: dict[bytes, bytes] = {}
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        found = [x.encode().split() for x in texts]
+        new = set().union(*found).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.units = {}, {}
+            new = set().union(*found)
+        self.learn(new)
+        ids = [b"".join(map(self.known.__getitem__, x)) for x in found]
         for x in new:
             if len(x) > 64:
                 del self.known[x]
         return ids
 
+    def learn(self, new: set[bytes]) -> None:
+        parts = {}
+        for word in new:
+            core = word.rstrip(b".,")
+            # "<|" may begin a special token, which has its own letter case.
+            if b"<|" in word:
+                parts[word] = (word,)
+            elif len(core) < len(word) and core[-1:].isalpha():
+                parts[word] = (core.lower(), word[len(core) :])
+            else:
+                parts[word] = (word.lower(),)
+        units = sorted({x for own in parts.values() for x in own}.difference(self.units))
+        plain = [x for x in units if x.decode().isalpha()]
+        for batch in batches([" ".join(x.decode() for x in plain[i : i + 64]) for i in range(0, len(plain), 64)]):
+            for text, encoded in zip(batch, self.encode(batch, add_special_tokens=False), strict=True):
+                ids, words = np.asarray(encoded.ids, "<u4"), text.split(" ")
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(words):
+                    data, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                    self.units.update((w.encode(), data[a:b]) for w, a, b in zip(words, starts[:-1], starts[1:], strict=True))
+        for batch in batches([x.decode() for x in units if x not in self.units]):
+            for unit, encoded in zip(batch, self.encode(batch, add_special_tokens=False), strict=True):
+                self.units[unit.encode()] = np.asarray(encoded.ids, "<u4").tobytes()
+        self.known.update((word, b"".join([self.units[x] for x in own])) for word, own in parts.items())
+        for unit in units:
+            if len(unit) > 64:
+                del self.units[unit]
+
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = SEQUENCE) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): each document cut at multiples of ``length``."""
@@ -67,12 +99,14 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         ids_of, end = WordIds(path), np.asarray([END_TOKEN], "<u4").tobytes()
         for table in tables:
             out: list[tuple[int, ...]] = []
-            for i in range(table.num_rows):
-                ids = ids_of(table.column(1)[i].as_py() or "") + end
-                total = len(ids) // 4
-                out += [
-                    (table.column(0)[i].as_py(), at, min(length, total - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), total)
-                    for at in range(0, total, length)]
+            for begin in range(0, table.num_rows, 128):
+                part = table.slice(begin, 128)
+                for own, ids in zip(part.column(0).to_pylist(), ids_of.texts([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    out += [
+                        (own, at, min(length, total - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), total)
+                        for at in range(0, total, length)]
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in columns], names=["key", "start", "length", "ids_crc32", "doc_tokens"])

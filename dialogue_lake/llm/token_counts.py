@@ -8,6 +8,7 @@ are. A missing text is empty and has no tokens; rows and other columns stay as t
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,8 +26,10 @@ UNSAFE = 1 << 40
 
 
 def tokenizer(path: str):
+    """The tokenizer of a file; it keeps to one thread, as Spark runs a task on every core."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Tokenizer.from_file(path)
 
 
