@@ -64,29 +64,32 @@ class WordIds:
         return ids
 
     def learn(self, new: set[bytes]) -> None:
-        parts = {}
+        parts = []
         for word in new:
-            core = word.rstrip(b".,")
+            core, tail = word, b""
             # "<|" may begin a special token, which has its own letter case.
-            if b"<|" in word:
-                parts[word] = (word,)
-            elif len(core) < len(word) and core[-1:].isalpha():
-                parts[word] = (core.lower(), word[len(core) :])
-            else:
-                parts[word] = (word.lower(),)
-        units = sorted({x for own in parts.values() for x in own}.difference(self.units))
-        plain = [x for x in units if x.decode().isalpha()]
+            if b"<|" not in word:
+                core = word.rstrip(b".,")
+                if len(core) < len(word) and core[-1:].isalpha():
+                    tail = word[len(core) :]
+                else:
+                    core = word
+                core = core.lower()
+            parts.append((word, core, tail))
+        units = {x[1] for x in parts}.union({x[2] for x in parts if x[2]}).difference(self.units)
+        plain = [x for x in units if x.isalpha() or not x.isascii() and x.decode().isalpha()]
         for batch in batches([" ".join(x.decode() for x in plain[i : i + 64]) for i in range(0, len(plain), 64)]):
             for text, encoded in zip(batch, self.encode(batch, add_special_tokens=False), strict=True):
                 ids, words = np.asarray(encoded.ids, "<u4"), text.split(" ")
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) == len(words):
                     data, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                    self.units.update((w.encode(), data[a:b]) for w, a, b in zip(words, starts[:-1], starts[1:], strict=True))
+                    self.units.update([(w.encode(), data[a:b]) for w, a, b in zip(words, starts[:-1], starts[1:], strict=True)])
         for batch in batches([x.decode() for x in units if x not in self.units]):
             for unit, encoded in zip(batch, self.encode(batch, add_special_tokens=False), strict=True):
                 self.units[unit.encode()] = np.asarray(encoded.ids, "<u4").tobytes()
-        self.known.update((word, b"".join([self.units[x] for x in own])) for word, own in parts.items())
+        own = self.units
+        self.known.update([(word, own[core] + own[tail] if tail else own[core]) for word, core, tail in parts])
         for unit in units:
             if len(unit) > 64:
                 del self.units[unit]
