@@ -9,7 +9,7 @@ away; taking it out of its other cells (peeling) frees more. If cells stay non-e
 pair is tried again with more cells.
 
 Sketches have few cells at first (``FIRST`` a table, the same for all: they are the
-fingerprint), then as many as the two sets together have, then more. All rows of a document are
+fingerprint), then as many as the two sets together have, then more. All cells of a document are
 in one partition, so building, subtracting and peeling need no shuffle.
 
 A missing text is empty: no paragraphs, fingerprint of empty cells. Two empty sets are
@@ -27,6 +27,8 @@ PIECE = 64
 FIRST = 16
 TABLES = 3
 ROUNDS = 6
+#: Partitions for each of the session's shuffle partitions: cells are far more than rows.
+FINER = 4
 #: Cells a table for each digest of both sets, attempt by attempt.
 LARGER = (0.7, 1.5, 3.0, 6.0)
 BUCKET = 2048
@@ -120,9 +122,9 @@ def peeled(cells: DataFrame, by: list[str], seed: int, rounds: int = ROUNDS, kee
     return cells
 
 
-def differences(sets: DataFrame, by: list[str], first: str, second: str, cells: Column, seed: int) -> DataFrame:
+def differences(sets: DataFrame, by: list[str], first: str, second: str, cells: Column, seed: int, rounds: int = ROUNDS) -> DataFrame:
     """(*by, differing, failed): how many digests peeling found, and whether cells were left."""
-    rows = peeled(sketched(sets, by, cells, seed, {first: 1, second: -1}), by, seed)
+    rows = peeled(sketched(sets, by, cells, seed, {first: 1, second: -1}), by, seed, rounds)
     found = F.sum(F.when(F.col("cell") == -1, F.col("c") + F.col("k")).otherwise(0))
     return rows.groupBy(*by).agg(found.alias("differing"), F.max((F.col("cell") >= 0).cast("int")).alias("failed"))
 
@@ -160,13 +162,14 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     sets = versions(docs, key, text)
     by = ["bucket", "row"]
+    tasks = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = lambda kind, other: sets.select(
         *by, F.lit(kind).alias("kind"), F.col("own").alias("a"), F.col(other).alias("b"))
-    open_pairs = pair(0, "other").unionByName(pair(1, "following")).repartition("bucket")
+    open_pairs = pair(0, "other").unionByName(pair(1, "following")).repartition(tasks, *by)
     done = None
     for attempt in range(len(LARGER) + 1):
         cells = F.lit(FIRST) if attempt == 0 else F.ceil((F.size("a") + F.size("b")) * LARGER[attempt - 1] + 4).cast("int")
-        found = differences(open_pairs, [*by, "kind"], "a", "b", cells, attempt)
+        found = differences(open_pairs, [*by, "kind"], "a", "b", cells, attempt, ROUNDS if attempt else ROUNDS // 2)
         sizes = open_pairs.select(*by, "kind", F.size("a").alias("na"), F.size("b").alias("nb"))
         result = tx.stored(sizes.join(found, [*by, "kind"], "left").withColumns({
             "differing": F.coalesce("differing", F.lit(0)), "failed": F.coalesce("failed", F.lit(0))}), "iblt-found")
@@ -175,7 +178,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         failed = result.filter("failed = 1").select(*by, "kind")
         if failed.isEmpty():
             break
-        open_pairs = open_pairs.join(failed, [*by, "kind"], "left_semi").repartition("bucket")
+        open_pairs = open_pairs.join(failed, [*by, "kind"], "left_semi").repartition(tasks, *by)
     else:
         # Peeling failed at every size: the sets themselves are compared.
         exact = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
@@ -184,7 +187,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     near = done.groupBy(*by).agg(*[
         F.max(F.when(F.col("kind") == k, likeness(F.col("differing"), F.col("na"), F.col("nb")))).alias(name)
         for k, name in ((0, "near_edited"), (1, "near_next"))])
-    spread = sets.select(*by, "own", "other").repartition("bucket")
+    spread = sets.select(*by, "own", "other").repartition(tasks, *by)
     empty = F.sha2(F.lit("[]"), 256)
     return sets.select(*by, "id", "n_chars", "edited_sha256").join(
         fingerprint(spread, by, "own"), by, "left").join(fingerprint(spread, by, "other"), by, "left").join(near, by).select(
