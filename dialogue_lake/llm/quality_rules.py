@@ -116,5 +116,11 @@ def base_failed(prefix: str = "_q_") -> Column:
 
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows whose text passes every rule, with the columns of ``df``."""
-    return measured(df, text).filter(~base_failed() & verdict(rules)).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows whose text passes every rule, with the columns of ``df``.
+
+    The verdict is written before rows are filtered by it: Catalyst would otherwise push the
+    filter through the projections and copy each measure into every place that uses it.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    judged = tx.stored(measured(df, text).select(*columns, (~base_failed() & verdict(rules)).alias("_q_kept")), "quality-verdicts")
+    return judged.filter("_q_kept").select(*columns)
