@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
+from dialogue_lake.operators import ordered
 from dialogue_lake.operators.lookup import spread_join
 
 ACCEPT, REVIEW = 0.85, 0.60
@@ -139,18 +140,23 @@ def coverage_status(events: DataFrame, judged: DataFrame, counts: DataFrame, top
 
 
 def budget_rank(requests: DataFrame, caps: dict[str, int] = PURPOSE_CAPS, total: int = TOTAL_CAP) -> DataFrame:
-    """Requests within the per-purpose and overall call budgets, in request order.
+    """Every request with its place in the per-purpose and overall call budgets.
 
-    ``requests``: ``purpose, request_no``. The budget of a meeting is the feature.
+    ``requests``: ``meeting_id, purpose, request_no`` (whole numbers). Adds ``purpose_no``,
+    ``call_no`` (counted over requests within their purpose's budget, null for others),
+    ``within_budget`` and ``reason``: unknown_purpose, purpose_budget, total_budget or null.
     """
-    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    by_purpose = Window.partitionBy("meeting_id", "purpose").orderBy("request_no")
-    kept = (
-        requests.withColumn("purpose_no", F.row_number().over(by_purpose))
-        .filter((F.col("purpose_no") <= max(caps.values())) & (F.col("purpose_no") <= F.try_element_at(cap, F.col("purpose")))))
-    # At most the sum of the purpose caps remains per meeting.
-    overall = Window.partitionBy("meeting_id").orderBy("request_no")
-    return kept.withColumn("call_no", F.row_number().over(overall).cast("bigint")).filter(F.col("call_no") <= total)
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("_purpose"))
+    place = ordered.bucket_of("request_no", 4096)
+    named = requests.withColumn("_purpose", F.coalesce("purpose", F.lit("")))
+    ranked = ordered.scan(named, ["meeting_id", "_purpose"], ["request_no"], place, [ordered.numbered("purpose_no")])
+    fits = F.coalesce(F.col("purpose_no") <= cap, F.lit(False))
+    counted = ordered.scan(
+        ranked.withColumn("_fits", fits), ["meeting_id"], ["request_no", "_purpose"], place,
+        [ordered.running_sum("_call", F.col("_fits").cast("bigint"))])
+    reason = F.when(cap.isNull(), "unknown_purpose").when(~F.col("_fits"), "purpose_budget").when(F.col("_call") > total, "total_budget")
+    return counted.withColumns({"call_no": F.when(F.col("_fits"), F.col("_call")), "reason": reason}).withColumn(
+        "within_budget", F.col("reason").isNull()).drop("_purpose", "_fits", "_call")
 
 
 def request_dedup(requests: DataFrame, fields: list[str], order: str) -> tuple[DataFrame, DataFrame]:

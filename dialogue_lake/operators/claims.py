@@ -12,6 +12,17 @@ PREFIX = {"summary": "sum", "minutes": "min", "decisions": "dec", "action_items"
 ENVELOPE = 64
 
 
+def cited_place(utterance_id: Column) -> Column:
+    """The number an utterance id ends with; -1 without one."""
+    return F.coalesce(F.regexp_extract(utterance_id, r"(\d+)$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def in_meeting_order(utterance_ids: Column) -> Column:
+    """Ids by their number: as text, the millionth would come before the 999,999th."""
+    placed = F.transform(utterance_ids, lambda x: F.struct(cited_place(x).alias("place"), x.alias("id")))
+    return F.transform(F.array_sort(placed), lambda s: s["id"])
+
+
 def identity(items_have: list[str] = ["section", "text", "topic", "kind", "owner_speaker", "deadline_text"]) -> Column:
     """Everything a claim says, without its id and evidence."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in items_have]), {"ignoreNullFields": "false"}), 256)
@@ -110,21 +121,22 @@ def combine_partials(items: DataFrame) -> DataFrame:
         .groupBy("meeting_id", "section", "identity")
         .agg(
             F.min_by(F.struct(*columns), F.struct("chunk_no", "item_no")).alias("_i"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
+            in_meeting_order(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
         .select("_i.*", "identity", "evidence_ids"))
 
 
 def finalize_items(items: DataFrame, width: int = 4096) -> DataFrame:
     """Final ids per section, by the earliest cited utterance and then by content.
 
-    ``items`` carry ``identity``; utterance ids sort in meeting order.
+    ``items`` carry ``identity``. An item without evidence comes first.
     """
-    first = items.withColumn("_first", F.array_min("evidence_ids")).withColumn("evidence_ids", F.array_sort("evidence_ids"))
-    place = F.coalesce(F.regexp_extract("_first", r"(\d+)$", 1).cast("bigint"), F.lit(0))
+    first = items.withColumn("evidence_ids", in_meeting_order(F.col("evidence_ids")))
+    first = first.withColumn("_first", F.get("evidence_ids", F.lit(0))).withColumn("_place", cited_place(F.col("_first")))
     numbered = ordered.scan(
-        first, ["meeting_id", "section"], ["_first", "identity", "item_id"], ordered.bucket_of(place, width), [ordered.numbered("item_no")])
+        first, ["meeting_id", "section"], ["_place", "_first", "identity", "item_id"], ordered.bucket_of("_place", width),
+        [ordered.numbered("item_no")])
     prefix = F.element_at(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv]), F.col("section"))
-    return numbered.withColumn("final_id", F.concat(prefix, F.format_string("_%04d", "item_no"))).drop("_first")
+    return numbered.withColumn("final_id", F.concat(prefix, F.format_string("_%04d", "item_no"))).drop("_first", "_place")
 
 
 def apply_consolidation(groups: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

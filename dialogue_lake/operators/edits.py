@@ -43,7 +43,7 @@ def edit_verdicts(records: DataFrame) -> DataFrame:
 
     Needs ``observed, replacement, text, char_start, char_end, match_type, scope, category,
     domain, lexical, phonetic, semantic`` and ``candidate_names`` (canonicals listed for
-    the record).
+    the record, each as ``comparable`` writes it).
     """
     source, target, text = F.col("observed"), F.col("replacement"), F.col("text")
     edited = F.concat(
@@ -53,7 +53,6 @@ def edit_verdicts(records: DataFrame) -> DataFrame:
         "_s": tx.comparable(source), "_t": tx.comparable(target),
         "_changed": (tx.protected_signature(source) != tx.protected_signature(target))
         | (tx.protected_signature(text) != tx.protected_signature(edited)),
-        "_names": F.transform("candidate_names", lambda n: F.regexp_replace(F.lower(n), r"[\s\-–—]+", "")),
     })
     words = lambda c: F.size(tx.words_of(c))
     acronym = lambda c: c.rlike("^[A-Z][A-Z0-9]{1,9}$")
@@ -64,14 +63,14 @@ def edit_verdicts(records: DataFrame) -> DataFrame:
         F.when((F.length(target) > 160) | (words(target) > 6) | target.rlike(r"[\n\r\t]"), "invalid_term_shape")
         .when(F.col("_changed"), "protected_meaning")
         .when(F.col("_s") == F.col("_t"), "formatting_only")
-        .when(F.array_contains("_names", F.col("_s")), "original_supported")
+        .when(F.array_contains("candidate_names", F.col("_s")), "original_supported")
         .when((kind != "asr_alias_exact") & ((acronym(target) & (words(source) > 1)) | (acronym(source) & (words(target) > 1))),
               "acronym_expansion")
         .when(is_name & (~F.col("scope").isin("project", "meeting") | ~kind.isin("asr_alias_exact", "alias_exact", "normalized_exact")),
               "unsupported_name")
         .when(kind == "alias_exact", "equivalent_wording")
         .when((kind == "fuzzy") & weak, "weak_candidate"))
-    return rows.withColumn("rejection", reason).drop("_s", "_t", "_changed", "_names")
+    return rows.withColumn("rejection", reason).drop("_s", "_t", "_changed")
 
 
 def edit_status(action: Column, rejection: Column) -> Column:

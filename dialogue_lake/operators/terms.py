@@ -313,12 +313,12 @@ def glossary_violations(entries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count("sense").alias("with_sense"), F.count_distinct("sense").alias("senses"))
     unclear = senses.filter((F.col("n") > 1) & ((F.col("with_sense") < F.col("n")) | (F.col("senses") < F.col("n"))))
     same_name = named.join(unclear, ["scope", "_key"], "left_semi")
-    keyed = entries.select(
-        "entry_id", "scope", F.explode("variants").alias("_form"),
-        F.transform("ambiguous", lambda a: a).alias("ambiguous"))
-    keyed = keyed.withColumn("_key", tx.compact_key(F.col("_form")))
+    forms = lambda column: entries.select("entry_id", "scope", F.explode(column).alias("_form")).select(
+        "entry_id", "scope", tx.compact_key(F.col("_form")).alias("_key"))
+    keyed = forms("variants")
     empty = keyed.filter(F.col("_key") == "")
-    marked = keyed.withColumn("_marked", F.exists("ambiguous", lambda a: F.replace(F.lower(a), F.lit(" "), F.lit("")) == F.col("_key")))
+    marks = forms("ambiguous").distinct().withColumn("_said", F.lit(True))
+    marked = keyed.join(marks, ["entry_id", "scope", "_key"], "left").withColumn("_marked", F.coalesce("_said", F.lit(False)))
     clash = marked.groupBy("scope", "_key").agg(
         F.count_distinct("entry_id").alias("n"), F.bool_and("_marked").alias("all_marked")
     ).filter((F.col("n") > 1) & ~F.col("all_marked"))

@@ -439,7 +439,7 @@ def _(v):
     WHERE k <= CASE purpose WHEN 'events' THEN 80 WHEN 'relations' THEN 100 WHEN 'verification' THEN 50 ELSE 70 END) WHERE call_no <= 250""")
 def _(v):
     purpose = F.when(F.col("stage") == "error", "coverage").when(F.col("stage") == "click", "events").when(F.col("stage") == "view", "relations").otherwise("verification")
-    return au.budget_rank(v.calls.select("meeting_id", "event_id", purpose.alias("purpose"), F.col("event_id").alias("request_no"))).select(
+    return au.budget_rank(v.calls.select("meeting_id", "event_id", purpose.alias("purpose"), F.col("event_id").alias("request_no"))).filter("within_budget").select(
         "meeting_id", "purpose", "event_id", "call_no")
 
 

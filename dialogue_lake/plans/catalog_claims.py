@@ -45,7 +45,7 @@ def numbered_records(v: Views):
 def decisions(v: Views):
     key = ["meeting_id", "utt_idx", "char_start", "char_end"]
     names = ranked(v).join(v.glossary.select("entry_id", "canonical"), "entry_id").groupBy(*key).agg(
-        F.collect_list("canonical").alias("candidate_names"))
+        F.collect_list(tx.comparable(F.col("canonical"))).alias("candidate_names"))
     n = F.col("record_no")
     rows = (
         numbered_records(v).join(ranked(v).select(*key, "entry_id", "match_type", "score"), [*key, "entry_id"])
@@ -163,14 +163,17 @@ def _(v):
 
 
 # --- claims ---
-@query("j02_build_chunks", """WITH RECURSIVE s AS (SELECT meeting_id, utt_idx, length(text) + 64 AS size,
+CHUNKS = """WITH RECURSIVE s AS (SELECT meeting_id, utt_idx, length(text) + 64 AS size,
       sum(length(text) + 64) OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS upto, count(*) OVER (PARTITION BY meeting_id) AS n FROM v_u),
     j AS (SELECT a.meeting_id, a.utt_idx AS first_utt, any_value(a.n) AS n, max(b.utt_idx) AS last_utt FROM s a JOIN s b
       ON b.meeting_id = a.meeting_id AND b.utt_idx >= a.utt_idx AND b.upto - a.upto + a.size <= 18000 GROUP BY 1, 2),
     c AS (SELECT meeting_id, 1::BIGINT AS chunk_no, first_utt, last_utt, n FROM j WHERE first_utt = 0
       UNION ALL SELECT c.meeting_id, c.chunk_no + 1, j.first_utt, j.last_utt, j.n FROM c JOIN j ON j.meeting_id = c.meeting_id
         AND j.first_utt = greatest(c.first_utt + 1, c.last_utt + 1 - 2) WHERE c.last_utt < c.n - 1)
-    SELECT meeting_id, chunk_no, first_utt, last_utt, NULL::VARCHAR AS error FROM c""")
+    SELECT meeting_id, chunk_no, first_utt, last_utt, NULL::VARCHAR AS error FROM c"""
+
+
+@query("j02_build_chunks", CHUNKS)
 def _(v):
     return cl.build_chunks(v.utterances)
 
@@ -319,17 +322,12 @@ def _(v):
     return cl.evidence_manifest(cl.resolve_evidence(v.items, v.utterances)).drop("manifest")
 
 
-@query("j06_extraction_requests", """WITH c AS (SELECT meeting_id, first_utt, last_utt, chunk_no FROM v_chunks)
-    SELECT c.meeting_id, c.chunk_no, count(*) AS n_utterances, string_agg(DISTINCT u.speaker_id, ',' ORDER BY u.speaker_id) AS speakers
-    FROM c JOIN v_u u ON u.meeting_id = c.meeting_id AND u.utt_idx BETWEEN c.first_utt AND c.last_utt GROUP BY ALL""".replace("v_chunks", """(
-    SELECT meeting_id, 1::BIGINT AS chunk_no, min(utt_idx) AS first_utt, max(utt_idx) AS last_utt FROM v_u GROUP BY 1
-    HAVING sum(length(text) + 64) <= 18000)"""))
+@query("j06_extraction_requests", f"""WITH c AS ({CHUNKS}) SELECT c.meeting_id, c.chunk_no, count(*) AS n_utterances, string_agg(DISTINCT u.speaker_id, ',' ORDER BY u.speaker_id) AS speakers
+    FROM c JOIN v_u u ON u.meeting_id = c.meeting_id AND u.utt_idx BETWEEN c.first_utt AND c.last_utt GROUP BY ALL""")
 def _(v):
     from dialogue_lake.operators import audit
 
-    chunks = cl.build_chunks(v.utterances)
-    single = chunks.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 1)
-    return audit.extraction_requests(chunks.join(single, "meeting_id", "left_semi"), v.utterances).select(
+    return audit.extraction_requests(cl.build_chunks(v.utterances), v.utterances).select(
         "meeting_id", "chunk_no", "n_utterances", listed("speakers").alias("speakers"))
 
 

@@ -228,10 +228,9 @@ def _(v):
 @query("b23_strict_json", """SELECT event_id, doc NOT LIKE '%"k"%"k"%' AND json_valid(doc) AS strict FROM (
     SELECT event_id, CASE event_type WHEN 'error' THEN '{"k": 1, ' || substr(props, 2) ELSE props END AS doc FROM events)""")
 def _(v):
-    doc = F.when(F.col("event_type") == "error", F.concat(F.lit('{"k": 1, '), F.substring("props", 2, 1_000_000))).otherwise(F.col("props"))
+    doc = F.when(F.col("event_type") == "error", F.concat(F.lit('{"k": 1, '), F.expr("substring(props, 2)"))).otherwise(F.col("props"))
     rows = v.table("events").select("event_id", doc.alias("doc"))
-    parsed = F.from_json("doc", "map<string,string>", {"mode": "PERMISSIVE"})
-    return rows.select("event_id", (~tx.repeated_keys(F.col("doc")) & parsed.isNotNull()).alias("strict"))
+    return rows.select("event_id", tx.strict_json(F.col("doc")).alias("strict"))
 
 
 @query("b24_error_bucket", """SELECT event_id, CASE WHEN status_code = 429 THEN 'quota' WHEN contains(code, 'timeout') THEN 'timeout'
@@ -424,7 +423,7 @@ def _(v):
     names = v.table("supplier").select(F.lit("participants").alias("kind"), F.col("s_name").alias("name")).unionByName(
         v.table("nation").select(F.lit("companies").alias("kind"), F.col("n_name").alias("name")))
     return v.glossary.select(F.lit("glossary").alias("layer"), "entry_id", "canonical").unionByName(
-        name_entries(names).select(F.col("category").alias("layer"), "entry_id", "canonical"))
+        name_entries(names)[0].select(F.col("category").alias("layer"), "entry_id", "canonical"))
 
 
 @query("i09_glossary_dedup", """SELECT name_key, domain, 'global.' || substr(sha256(name_key), 1, 20) AS entry_id FROM (

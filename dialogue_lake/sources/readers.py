@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +29,19 @@ MEDIA_SCHEMA = (
 )
 
 
-def name_entries(names: DataFrame) -> DataFrame:
+def name_entries(names: DataFrame, max_chars: int = 120) -> tuple[DataFrame, DataFrame]:
     """Meeting-scoped glossary entries for names of people, companies and projects.
 
-    ``names`` has ``kind`` and ``name``.
+    ``names`` has ``kind`` and ``name``. The second result holds the names refused: blank
+    (or missing) ones and those over ``max_chars``, with the reason.
     """
-    bounded = (F.length(F.trim("name")) > 0) & (F.length("name") <= 120)
-    return names.filter(bounded).select(
+    reason = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "blank_name").when(F.length("name") > max_chars, "name_too_long")
+    judged = names.withColumn("reason", reason)
+    good = judged.filter(F.col("reason").isNull()).select(
         F.concat(F.lit("meeting."), F.substring(F.sha2(F.concat("kind", "name"), 256), 1, 20)).alias("entry_id"),
         F.col("name").alias("canonical"), F.col("kind").alias("category"), F.lit("meeting").alias("scope"),
         F.lit(1.0).alias("priority"))
+    return good, judged.filter(F.col("reason").isNotNull()).select("kind", "name", "reason")
 
 
 def read_stage(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
@@ -127,26 +133,32 @@ def read_glossary(spark: SparkSession, path: str, scope: str, max_chars: int = 3
     return marked.filter("_ok").select("_e.*"), marked.filter("NOT _ok").select(F.col("value").alias("line"))
 
 
-def read_context_documents(spark: SparkSession, folder: str, max_chars: int = 262_144) -> tuple[DataFrame, DataFrame]:
-    """Supplied text and term files of a folder.
+def read_context_documents(spark: SparkSession, folder: str, max_chars: int = 262_144) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Supplied text and term files of a folder and its subfolders.
 
-    Returns free texts (``source_id, sha, text``) from TXT, MD and JSON, and explicit terms
-    (``source_id, canonical, aliases, category, scope``) from JSON and CSV.
+    Returns free texts (``source_id, sha, text``) from TXT, MD and JSON, explicit terms
+    (``source_id, canonical, aliases, category, scope``) from JSON and CSV, and the files
+    refused (``source_id, reason``): texts over ``max_chars`` and JSON that is no object.
+    ``source_id`` is the path below the folder.
     """
     whole = lambda glob: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    source = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    below = quote(re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", folder).rstrip("/"))
+    source = F.coalesce(F.try_element_at(F.split(F.input_file_name(), rf"\Q{below}/\E", 2), F.lit(2)), F.input_file_name())
     texts = whole("*.{txt,md}").select(source.alias("source_id"), F.col("value").alias("text"))
     json_schema = "text STRING, terms ARRAY<STRUCT<canonical: STRING, aliases: ARRAY<STRING>, category: STRING, scope: STRING>>"
-    documents = whole("*.json").select(source.alias("source_id"), F.from_json("value", json_schema).alias("_d"))
+    documents = whole("*.json").select(
+        source.alias("source_id"), F.from_json("value", json_schema).alias("_d"), F.json_object_keys("value").isNull().alias("_broken"))
     free = texts.unionByName(documents.select("source_id", F.col("_d.text").alias("text")).filter(F.col("text").isNotNull()))
+    rejected = free.filter(F.length("text") > max_chars).select("source_id", F.lit("text_too_long").alias("reason")).unionByName(
+        documents.filter("_broken").select("source_id", F.lit("broken_json").alias("reason")))
     free = free.filter(F.length("text") <= max_chars).withColumn("sha", F.sha2("text", 256))
     listed = documents.select("source_id", F.explode("_d.terms").alias("_t")).select("source_id", "_t.*")
-    rows = spark.read.option("pathGlobFilter", "*.csv").option("header", "true").schema(
+    rows = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").option("header", "true").schema(
         "canonical STRING, aliases STRING, category STRING, scope STRING").csv(folder)
     from_csv = rows.select(
         source.alias("source_id"), "canonical",
-        F.filter(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda a: F.trim(a) != "").alias("aliases"), "category", "scope")
-    return free, listed.unionByName(from_csv)
+        F.array_remove(F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda a: F.trim(a)), "").alias("aliases"), "category", "scope")
+    return free, listed.unionByName(from_csv), rejected
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:

@@ -40,9 +40,14 @@ def test_asr_glossary_rttm_context_media(spark, tmp_path):
     docs.mkdir()
     (docs / "a.txt").write_text("plain text")
     (docs / "b.json").write_text(json.dumps({"text": "more", "terms": [{"canonical": "K", "aliases": ["k1"]}]}))
-    (docs / "c.csv").write_text("canonical,aliases,category,scope\nQ,q1|q2,technology,meeting\n")
-    free, terms = readers.read_context_documents(spark, str(docs))
-    assert {r.source_id for r in free.collect()} == {"a.txt", "b.json"}
+    (docs / "c.csv").write_text("canonical,aliases,category,scope\nQ,q1 | q2 |,technology,meeting\n")
+    (docs / "sub dir").mkdir()
+    (docs / "sub dir" / "a.txt").write_text("plain text below")
+    (docs / "long.md").write_text("x" * 300_000)
+    (docs / "bad.json").write_text('{"text": ')
+    free, terms, rejected = readers.read_context_documents(spark, str(docs))
+    assert {r.source_id.replace("%20", " ") for r in free.collect()} == {"a.txt", "sub dir/a.txt", "b.json"}
+    assert {tuple(r) for r in rejected.collect()} == {("long.md", "text_too_long"), ("bad.json", "broken_json")}
     assert {r.canonical: r.aliases for r in terms.collect()} == {"K": ["k1"], "Q": ["q1", "q2"]}
     probe = {"streams": [{"index": 0, "codec_type": "video"}, {"index": 1, "codec_type": "audio", "codec_name": "pcm_s16le", "sample_rate": "16000",
              "channels": 1, "bits_per_sample": 16, "duration_ts": 32000, "time_base": "1/16000"}], "format": {"format_name": "wav", "duration": "9"}}
@@ -50,6 +55,13 @@ def test_asr_glossary_rttm_context_media(spark, tmp_path):
     assert media.stream_index == 1 and media.duration_seconds == 2.0 and media.canonical and media.same_duration
 
 
+def test_names_are_refused_with_a_reason(spark):
+    names = spark.createDataFrame([("people", "Ann"), ("people", " "), ("people", None), ("people", "x" * 121)], "kind string, name string")
+    good, refused = readers.name_entries(names)
+    assert [r.canonical for r in good.collect()] == ["Ann"]
+    assert sorted(r.reason for r in refused.collect()) == ["blank_name", "blank_name", "name_too_long"]
+
+
 def test_streams(spark, tmp_path):
     from pyspark.sql import functions as F
 
