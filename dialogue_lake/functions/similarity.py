@@ -206,34 +206,45 @@ def best_assignment(matrix: list[list[int]]) -> list[int]:
     """Column per row with the largest total; -1 where a row stays free.
 
     Zero cells are never assigned. Among equally good assignments the first in row order
-    wins, smaller columns first and free last. Exact, by dynamic programming over sets of
-    used columns.
+    wins, smaller columns first and free last: each cell's value is followed, as lower
+    digits of one whole number, by the row's preference, so one exact optimum settles both.
+    Rows enter one by one along the cheapest chain of moves (Hungarian method).
     """
     rows, columns = len(matrix), len(matrix[0]) if matrix else 0
-    table: list[dict[int, int]] = [dict() for _ in range(rows + 1)]
-
-    def best(row: int, used: int) -> int:
-        if row == rows:
-            return 0
-        known = table[row]
-        if used not in known:
-            value = best(row + 1, used)
-            for c in range(columns):
-                if not used >> c & 1:
-                    value = max(value, matrix[row][c] + best(row + 1, used | 1 << c))
-            known[used] = value
-        return known[used]
-
-    used, chosen = 0, []
-    for row in range(rows):
-        target = best(row, used)
-        for c in range(columns):
-            if not used >> c & 1 and matrix[row][c] + best(row + 1, used | 1 << c) == target:
-                used |= 1 << c
-                chosen.append(c if matrix[row][c] > 0 else -1)
+    unit = (columns + 1) ** rows
+    # Each row also has the choice of the columns past the last: they stand for "free".
+    cost = [
+        [-v * unit - (columns - c) * (columns + 1) ** (rows - 1 - r) for c, v in enumerate(line)] + [0] * rows
+        for r, line in enumerate(matrix)]
+    holder: dict[int, int] = {}
+    of_row, of_column = [0] * rows, [0] * (columns + rows)
+    for new in range(rows):
+        nearest: dict[int, tuple[int, int | None]] = {}
+        done: dict[int, int] = {}
+        row, via, walked = new, None, 0
+        while True:
+            for c, price in enumerate(cost[row]):
+                length = walked + price - of_row[row] - of_column[c]
+                if c not in done and (c not in nearest or length < nearest[c][0]):
+                    nearest[c] = (length, via)
+            via = min((c for c in nearest if c not in done), key=lambda c: nearest[c][0])
+            walked = done[via] = nearest[via][0]
+            if via not in holder:
                 break
-        else:
-            chosen.append(-1)
+            row = holder[via]
+        of_row[new] += walked
+        for c, length in done.items():
+            if c in holder:
+                of_row[holder[c]] += walked - length
+            of_column[c] -= walked - length
+        while via is not None:
+            before = nearest[via][1]
+            holder[via] = new if before is None else holder[before]
+            via = before
+    chosen = [-1] * rows
+    for c, r in holder.items():
+        if c < columns and matrix[r][c] > 0:
+            chosen[r] = c
     return chosen
 
 

@@ -19,7 +19,6 @@ from dialogue_lake.operators.intervals import (
 )
 from dialogue_lake.operators.lookup import spread_join
 
-MAX_LABELS = 16
 FRACTIONS = [
     "agreement", "disagreement", "primary_only", "secondary_only", "silence",
     "primary_overlap", "secondary_overlap", "overlap_agreement", "unmapped",
@@ -77,21 +76,14 @@ def speaking_totals(cells: DataFrame) -> DataFrame:
 def assign_speakers(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     """One-to-one map with the largest shared time; one row per secondary speaker.
 
-    ``labels`` has ``meeting_id, side, speaker_id``. A meeting has a handful of labels, so
-    its matrix is one small array; more than :data:`MAX_LABELS` on a side is refused.
+    ``labels`` has ``meeting_id, side, speaker_id``. A meeting has few labels, so its
+    matrix is one small array; the choice is exact for any number of them.
     """
     cell_key = lambda s, p: F.concat(s, F.lit("\u0001"), p)
     sides = labels.groupBy("meeting_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("side") == "primary", F.col("speaker_id")))).alias("ps"),
         F.array_sort(F.collect_set(F.when(F.col("side") == "secondary", F.col("speaker_id")))).alias("ss"),
     )
-    sides = sides.withColumn(
-        "ps",
-        F.when(
-            (F.size("ps") > MAX_LABELS) | (F.size("ss") > MAX_LABELS),
-            F.raise_error(F.lit("too many speaker labels in one meeting")).cast("array<string>"),
-        ).otherwise(F.col("ps")),
-    )
     cells = matrix.groupBy("meeting_id").agg(
         F.map_from_entries(
             F.collect_list(F.struct(cell_key(F.col("secondary_id"), F.col("primary_id")), "overlap_ms"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from dialogue_lake.functions import similarity as sim
@@ -56,6 +57,22 @@ def test_assignment_prefers_first_of_equal_optima():
     assert sim.best_assignment([[4, 3], [4, 0], [0, 0]]) == [1, 0, -1]
 
 
+def test_assignment_equals_trying_all():
+    random.seed(9)
+    for _ in range(150):
+        rows, columns = random.randint(1, 4), random.randint(1, 4)
+        table = [[random.randint(0, 3) for _ in range(columns)] for _ in range(rows)]
+        free = columns
+        tried = [p for p in itertools.product(range(columns + 1), repeat=rows) if len({c for c in p if c < free}) == sum(c < free for c in p)]
+        total = lambda p: sum(table[r][c] for r, c in enumerate(p) if c < free)
+        most = max(map(total, tried))
+        first = min(p for p in tried if total(p) == most)
+        assert sim.best_assignment(table) == [c if c < free and table[r][c] else -1 for r, c in enumerate(first)]
+    many = [[5 if (r * 7) % 40 == c else 1 for c in range(40)] for r in range(40)]
+    assert sim.best_assignment(many) == [(r * 7) % 40 for r in range(40)]
+    assert sim.best_assignment([]) == []
+
+
 def test_word_error_rate(spark):
     rows = [("a b c", "a x c d"), ("", ""), ("", "a"), ("It's fine.", "its FINE")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, reference string, hypothesis string")
