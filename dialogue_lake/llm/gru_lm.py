@@ -5,8 +5,8 @@ have their own inputs and outputs; every other word is known by a class that its
 byte gives. The model's probability of a word is that of its class given the state times
 
 * a softmax over the class's words given the state, for head words, or
-* its share of the class's counts, (c + 0.5) / (class count + 0.5), for all others, where
-  an unseen word counts 0.
+* its share of the class's counts, (c + 0.5) / (class count + 0.5 (class words + 1)), for
+  all others, where an unseen word counts 0. Seen words and one unseen word sum to 1.
 
 Training is truncated backpropagation in numpy inside tasks: from shared weights each task
 walks through all its training documents, and Spark averages the weights, first over an
@@ -276,6 +276,25 @@ def counted(texts: DataFrame) -> DataFrame:
     return parts.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+def rest_of_classes(table: DataFrame, top_tails: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each tail class, the head words left out.
+
+    ``counts`` starts with the end of a text; ``top_tails`` are the classes of the words after it.
+    """
+    tails, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    for row in table.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # at most TAILS rows
+        tails[row["tail"]], kinds[row["tail"]] = row["c"], row["n"]
+    own = np.concatenate([[0], top_tails]).astype(int)[:HEAD]
+    np.subtract.at(tails, own, counts[:HEAD].astype(float))
+    np.subtract.at(kinds, own, (counts[:HEAD] > 0).astype(float))
+    return tails, kinds
+
+
+def log_space(tails: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Natural logarithm of what a class's words and one unseen word share."""
+    return np.log(tails + 0.5 * (kinds + 1))
+
+
 def averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
     """Each task learns from its texts starting at ``flat``; the weights' mean, by tokens walked."""
 
@@ -319,16 +338,12 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     vocabulary = Vocabulary(hashes, counts)
     head = np.zeros(HEAD)
     head[: min(HEAD, len(counts))] = counts[:HEAD]
-    tails = np.zeros(TAILS)
-    for row in table.groupBy("tail").agg(F.sum("c").alias("c")).collect():  # at most TAILS rows
-        tails[row["tail"]] = row["c"]
-    np.subtract.at(tails, top["tail"].to_numpy(int)[: HEAD - 1], top["c"].to_numpy(float)[: HEAD - 1])
-    tails[0] -= counts[0]
+    tails, kinds = rest_of_classes(table, top["tail"].to_numpy(int), counts)
     flat = initial(head, tails)
     part = F.pmod(F.xxhash64("key"), F.lit(8))
     for share in (part == 0, part != 0):
         flat = averaged(train.filter(share).select("text"), vocabulary, flat)
-    shares = np.log(tails + 0.5)
+    shares = log_space(tails, kinds)
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = unpacked(flat)

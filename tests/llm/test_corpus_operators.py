@@ -173,6 +173,19 @@ def test_language_model(make):
     assert gru_lm.likelihoods(make([]), train).count() == 0
 
 
+def test_class_shares_sum_to_one(make):
+    words = [f"w{i}{'abcdefgh'[i % 8]}" for i in range(3000)]
+    texts = [" ".join(words[: 3000 - 300 * i]) for i in range(10)]
+    table = gru_lm.counted(make(texts).select("text"))
+    rows = sorted(((r.h, r.tail, r.c) for r in table.collect() if r.h != gru_lm.END_HASH), key=lambda r: (-r[2], r[0]))
+    counts = np.asarray([len(texts), *[c for _, _, c in rows]])
+    tails, kinds = gru_lm.rest_of_classes(table, np.asarray([t for _, t, _ in rows]), counts)
+    sums = np.full(gru_lm.TAILS, 0.5)
+    for _, tail, c in rows[gru_lm.HEAD - 1 :]:
+        sums[tail] += c + 0.5
+    assert sums.max() > 100 and sums / np.exp(gru_lm.log_space(tails, kinds)) == pytest.approx(np.ones(gru_lm.TAILS))
+
+
 def test_gradients_are_those_of_the_likelihood():
     flat = gru_lm.initial(np.ones(gru_lm.HEAD), np.ones(gru_lm.TAILS)).astype(np.float64)
     rng = np.random.default_rng(1)
