@@ -35,12 +35,14 @@ def typed_events(events: DataFrame) -> DataFrame:
 
 
 def event_candidates(utterances: DataFrame, cap: int = 80) -> tuple[DataFrame, DataFrame]:
-    """First ``cap`` utterances with any text, and whether more were left; a call budget."""
+    """Every utterance with any text and its place, and whether a meeting has more than ``cap``.
+
+    ``within_budget`` marks the first ``cap``, the call budget of a meeting.
+    """
     said = utterances.filter(F.trim("text") != "")
-    order = Window.partitionBy("meeting_id").orderBy("utt_idx")
-    first = said.withColumn("candidate_no", F.row_number().over(order).cast("bigint")).filter(F.col("candidate_no") <= cap)
+    ranked = ordered.scan(said, ["meeting_id"], ["utt_idx"], ordered.bucket_of("utt_idx", 4096), [ordered.numbered("candidate_no")])
     total = said.groupBy("meeting_id").agg((F.count(F.lit(1)) > cap).alias("truncated"))
-    return first, total
+    return ranked.withColumn("within_budget", F.col("candidate_no") <= cap), total
 
 
 def verification_questions(items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
@@ -24,9 +24,10 @@ def _with_earlier(numbered: DataFrame, window: int) -> DataFrame:
 
 
 def relation_candidates(numbered: DataFrame, window: int = 12, gap_ms: int = 120_000, floor: float = 0.15, cap: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Pairs of close events worth asking about: the first ``cap`` and the full count.
+    """Pairs of close events worth asking about, and their count per meeting.
 
-    The cap is the request budget of a meeting; the count tells how many were left out.
+    Every pair has its place ``pair_no``. ``within_budget`` marks the first ``cap``, the
+    request budget of a meeting; nothing is left out.
     """
     a = F.col("a")
     related = (
@@ -34,9 +35,8 @@ def relation_candidates(numbered: DataFrame, window: int = 12, gap_ms: int = 120
         | (tx.jaccard(a["terms"], F.col("terms")) >= floor))
     pairs = _with_earlier(numbered, window).filter((F.col("start_ms") - a["end_ms"] <= gap_ms) & related).select(
         "meeting_id", a["event_id"].alias("src"), F.col("event_id").alias("dst"), a["n"].alias("src_n"), F.col("n").alias("dst_n"))
-    order = Window.partitionBy("meeting_id").orderBy("dst_n", "src_n")
-    first = pairs.withColumn("pair_no", F.row_number().over(order)).filter(F.col("pair_no") <= cap)
-    return first, pairs.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("pairs"))
+    ranked = ordered.scan(pairs, ["meeting_id"], ["dst_n", "src_n"], ordered.bucket_of("dst_n", 4096), [ordered.numbered("pair_no")])
+    return ranked.withColumn("within_budget", F.col("pair_no") <= cap), pairs.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def lexical_links(numbered: DataFrame, window: int = 12, gap_ms: int = 120_000, shared: int = 2) -> DataFrame:

@@ -408,7 +408,8 @@ def extract_terms(documents: DataFrame, known: DataFrame, cap: int = 256) -> Dat
     """Known names and identifiers of each text, first form per normalised name.
 
     ``documents``: ``source_id, text``; ``known``: ``canonical``. Known names come first.
-    Tokens are joined with the names, so no text is compared with every name.
+    Tokens are joined with the names, so no text is compared with every name. Every term
+    has its ``rank`` in the text; ``within_budget`` marks the first ``cap``.
     """
     folded = lambda c: F.lower(c)
     tokens = documents.select(
@@ -424,9 +425,8 @@ def extract_terms(documents: DataFrame, known: DataFrame, cap: int = 256) -> Dat
         found.unionByName(shaped).withColumn("term_key", tx.normalize_term(F.col("term")))
         .groupBy("source_id", "term_key").agg(F.min(F.struct("_group", "_pos", "term")).alias("_f")))
     order = Window.partitionBy("source_id").orderBy("_f")
-    return (
-        first.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap)
-        .select("source_id", "term_key", "_f.term"))
+    return first.withColumn("rank", F.row_number().over(order).cast("bigint")).select(
+        "source_id", "term_key", "_f.term", "rank", (F.col("rank") <= cap).alias("within_budget"))
 
 
 def merge_context_terms(terms: DataFrame, cap: int = 256) -> DataFrame:

@@ -238,8 +238,8 @@ def _(v):
     row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS candidate_no, count(*) OVER (PARTITION BY meeting_id) AS n FROM v_u WHERE trim(text) <> '')
     WHERE candidate_no <= 80""")
 def _(v):
-    first, total = au.event_candidates(v.utterances)
-    return first.join(total, "meeting_id").select("meeting_id", "utterance_id", "candidate_no", "truncated")
+    ranked, total = au.event_candidates(v.utterances)
+    return ranked.filter("within_budget").join(total, "meeting_id").select("meeting_id", "utterance_id", "candidate_no", "truncated")
 
 
 _terms = f"list_filter(list_distinct({tokens_sql('text')}), lambda t: NOT list_contains({strings(fixed.CONTENT_STOP)}, t))"
@@ -255,7 +255,7 @@ def pairs(v: Views):
 
 @query("d13_relation_candidates", """SELECT meeting_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY dn, sn) AS k FROM v_prs) WHERE k <= 100""")
 def _(v):
-    return pairs(v).select("meeting_id", "src", "dst")
+    return pairs(v).filter("within_budget").select("meeting_id", "src", "dst")
 
 
 @query("d13_relation_counts", "SELECT meeting_id, count(*) AS pairs FROM v_prs GROUP BY 1")

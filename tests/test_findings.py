@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
-from dialogue_lake.operators import audit, claims, edits
+from dialogue_lake.operators import audit, claims, edits, graph
 from dialogue_lake.operators import terms as tm
 
 
@@ -58,3 +58,29 @@ def test_original_is_supported_outside_ascii(spark):
                                     "category string, domain string, lexical double, phonetic double, semantic double, name string")
     df = df.withColumn("candidate_names", F.array(tx.comparable(F.col("name"))))
     assert edits.edit_verdicts(df).first().rejection == "original_supported"
+
+
+def test_pairs_past_the_budget_stay_and_join_threads(spark):
+    rows = [(1, f"evt_{i:06d}", f"topic{i}", [f"u{i}"], i * 1000, i * 1000 + 500, i) for i in range(150)]
+    events = spark.createDataFrame(rows, "meeting_id bigint, event_id string, text string, evidence_ids array<string>, start_ms bigint, end_ms bigint, utt_idx bigint")
+    numbered = graph.number_events(events)
+    pairs, counts = graph.relation_candidates(numbered)
+    found = sorted((r.pair_no, r.src_n, r.dst_n, r.within_budget) for r in pairs.collect())
+    assert found == [(i, i, i + 1, i <= 100) for i in range(1, 150)] and counts.first().pairs == 149
+    assert {r.issue_id for r in graph.issue_threads(numbered, pairs).collect()} == {"issue_0001"}
+    assert pairs.filter("within_budget").count() == 100
+
+
+def test_utterances_past_the_budget_stay(spark):
+    said = spark.createDataFrame([(1, i, "" if i == 3 else "x") for i in range(90)] + [(2, 0, "y")], "meeting_id bigint, utt_idx bigint, text string")
+    ranked, total = audit.event_candidates(said)
+    kept = sorted((r.utt_idx, r.candidate_no, r.within_budget) for r in ranked.filter("meeting_id = 1").collect())
+    assert kept == [(i, i + (i < 3), i + (i < 3) <= 80) for i in range(90) if i != 3]
+    assert {r.meeting_id: r.truncated for r in total.collect()} == {1: True, 2: False}
+
+
+def test_terms_past_the_budget_stay(spark):
+    docs = spark.createDataFrame([("a", " ".join(f"part-{i}" for i in range(300)))], "source_id string, text string")
+    known = spark.createDataFrame([("unseen",)], "canonical string")
+    found = tm.extract_terms(docs, known).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 301)) and sum(r.within_budget for r in found) == 256
