@@ -1,9 +1,10 @@
 """Secret scans: base patterns, and strings that look random to two Markov models.
 
 Characters of a string are explained by two first-order chains, one trained on labelled
-random strings and one on labelled ordinary identifiers. A long string whose mean
-log-likelihood ratio is above a threshold is a secret. Where a base span already covers a
-candidate, the base span stays alone.
+random strings and one on labelled ordinary identifiers. A string whose mean
+log-likelihood ratio is above a threshold is a secret; the shorter it is, the higher the
+threshold. Strings of few different characters are repetitions, not random. Where base
+spans cover a candidate wholly, they stay alone.
 
 A missing text is empty and has no spans. Rows are scanned one by one, whole.
 """
@@ -25,10 +26,13 @@ KINDS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]{32,}"),
 }
-#: Long strings with a digit; without one, long words of ordinary prose would be scored.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: Strings of SHORTEST characters with a letter, or of LONG: shorter numbers are dates, calls or amounts.
+SHORTEST, LONG = 12, 20
+CANDIDATE = re.compile(
+    rf"(?<![A-Za-z0-9+/_=-])(?:(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}|[0-9+/_=-]{{{LONG},}})(?![A-Za-z0-9+/_=-])")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-THRESHOLD = 0.4
+#: For LONG strings; STEEPER is added for each character less.
+THRESHOLD, STEEPER = 0.4, 0.1
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 PARTS = (
@@ -87,6 +91,11 @@ class Scanner:
         codes = self.places[np.frombuffer(text.encode(), np.uint8)]
         return float(self.ratios[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].mean())
 
+    def is_random(self, text: str) -> bool:
+        if 4 * len(set(text)) < min(len(text), 2 * LONG):
+            return False
+        return self.score(text) > self.threshold + STEEPER * max(0, LONG - len(text))
+
     def base(self, text: str) -> list[tuple[str, int, int]]:
         found = [("assign", *m.span()) for m in KINDS["assign"].finditer(text) if len(m[1]) >= 8]
         found += [("access", *m.span()) for m in KINDS["access"].finditer(text) if len(m[0]) >= 16]
@@ -95,16 +104,19 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All spans by start, then kind as listed, the model's kind last."""
         base = self.base(text)
-        covered = sorted((start, end) for _, start, end in base)
         found = [
             ("random", *m.span()) for m in CANDIDATE.finditer(text)
-            if self.ratios is not None and self.score(m[0]) > self.threshold]
-        if covered and found:
-            # Base spans sorted by start; the furthest end so far tells of an overlap.
-            starts = np.asarray([x[0] for x in covered])
-            furthest = np.maximum.accumulate([x[1] for x in covered])
-            at = np.searchsorted(starts, [x[2] for x in found], "left") - 1
-            found = [x for x, i in zip(found, at, strict=True) if i < 0 or furthest[i] <= x[1]]
+            if self.ratios is not None and self.is_random(m[0])]
+        if base and found:
+            # Unions of base spans by start; a candidate is covered if one union holds it.
+            unions: list[list[int]] = []
+            for start, end in sorted((start, end) for _, start, end in base):
+                if unions and start <= unions[-1][1]:
+                    unions[-1][1] = max(unions[-1][1], end)
+                else:
+                    unions.append([start, end])
+            at = np.searchsorted([x[0] for x in unions], [x[1] for x in found], "right") - 1
+            found = [x for x, i in zip(found, at, strict=True) if i < 0 or unions[i][1] < x[2]]
         order = {kind: i for i, kind in enumerate((*KINDS, "random"))}
         return sorted(base + found, key=lambda x: (x[1], order[x[0]]))
 
