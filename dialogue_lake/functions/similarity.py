@@ -6,6 +6,7 @@ Spark spreads the rows; each function only works on one Arrow batch at a time.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -54,8 +55,8 @@ _PLAIN = {"l": "l", "m": "m", "n": "n", "r": "r", "f": "f", "j": "j", "b": "b",
 
 
 def metaphone_of(text: str) -> str:
-    """Lawrence Philips' Metaphone code of a lower-case word, in capitals."""
-    s = re.sub(r"[^a-z]", "", text.lower())
+    """Lawrence Philips' Metaphone code of a word, in capitals; accented letters count as plain ones."""
+    s = re.sub(r"[^a-z]", "", unicodedata.normalize("NFKD", text.lower()))
     if s[:2] in ("ae", "gn", "kn", "pn", "wr"):
         s = s[1:]
     elif s[:1] == "x":

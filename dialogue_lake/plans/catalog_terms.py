@@ -124,7 +124,8 @@ def _(v):
 
 @query("b08_phonetic_code")
 def _(v):
-    words = v.words.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("token")).distinct()
+    both = v.utterances.select("text").unionByName(v.table("documents").select("text"))
+    words = both.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("token")).distinct()
     return words.select("token", sim.metaphone("token").alias("code"))
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import audit, claims, edits, graph
 from dialogue_lake.operators import terms as tm
+from dialogue_lake.plans import catalog
+from dialogue_lake.plans.views import Views
 
 
 def test_budget_keeps_every_request(spark):
@@ -84,3 +86,10 @@ def test_terms_past_the_budget_stay(spark):
     known = spark.createDataFrame([("unseen",)], "canonical string")
     found = tm.extract_terms(docs, known).collect()
     assert sorted(r["rank"] for r in found) == list(range(1, 301)) and sum(r.within_budget for r in found) == 256
+
+
+def test_accented_words_of_both_tables_are_coded_whole(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "Étion nährung")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "garçon"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.token: r.code for r in catalog.QUERIES["b08_phonetic_code"](Views(spark, str(tmp_path))).collect()}
+    assert found == {"étion": "EXN", "nährung": "NRNK", "garçon": "KRKN"}
