@@ -1,8 +1,8 @@
 """A gated recurrent language model with a class-factored output, and its unigram base.
 
-Counts of all training tokens come from one aggregation. The most frequent words (head)
-have their own inputs and outputs; every other word is known by a class that its last
-byte gives. The model's probability of a word is that of its class given the state times
+Counts of all training tokens come from one aggregation. The words counted ``RARE``
+times or more (head) have their own inputs and outputs, in classes by frequency whose number
+and width grow with them; every other word is known by a class that its last byte gives. The model's probability of a word is that of its class given the state times
 
 * a softmax over the class's words given the state, for head words, or
 * its share of the class's counts, (c + 0.5) / (class count + 0.5 (class words + 1)), for
@@ -13,7 +13,8 @@ walks through all its training documents, and Spark averages the weights, first
 eighth of the documents, then over the others. Documents are scored in step, many at a
 time, with the state carried from window to window until each document's end.
 
-Counts of the ``LOCAL`` most frequent words go to every task, a fixed bound; the few other
+Counts of the ``LOCAL`` most frequent words go to every task, a fixed bound, which also bounds
+the head (weights and Adam's moments take about 1 KB a word in a task); the few other
 tokens are joined to the table of counts. A missing text is empty: its one token is the
 end. Repeated rows are scored alike; with no training rows everything is unknown.
 """
@@ -32,20 +33,41 @@ from dialogue_lake.llm.hashed_words import Words, blocks
 
 HIDDEN, HEAD, PER_CLASS, TAILS = 16, 1024, 32, 16
 LOCAL = 200_000
-CLASSES = HEAD // PER_CLASS + TAILS
+#: Words counted less often have no weights of their own.
+RARE = 8
 END = 0
 END_HASH = np.int64(0x1E3779B97F4A7C15)
 LANES, STEPS, RATE = 512, 8, 0.004
-WINDOW_ROWS = 1 << 16
+#: Weights a row when the tasks' weights are averaged.
+BLOCK = 1 << 16
+WINDOW_ROWS = 1 << 14
 
-SHAPES = {
-    "input": (HEAD + TAILS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-    "word": (HEAD // PER_CLASS, HIDDEN, PER_CLASS), "word_bias": (HEAD // PER_CLASS, PER_CLASS)}
 
+def per_class(head: int) -> int:
+    """Words of a class: about as many as there are classes."""
+    width = PER_CLASS
+    while width * width < head:
+        width *= 2
+    return width
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+
+def head_size(counts: np.ndarray) -> int:
+    """Places for every word counted ``RARE`` times or more, in whole classes, at least ``HEAD``."""
+    n = max(HEAD, int((counts >= RARE).sum()))
+    return -(-n // per_class(n)) * per_class(n)
+
+
+def shapes(head: int) -> dict[str, tuple[int, ...]]:
+    width = per_class(head)
+    classes = head // width
+    return {
+        "input": (head + TAILS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "class": (HIDDEN, classes + TAILS),
+        "class_bias": (classes + TAILS,), "word": (classes, HIDDEN, width), "word_bias": (classes, width)}
+
+
+def unpacked(flat: np.ndarray, head: int = HEAD) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(head).items():
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
@@ -55,9 +77,9 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
 def initial(head_counts: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
     """Small random weights; the biases start at the unigram frequencies."""
     rng = np.random.default_rng(3)
-    flat = (rng.standard_normal(sum(int(np.prod(s)) for s in SHAPES.values())) * 0.1).astype(np.float32)
-    w = unpacked(flat)
-    by_class = head_counts.reshape(-1, PER_CLASS) + 0.5
+    flat = (rng.standard_normal(sum(int(np.prod(s)) for s in shapes(len(head_counts)).values())) * 0.1).astype(np.float32)
+    w = unpacked(flat, len(head_counts))
+    by_class = head_counts.reshape(w["word_bias"].shape) + 0.5
     w["class_bias"][:] = np.log(np.concatenate([by_class.sum(axis=1), tail_counts + 0.5]))
     w["word_bias"][:] = np.log(by_class)
     w["class"][:] *= 0.1
@@ -68,8 +90,9 @@ def initial(head_counts: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The most frequent words: sorted hashes with their counts and places by frequency."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, head: int = HEAD):
         """Words by falling count, the first being the end of a text."""
+        self.head = head
         order = np.argsort(hashes)
         self.hashes, self.counts, self.places = hashes[order], counts[order], order.astype(np.int32)
 
@@ -80,8 +103,8 @@ class Vocabulary:
             hashes = words.hashes.view(np.int64)
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             here = self.hashes[at] == hashes
-            head = here & (self.places[at] < HEAD)
-            ids = np.where(head, self.places[at], HEAD + words.last.astype(np.int32) % TAILS)
+            head = here & (self.places[at] < self.head)
+            ids = np.where(head, self.places[at], self.head + words.last.astype(np.int32) % TAILS)
             yield ids.astype(np.int32), np.where(here, self.counts[at], -1), hashes, words.starts
 
 
@@ -99,8 +122,9 @@ def step(w: dict[str, np.ndarray], tokens: np.ndarray, h: np.ndarray) -> tuple[n
     return n + z * (h - n), z, r, n, own
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < HEAD, ids // PER_CLASS, HEAD // PER_CLASS + ids - HEAD)
+def class_of(ids: np.ndarray, classes: int, width: int) -> np.ndarray:
+    head = classes * width
+    return np.where(ids < head, ids // width, classes + ids - head)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -110,45 +134,61 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's class and, for head words, of the word in it."""
-    classes, rows = class_of(ids), np.arange(len(ids))
+    n, _, width = w["word"].shape
+    classes, rows = class_of(ids, n, width), np.arange(len(ids))
     logits = h @ w["class"] + w["class_bias"]
     logits -= logits.max(axis=1, keepdims=True)
     out = logits[rows, classes] - np.log(np.exp(logits).sum(axis=1))
     order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(HEAD // PER_CLASS + 1))
-    for c in range(HEAD // PER_CLASS):
+    edges = np.searchsorted(classes[order], np.arange(n + 1))
+    for c in range(n):
         own = order[edges[c] : edges[c + 1]]
         if len(own):
             logits = h[own] @ w["word"][c] + w["word_bias"][c]
             logits -= logits.max(axis=1, keepdims=True)
-            out[own] += logits[np.arange(len(own)), ids[own] % PER_CLASS] - np.log(np.exp(logits).sum(axis=1))
+            out[own] += logits[np.arange(len(own)), ids[own] % width] - np.log(np.exp(logits).sum(axis=1))
     return out
 
 
 class Trainer:
-    """Adam over windows of ``STEPS`` tokens in many lanes; states flow on, gradients don't."""
+    """Adam over windows of ``STEPS`` tokens in many lanes; states flow on, gradients don't.
 
-    def __init__(self, flat: np.ndarray, rate: float = RATE):
+    Rows of words and classes that a window does not hold stay as they are.
+    """
+
+    def __init__(self, flat: np.ndarray, head: int = HEAD, rate: float = RATE):
         self.flat, self.rate, self.turn = flat.copy(), rate, 0
         self.first, self.second = np.zeros_like(flat), np.zeros_like(flat)
         self.grad = np.zeros_like(flat)
-        self.w, self.g = unpacked(self.flat), unpacked(self.grad)
+        self.w, self.g, self.m, self.v = (unpacked(x, head) for x in (self.flat, self.grad, self.first, self.second))
+        self.touched: dict[str, np.ndarray] = {}
+
+    def learn(self, stream: np.ndarray, lanes: int = 0) -> np.ndarray:
+        """One walk through a stream of token ids; END ends a document and resets the state.
 
-    def learn(self, stream: np.ndarray) -> None:
-        """One walk through a stream of token ids; END ends a document and resets the state."""
-        lanes = int(min(LANES, max(8, len(stream) // 400)))
+        Returns the tokens that are still to be walked, the first being a target met before.
+        """
+        lanes = lanes or int(min(LANES, max(8, len(stream) // 400)))
         length = (len(stream) - 1) // lanes
         if length < 1:
-            return
+            return stream
         inputs = stream[: lanes * length].reshape(lanes, length)
         targets = stream[1 : lanes * length + 1].reshape(lanes, length)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, length, STEPS):
             h = self.window(inputs[:, at : at + STEPS], targets[:, at : at + STEPS], h)
+        return stream[lanes * length :]
+
+    def finish(self, stream: np.ndarray) -> None:
+        """Walks through all that is left, in as few windows as that takes."""
+        stream = self.learn(stream)
+        while len(stream) > 1:
+            stream = self.learn(stream, max(1, (len(stream) - 1) // STEPS))
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> np.ndarray:
         w, g = self.w, self.g
-        self.grad[:] = 0
+        for name, x in g.items():
+            x[self.touched.get(name, slice(None))] = 0
         trace, states = [], []
         for t in range(inputs.shape[1]):
             going = (inputs[:, t] != END)[:, None].astype(np.float32)
@@ -157,7 +197,8 @@ class Trainer:
             trace.append((before, z, r, n, own, going))
             states.append(h)
         flat, ids = np.concatenate(states), targets.T.ravel()
-        classes, scale = class_of(ids), np.float32(1 / len(ids))
+        count, _, width = w["word"].shape
+        classes, scale = class_of(ids, count, width), np.float32(1 / len(ids))
         p = softmax(flat @ w["class"] + w["class_bias"])
         p[np.arange(len(ids)), classes] -= 1
         p *= scale
@@ -165,12 +206,12 @@ class Trainer:
         g["class_bias"] += p.sum(axis=0)
         back = p @ w["class"].T
         order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(HEAD // PER_CLASS + 1))
-        for c in range(HEAD // PER_CLASS):
+        edges = np.searchsorted(classes[order], np.arange(count + 1))
+        for c in range(count):
             own = order[edges[c] : edges[c + 1]]
             if len(own):
                 p = softmax(flat[own] @ w["word"][c] + w["word_bias"][c])
-                p[np.arange(len(own)), ids[own] % PER_CLASS] -= 1
+                p[np.arange(len(own)), ids[own] % width] -= 1
                 p *= scale
                 g["word"][c] += flat[own].T @ p
                 g["word_bias"][c] += p.sum(axis=0)
@@ -193,14 +234,19 @@ class Trainer:
         order = np.argsort(seen, kind="stable")
         found, begin = np.unique(seen[order], return_index=True)
         g["input"][found] += np.add.reduceat(steps.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
-        norm = float(np.sqrt((self.grad**2).sum()))
-        if norm > 1:
-            self.grad /= norm
+        held = np.flatnonzero(np.diff(edges))
+        self.touched = {"input": found, "word": held, "word_bias": held}
+        rows = {name: self.touched.get(name, slice(None)) for name in g}
+        norm = float(np.sqrt(sum((g[name][at] ** 2).sum() for name, at in rows.items())))
         self.turn += 1
-        self.first += 0.1 * (self.grad - self.first)
-        self.second += 0.01 * (self.grad**2 - self.second)
         size = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-        self.flat -= (size * self.first / (np.sqrt(self.second) + 1e-8)).astype(np.float32)
+        for name, at in rows.items():
+            slope = g[name][at] / np.float32(max(norm, 1))
+            first, second = self.m[name][at], self.v[name][at]
+            first = first + np.float32(0.1) * (slope - first)
+            second = second + np.float32(0.01) * (slope**2 - second)
+            self.m[name][at], self.v[name][at] = first, second
+            w[name][at] -= (size * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
         return h
 
 
@@ -276,7 +322,7 @@ def counted(texts: DataFrame) -> DataFrame:
     return parts.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def rest_of_classes(table: DataFrame, top_tails: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rest_of_classes(table: DataFrame, top_tails: np.ndarray, counts: np.ndarray, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each tail class, the head words left out.
 
     ``counts`` starts with the end of a text; ``top_tails`` are the classes of the words after it.
@@ -284,9 +330,9 @@ def rest_of_classes(table: DataFrame, top_tails: np.ndarray, counts: np.ndarray)
     tails, kinds = np.zeros(TAILS), np.zeros(TAILS)
     for row in table.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # at most TAILS rows
         tails[row["tail"]], kinds[row["tail"]] = row["c"], row["n"]
-    own = np.concatenate([[0], top_tails]).astype(int)[:HEAD]
-    np.subtract.at(tails, own, counts[:HEAD].astype(float))
-    np.subtract.at(kinds, own, (counts[:HEAD] > 0).astype(float))
+    own = np.concatenate([[0], top_tails]).astype(int)[:head]
+    np.subtract.at(tails, own, counts[:head].astype(float))
+    np.subtract.at(kinds, own, (counts[:head] > 0).astype(float))
     return tails, kinds
 
 
@@ -296,31 +342,36 @@ def log_space(tails: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 
 def averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
-    """Each task learns from its texts starting at ``flat``; the weights' mean, by tokens walked."""
+    """Each task learns from its texts starting at ``flat``; the weights' mean, by tokens walked.
+
+    Tasks send how far weights moved, in half precision; rows no task met are zeros and pack well.
+    """
 
     def learn(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, walked = Trainer(flat), 0
+        trainer, walked, left = Trainer(flat, vocabulary.head), 0, np.zeros(0, np.int32)
         for table in tables:
-            stream: list[np.ndarray] = []
+            stream = [left]
             for ids, _, _, starts in vocabulary.tokens(table.column(0)):
                 stream.append(np.insert(ids, starts[:-1], END))
-            if stream:
-                whole = np.concatenate([*stream, [END]])
-                trainer.learn(whole)
-                walked += len(whole)
+                walked += len(stream[-1])
+            left = trainer.learn(np.concatenate(stream))
         if walked:
-            for at in range(0, len(flat), 10_000):
-                part = trainer.flat[at : at + 10_000].astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + len(part))), pa.array(part * walked), pa.array(np.full(len(part), float(walked)))],
-                    names=["place", "total", "weight"])
-
-    rows = texts.mapInArrow(learn, "place long, total double, weight double").groupBy("place").agg(
-        (F.sum("total") / F.sum("weight")).alias("value")).collect()  # one number per weight
-    if not rows:
-        return flat
+            trainer.finish(np.append(left, END))
+            for at in range(0, len(flat), BLOCK):
+                moved = (trainer.flat[at : at + BLOCK] - flat[at : at + BLOCK]).astype(np.float16)
+                part = pa.array([moved.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), part, pa.array([float(walked)])], names=["place", "part", "weight"])
+
+    def mean(found: pa.Table) -> pa.Table:
+        weights = found["weight"].to_numpy()
+        value = sum(w * np.frombuffer(x.as_py(), np.float16).astype(np.float64) for w, x in zip(weights, found["part"], strict=True)) / weights.sum()
+        return pa.table({"place": found["place"].slice(0, 1), "part": pa.array([value.astype(np.float32)], pa.list_(pa.float32()))})
+
+    rows = texts.mapInArrow(learn, "place long, part binary, weight double").groupBy("place").applyInArrow(
+        mean, "place long, part array<float>").toArrow()  # the weights once
     out = flat.copy()
-    out[[r["place"] for r in rows]] = [r["value"] for r in rows]
+    for place, part in zip(rows["place"].to_pylist(), rows["part"], strict=True):
+        out[place : place + BLOCK] += part.values.to_numpy()
     return out
 
 
@@ -335,10 +386,11 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     ends = table.filter(F.col("h") == int(END_HASH)).select("c").first()
     hashes = np.concatenate([[END_HASH], top["h"].to_numpy(np.int64)])
     counts = np.concatenate([[ends[0] if ends else 0], top["c"].to_numpy(np.int64)])
-    vocabulary = Vocabulary(hashes, counts)
-    head = np.zeros(HEAD)
-    head[: min(HEAD, len(counts))] = counts[:HEAD]
-    tails, kinds = rest_of_classes(table, top["tail"].to_numpy(int), counts)
+    size = head_size(counts)
+    vocabulary = Vocabulary(hashes, counts, size)
+    head = np.zeros(size)
+    head[: min(size, len(counts))] = counts[:size]
+    tails, kinds = rest_of_classes(table, top["tail"].to_numpy(int), counts, size)
     flat = initial(head, tails)
     part = F.pmod(F.xxhash64("key"), F.lit(8))
     for share in (part == 0, part != 0):
@@ -346,7 +398,7 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     shares = log_space(tails, kinds)
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpacked(flat)
+        w = unpacked(flat, size)
         for batch in tables:
             n = batch.num_rows
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -355,11 +407,11 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: st
             for ids, found, hashes, starts in vocabulary.tokens(batch.column(1)):
                 local = np.maximum(found, 0)
                 logs = np.where(found >= 0, np.log10(local + 0.5), 0.0)
-                tail = ids >= HEAD
+                tail = ids >= size
                 per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[starts])  # noqa: B023, E731
                 columns[0].append(per_text(logs))
                 columns[1].append(per_text(np.where(tail, logs, 0.0)))
-                columns[2].append(per_text(np.where(tail, shares[np.maximum(ids - HEAD, 0)], 0.0)))
+                columns[2].append(per_text(np.where(tail, shares[np.maximum(ids - size, 0)], 0.0)))
                 columns[3].append(per_text(found > 0))
                 rest.append(hashes[found < 0])
                 rest_sizes.append(per_text(found < 0))

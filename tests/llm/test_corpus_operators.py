@@ -186,6 +186,22 @@ def test_class_shares_sum_to_one(make):
     assert sums.max() > 100 and sums / np.exp(gru_lm.log_space(tails, kinds)) == pytest.approx(np.ones(gru_lm.TAILS))
 
 
+def test_head_grows_with_the_counts_and_every_token_is_walked():
+    assert gru_lm.head_size(np.ones(5)) == gru_lm.HEAD
+    counts = np.sort(np.random.default_rng(0).integers(gru_lm.RARE, 1000, 20_000))[::-1]
+    head = gru_lm.head_size(np.concatenate([counts, np.ones(5000)]))
+    assert 20_000 <= head < 20_000 + gru_lm.per_class(head)
+    flat = gru_lm.initial(np.ones(head), np.ones(gru_lm.TAILS))
+    trainer, met, stream = gru_lm.Trainer(flat, head), [], np.arange(1, 9000)
+    window = trainer.window
+    trainer.window = lambda inputs, targets, h: met.extend(targets.ravel()) or window(inputs, targets, h)
+    left = trainer.learn(stream[:5000])
+    trainer.finish(np.concatenate([left, stream[5000:]]))
+    assert sorted(met) == list(range(2, 9000))
+    w = gru_lm.unpacked(trainer.flat, head)
+    assert (w["input"][1:8999] != gru_lm.unpacked(flat, head)["input"][1:8999]).any(axis=1).all()
+
+
 def test_gradients_are_those_of_the_likelihood():
     flat = gru_lm.initial(np.ones(gru_lm.HEAD), np.ones(gru_lm.TAILS)).astype(np.float64)
     rng = np.random.default_rng(1)
