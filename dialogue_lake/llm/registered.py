@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import gru_lm, iblt, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, hard_negatives, iblt, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,34 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_iblt(spark: SparkSession, folder: str) -> DataFrame:
     return iblt.compared(documents(spark, folder))
+
+
+OP11_SQL = """
+with rows_ as (
+  select vec_id as id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    [floor(256 * x::double) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+once as (
+  select id, label, list_resize(q, (select max(len(q)) from rows_), 0.0) as q
+  from rows_ qualify row_number() over (partition by id order by label, q) = 1),
+scores as (
+  select a.id as anchor_id, r.id, r.label = a.label as same, cast(list_inner_product(a.q, r.q) as bigint) as score
+  from once a, once r where a.id % 100 = 0 and a.id <> r.id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by n.score desc, n.id) as int) as rank,
+  n.id as negative_id, positive_score, n.score as negative_score
+from positives join scores n using (anchor_id)
+where not n.same and 80 * positive_score <= 100 * n.score and 100 * n.score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by n.score desc, n.id) <= 5
+"""
+
+
+@query(OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.mined(rows)
