@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogue_lake.llm import gru_lm, hard_negatives, iblt, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from dialogue_lake.llm import gru_lm, hard_negatives, iblt, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, repeated_bytes, secret_scan, spelling, token_counts
 from dialogue_lake.llm import textual as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,13 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").withColumn("label", label)
     return hard_negatives.mined(rows)
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder))
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes.deduplicated(documents(spark, folder)).drop("kept")
