@@ -87,3 +87,6 @@ ARTIFACTS = [
     ("grounding_txt", "grounding.txt", "text/plain"),
     ("edit_log_json", "edit_log.json", "application/json"),
 ]
+
+# What a minute may be.
+MINUTE_KINDS = ("discussion", "proposal", "concern", "information", "decision", "action")

@@ -152,57 +152,6 @@ def metaphone(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else metaphone_of(v))
 
 
-class VariantTable:
-    """Forms to compare against, one bit row per form, for whole-table comparison.
-
-    The longest common subsequence of one text with every form is found together: each
-    character of the text updates all bit rows with a few vector operations. Forms are
-    kept in order of length, so that only those a given ratio allows are looked at.
-    """
-
-    def __init__(self, forms: list[str]):
-        self.order = sorted(range(len(forms)), key=lambda i: len(forms[i]))
-        ordered = [forms[i] for i in self.order]
-        self.positions = np.array(self.order, dtype=np.int64)
-        self.lengths = np.array([len(f) for f in ordered], dtype=np.int64)
-        self.lanes = max(1, -(-int(self.lengths.max(initial=1)) // 63))
-        self.alphabet: dict[str, np.ndarray] = {}
-        for i, form in enumerate(ordered):
-            for p, c in enumerate(form):
-                rows = self.alphabet.setdefault(
-                    c, np.zeros((self.lanes, len(ordered)), dtype=np.uint64)
-                )
-                rows[p // 63, i] |= np.uint64(1 << (p % 63))
-
-    def window(self, text: str, floor: float) -> slice:
-        """Forms whose length alone allows a ratio of ``floor``."""
-        share = floor / (2 - floor)
-        low = np.searchsorted(self.lengths, len(text) * share - 1e-9, side="left")
-        high = np.searchsorted(self.lengths, len(text) / share + 1e-9, side="right") if share else None
-        return slice(int(low), None if high is None else int(high))
-
-    def ratios(self, text: str, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the given list and their ratios, where the length allows ``floor``."""
-        part = self.window(text, floor)
-        lengths = self.lengths[part]
-        low = np.uint64((1 << 63) - 1)
-        rows = np.full((self.lanes, len(lengths)), low, dtype=np.uint64)
-        for c in text:
-            masks = self.alphabet.get(c)
-            if masks is None:
-                continue
-            carry = np.zeros(len(lengths), dtype=np.uint64)
-            for lane in range(self.lanes):
-                row, mask = rows[lane], masks[lane, part]
-                total = row + (row & mask) + carry
-                carry = total >> np.uint64(63)
-                rows[lane] = (total | (row & ~mask)) & low
-        common = np.zeros(len(lengths))
-        for lane in range(self.lanes):
-            common += np.bitwise_count(~rows[lane] & low)
-        return self.positions[part], 2 * common / np.maximum(1, lengths + len(text))
-
-
 def best_assignment(matrix: list[list[int]]) -> list[int]:
     """Column per row with the largest total; -1 where a row stays free.
 

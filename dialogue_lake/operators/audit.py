@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
-from dialogue_lake.operators import ordered
+from dialogue_lake.operators import claims, ordered
 from dialogue_lake.operators.lookup import spread_join
 
 ACCEPT, REVIEW = 0.85, 0.60
@@ -194,14 +194,42 @@ def extraction_requests(chunks: DataFrame, utterances: DataFrame) -> DataFrame:
         "_b", F.explode(F.sequence(block(F.col("first_utt")), block(F.col("last_utt")))))
     rows = utterances.withColumn("_b", block(F.col("utt_idx"))).join(good, ["meeting_id", "_b"]).filter(
         F.col("utt_idx").between(F.col("first_utt"), F.col("last_utt")))
-    grouped = rows.groupBy("meeting_id", "chunk_no").agg(
-        F.array_sort(F.collect_list(F.struct("utt_idx", "utterance_id", "speaker_id", "text"))).alias("utterances"),
+    grouped = rows.withColumn("_record", claims.request_record(rows)).groupBy("meeting_id", "chunk_no").agg(
+        F.array_sort(F.collect_list(F.struct("utt_idx", "utterance_id", "_record"))).alias("utterances"),
         F.array_sort(F.collect_set("speaker_id")).alias("speakers"))
     ids = F.transform("utterances", lambda u: u["utterance_id"])
-    body = F.to_json(F.struct(
-        F.format_string("chunk_%04d", "chunk_no").alias("request_id"), "utterances",
-        F.struct(ids.alias("evidence_utterance_ids"), F.col("speakers").alias("owner_speaker_ids")).alias("allowed")))
-    return grouped.select("meeting_id", "chunk_no", F.size("utterances").cast("bigint").alias("n_utterances"), "speakers", body.alias("request"))
+    request = claims.request_text(F.transform("utterances", lambda u: u["_record"]))
+    return grouped.select(
+        "meeting_id", "chunk_no", F.size("utterances").cast("bigint").alias("n_utterances"), "speakers",
+        request.alias("request"), response_schema(ids, F.col("speakers")).alias("response_schema"))
+
+
+def _object(properties: dict[str, Column | str]) -> Column:
+    """A JSON schema of an object with exactly these properties."""
+    parts: list[Column | str] = []
+    for name, schema in properties.items():
+        parts += [", " if parts else "", f'"{name}": ', schema]
+    names = ", ".join(f'"{name}"' for name in properties)
+    whole = ['{"type": "object", "properties": {', *parts, f'}}, "required": [{names}], "additionalProperties": false}}']
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in whole])
+
+
+def response_schema(ids: Column, speakers: Column) -> Column:
+    """The JSON schema of an answer: only the chunk's utterances may be cited, only its speakers own."""
+    listed = lambda values: F.concat(F.lit("["), F.array_join(F.transform(values, claims.json_string), ", "), F.lit("]"))
+    array = lambda items: F.concat(F.lit('{"type": "array", "items": '), items, F.lit("}"))
+    text, nothing = '{"type": "string"}', '{"type": "null"}'
+    one_of = lambda values: F.concat(F.lit('{"type": "string", "enum": '), values, F.lit("}"))
+    fixed_one = lambda *values: '{"type": "string", "enum": [' + ", ".join(f'"{v}"' for v in values) + "]}"
+    evidence = array(one_of(listed(ids)))
+    named = _object({"kind": fixed_one("named_entity"), "speaker_id": nothing, "display_text": text})
+    speaker = _object({"kind": fixed_one("speaker"), "speaker_id": one_of(listed(speakers)), "display_text": nothing})
+    owner = F.concat(
+        F.lit('{"anyOf": ['), F.when(F.size(speakers) > 0, F.concat(speaker, F.lit(", "))).otherwise(""), named, F.lit(f", {nothing}]}}"))
+    said = _object({"text": text, "evidence_utterance_ids": evidence})
+    minute = _object({"text": text, "evidence_utterance_ids": evidence, "topic": text, "kind": fixed_one(*fixed.MINUTE_KINDS)})
+    action = _object({"task": text, "owner": owner, "deadline_text": '{"type": ["string", "null"]}', "evidence_utterance_ids": evidence})
+    return _object({"summary": array(said), "minutes": array(minute), "decisions": array(said), "action_items": array(action)})
 
 
 def score_requests(requests: DataFrame, score, schema) -> DataFrame:

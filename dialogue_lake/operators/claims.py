@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import ordered
+from dialogue_lake.session import checkpointed
 
 PREFIX = {"summary": "sum", "minutes": "min", "decisions": "dec", "action_items": "act"}
-ENVELOPE = 64
+# The names around the records of a request.
+REQUEST_HEAD = '{"UNTRUSTED_MEETING_TRANSCRIPT_DATA": ['
+REQUEST_TAIL = '], "sections": ["summary", "minutes", "decisions", "action_items"]}'
 
 
 def cited_place(utterance_id: Column) -> Column:
@@ -28,59 +31,81 @@ def identity(items_have: list[str] = ["section", "text", "topic", "kind", "owner
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in items_have]), {"ignoreNullFields": "false"}), 256)
 
 
+def json_string(value: Column) -> Column:
+    """A JSON string of ``value``, ``null`` without one."""
+    wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+
+
+def request_record(utterances: DataFrame) -> Column:
+    """One utterance as it stands in a request, with a blank after each comma and colon.
+
+    ``text`` is the refined text; ``raw_text`` and ``applied_edit_ids`` are used if there.
+    """
+    raw = F.col("raw_text" if "raw_text" in utterances.columns else "text")
+    edits = F.col("applied_edit_ids") if "applied_edit_ids" in utterances.columns else F.array().cast("array<string>")
+    listed = F.array_join(F.transform(F.coalesce(edits, F.array().cast("array<string>")), json_string), ", ")
+    return F.concat(
+        F.lit('{"applied_edit_ids": ['), listed, F.lit('], "raw_text": '), json_string(raw), F.lit(', "refined_text": '),
+        json_string(F.col("text")), F.lit(', "speaker_id": '), json_string(F.col("speaker_id")), F.lit(', "utterance_id": '),
+        json_string(F.col("utterance_id")), F.lit("}"))
+
+
+def request_text(records: Column) -> Column:
+    """The request that holds an array of records."""
+    return F.concat(F.lit(REQUEST_HEAD), F.array_join(records, ", "), F.lit(REQUEST_TAIL))
+
+
 def build_chunks(utterances: DataFrame, max_chars: int = 18_000, overlap: int = 2, max_chunks: int = 32) -> DataFrame:
     """Whole utterances packed into overlapping chunks; too large a meeting is an error row.
 
-    A chunk never holds more than ``max_chars``, counting a fixed envelope per utterance.
-    A meeting whose total size cannot fit into ``max_chunks`` chunks is refused by a plain
-    sum, before anything is collected, so the fold only sees meetings of bounded size.
+    A chunk is as long as its serialised request allows. The next one starts ``overlap``
+    utterances before the end, at least one further on. A meeting with an utterance that
+    fits no request, or of more than ``max_chunks`` chunks, is refused.
+
+    With running sums of the record sizes, the last utterance of a chunk is the last one
+    whose sum is within the room after its first: one ordered pass finds it for every
+    possible start. Starts that follow each other from the first are then reached by
+    doubling the step. Meetings that fit one request need neither. No meeting is one array.
     """
-    size = (F.length("text") + ENVELOPE).cast("bigint")
-    totals = utterances.groupBy("meeting_id").agg(
-        F.sum(size).alias("total"), F.max(size).alias("longest"), F.count(F.lit(1)).alias("n"))
-    fits = (F.col("total") <= max_chars * max_chunks) & (F.col("longest") <= max_chars)
-    small = totals.filter(fits)
-    sized = utterances.select("meeting_id", "utt_idx", size.alias("size")).join(small, "meeting_id", "left_semi")
-    arrays = sized.groupBy("meeting_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("utt_idx", "size"))), lambda u: u["size"]).alias("sizes"))
-
-    # One step closes the open chunk when the next utterance no longer fits, and reopens
-    # it ``overlap`` utterances earlier, or fewer while that would not leave room for it.
-    def reopen(sizes: Column, start: Column, end: Column) -> tuple[Column, Column]:
-        first = F.greatest(start + 1, end - F.lit(overlap))
-        options = F.sequence(first, end)
-        room = lambda s: F.aggregate(
-            F.slice(sizes, s + 1, end - s + 1), F.lit(0).cast("bigint"), lambda a, x: a + x) <= max_chars
-        # Chunks that hold only the repeated utterances are emitted one by one.
-        return F.filter(options, room)[0], F.filter(options, lambda s: ~room(s))
-
-    state = F.struct(
-        F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("used"),
-        F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("done"))
-
-    def step(acc: Column, i: Column) -> Column:
-        sizes = F.col("sizes")
-        here = F.get(sizes, i)
-        full = acc["used"] + here > max_chars
-        start, stuck = reopen(sizes, acc["start"], i)
-        closed = F.concat(
-            acc["done"], F.array(F.struct(acc["start"].alias("s"), i.alias("e"))),
-            F.transform(stuck, lambda s: F.struct(s.alias("s"), i.alias("e"))))
-        carried = F.aggregate(F.slice(sizes, start + 1, i - start), F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.when(full, F.struct(start.alias("start"), (carried + here).alias("used"), closed.alias("done"))).otherwise(
-            F.struct(acc["start"].alias("start"), (acc["used"] + here).alias("used"), acc["done"].alias("done")))
-
-    last = lambda acc: F.concat(
-        acc["done"], F.array(F.struct(acc["start"].alias("s"), F.size("sizes").alias("e"))))
-    chunks = arrays.withColumn("chunks", F.aggregate(F.sequence(F.lit(0), F.size("sizes") - 1), state, step, last))
-    limit = F.size("chunks") <= max_chunks
-    good = chunks.filter(limit).select("meeting_id", F.posexplode("chunks").alias("_n", "_c")).select(
-        "meeting_id", (F.col("_n") + 1).cast("bigint").alias("chunk_no"), F.col("_c.s").cast("bigint").alias("first_utt"),
-        (F.col("_c.e") - 1).cast("bigint").alias("last_utt"), F.lit(None).cast("string").alias("error"))
-    refuse = lambda df: df.select(
-        "meeting_id", F.lit(None).cast("bigint").alias("chunk_no"), F.lit(None).cast("bigint").alias("first_utt"),
-        F.lit(None).cast("bigint").alias("last_utt"), F.lit("meeting_too_large").alias("error"))
-    return good.unionByName(refuse(chunks.filter(~limit))).unionByName(refuse(totals.filter(~fits)))
+    room = max_chars - len(REQUEST_HEAD) - len(REQUEST_TAIL) + len(", ")
+    sized = utterances.select("meeting_id", "utt_idx", (F.length(request_record(utterances)) + len(", ")).cast("bigint").alias("_size"))
+    rows = checkpointed(ordered.scan(
+        sized, ["meeting_id"], ["utt_idx"], ordered.bucket_of("utt_idx", 4096),
+        [ordered.numbered("i"), ordered.running_sum("upto", F.col("_size"))]))
+    meetings = rows.groupBy("meeting_id").agg(
+        F.sum("_size").alias("_total"), F.max("i").alias("n"), F.min("utt_idx").alias("first_utt"), F.max("utt_idx").alias("last_utt"))
+    none = F.lit(None).cast("string").alias("error")
+    whole = meetings.filter(F.col("_total") <= room).select(
+        "meeting_id", F.lit(1).cast("bigint").alias("chunk_no"), "first_utt", "last_utt", none)
+    large = rows.join(meetings.filter(F.col("_total") > room).select("meeting_id", "n"), "meeting_id")
+    # Sums and the room after each start on one line; a sum at the same place still fits.
+    points = large.select("meeting_id", F.col("upto").alias("place"), F.lit(0).alias("asks"), "i", "utt_idx", "n")
+    asks = large.select("meeting_id", (F.col("upto") - F.col("_size") + room).alias("place"), F.lit(1).alias("asks"), "i", "utt_idx", "n")
+    ends = ordered.scan(
+        points.unionByName(asks), ["meeting_id"], ["place", "asks", "i"], ordered.bucket_of("place", 1 << 20),
+        [ordered.last_before("end", F.when(F.col("asks") == 0, F.struct("i", "utt_idx")))])
+    steps = checkpointed(ends.filter("asks = 1").select(
+        "meeting_id", "i", "n", F.col("utt_idx").alias("first_utt"), F.col("end.utt_idx").alias("last_utt"),
+        F.coalesce("end.i", F.lit(0)).alias("end")).withColumn("stuck", F.col("end") < F.col("i")))
+    onward = F.greatest(F.col("i") + 1, F.col("end") + 1 - overlap)
+    jump = checkpointed(steps.filter(~F.col("stuck") & (F.col("end") < F.col("n"))).select("meeting_id", "i", onward.alias("to")))
+    reached = steps.filter("i = 1").select("meeting_id", "i", F.lit(1).cast("bigint").alias("chunk_no"))
+    length = 1
+    while length <= max_chunks and not jump.isEmpty():
+        further = reached.join(jump, ["meeting_id", "i"]).select(
+            "meeting_id", F.col("to").alias("i"), (F.col("chunk_no") + length).alias("chunk_no"))
+        reached = checkpointed(reached.unionByName(further))
+        twice = jump.select("meeting_id", F.col("i").alias("to"), F.col("to").alias("_then"))
+        jump = checkpointed(jump.join(twice, ["meeting_id", "to"]).select("meeting_id", "i", F.col("_then").alias("to")))
+        length *= 2
+    chunks = reached.join(steps, ["meeting_id", "i"])
+    verdict = chunks.groupBy("meeting_id").agg((F.bool_or("stuck") | (F.max("chunk_no") > max_chunks)).alias("_refused"))
+    good = chunks.join(verdict.filter(~F.col("_refused")), "meeting_id").select("meeting_id", "chunk_no", "first_utt", "last_utt", none)
+    number = F.lit(None).cast("bigint")
+    bad = verdict.filter("_refused").select(
+        "meeting_id", number.alias("chunk_no"), number.alias("first_utt"), number.alias("last_utt"), F.lit("meeting_too_large").alias("error"))
+    return whole.unionByName(good).unionByName(bad)
 
 
 def resolve_evidence(items: DataFrame, utterances: DataFrame) -> DataFrame:

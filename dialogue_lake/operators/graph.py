@@ -91,7 +91,8 @@ def cycles(numbered: DataFrame, relations: DataFrame) -> DataFrame:
     relations can hold one; everything else is dropped at once. Inside the stretches each
     vertex takes the largest number that can reach it, and the vertices a number's owner
     can be reached from, within its colour, are one strongly connected component. Found
-    components are removed and the rest is coloured again until no edge is left.
+    components are removed and the rest is coloured again until no edge is left. Shortcuts
+    of doubled length let both walks cross a long stretch in a few rounds.
     """
     place = numbered.select("meeting_id", "event_id", "n")
     edges = (
@@ -106,7 +107,8 @@ def cycles(numbered: DataFrame, relations: DataFrame) -> DataFrame:
     inside = spread.select("meeting_id", "n", F.col("start_ms").alias("part"))
     live = edges.join(inside.withColumnRenamed("n", "a").withColumnRenamed("part", "_p"), ["meeting_id", "a"]).join(
         inside.withColumnRenamed("n", "b").withColumnRenamed("part", "_q"), ["meeting_id", "b"]).filter(F.col("_p") == F.col("_q"))
-    live = checkpointed(live.select("meeting_id", "a", "b"))
+    live = _with_shortcuts(
+        checkpointed(live.select("meeting_id", "a", "b")), stretch.agg(F.max(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0)
     found = None
     while not live.isEmpty():
         nodes = live.select("meeting_id", F.explode(F.array("a", "b")).alias("v")).distinct()
@@ -139,6 +141,26 @@ def cycles(numbered: DataFrame, relations: DataFrame) -> DataFrame:
         place, ["meeting_id", "n"]).select("meeting_id", "event_id", "n", "cycle_n", "size")
 
 
+def _with_shortcuts(edges: DataFrame, longest: int) -> DataFrame:
+    """Edges and, for every vertex, the ends of walks of 1, 2, 4, ... steps from it and to it.
+
+    A walk takes the edge that leads furthest ahead, or comes from furthest back. The ends
+    are reached anyway, so no component changes; there are two more edges a vertex and round.
+    """
+    ahead = edges.groupBy("meeting_id", F.col("a").alias("v")).agg(F.max("b").alias("w")).withColumn("back", F.lit(False))
+    behind = edges.groupBy("meeting_id", F.col("b").alias("v")).agg(F.min("a").alias("w")).withColumn("back", F.lit(True))
+    walk = checkpointed(ahead.unionByName(behind))
+    steps = 1
+    while 2 * steps <= longest and not walk.isEmpty():
+        onward = walk.select("meeting_id", F.col("v").alias("w"), F.col("w").alias("_w"), "back")
+        walk = checkpointed(walk.join(onward, ["meeting_id", "w", "back"]).select("meeting_id", "v", F.col("_w").alias("w"), "back"))
+        edges = edges.unionByName(walk.select(
+            "meeting_id", F.when(F.col("back"), F.col("w")).otherwise(F.col("v")).alias("a"),
+            F.when(F.col("back"), F.col("v")).otherwise(F.col("w")).alias("b")))
+        steps *= 2
+    return checkpointed(edges.filter(F.col("a") != F.col("b")).distinct())
+
+
 def _spread_maximum(colours: DataFrame, edges: DataFrame) -> DataFrame:
     """Largest number that reaches each vertex along the edges."""
     while True:

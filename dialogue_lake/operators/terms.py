@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import math
-import sys
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
-from dialogue_lake.functions.similarity import (
-    VariantTable,
-    indel_ratio,
-    indel_ratio_of,
-    lexical_score,
-    metaphone,
-    metaphone_of,
-    token_sorted,
-)
+from dialogue_lake.functions.similarity import indel_ratio, lexical_score, metaphone
+from dialogue_lake.operators import similar
 from dialogue_lake.operators.intervals import range_join
 from dialogue_lake.operators.lookup import spread_join
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 FENCE = "\u0001"
 SPAN_KEY = ["meeting_id", "utt_idx", "char_start", "char_end"]
 
@@ -43,7 +29,6 @@ class RetrievalRules:
     phonetic_weight: float = 0.25
     semantic_weight: float = 0.25
     scope_weight: float = 0.05
-    forms_per_pass: int = 50_000
 
 
 def token_offsets(utterances: DataFrame, pattern: str, number: str) -> DataFrame:
@@ -141,64 +126,26 @@ def exact_candidates(spans: DataFrame, variants: DataFrame) -> DataFrame:
 def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:
     """(normalized, variant_normalized, lexical, phonetic) of all pairs above either floor.
 
-    The distinct span texts stay distributed. Registered forms are a bounded table: they
-    are sent to the tasks in passes of at most ``forms_per_pass`` forms, each compared
-    with bit-parallel subsequence lengths, and only close pairs come back as rows.
+    Spelling and sound each have an index of their own: texts on the characters of the text,
+    distinct codes on those of the code. Only pairs that an index proposes are compared.
     """
-    spark = distinct_spans.sparkSession
+    texts = distinct_spans.select("normalized").distinct()
     forms = variants.select("variant_normalized").distinct().filter(F.col("variant_normalized") != "")
-    passes = max(1, math.ceil(forms.count() / (0.8 * rules.forms_per_pass)))
-    spread = forms.withColumn("_pass", F.pmod(F.xxhash64("variant_normalized"), F.lit(passes)))
-    lexical_floor, phonetic_floor = rules.lexical_floor, rules.phonetic_floor
     # Lexical is at most 0.75 * ratio + 0.25, so the plain ratio must reach this.
-    ratio_floor = (lexical_floor - 0.25) / 0.75
-    schema = T.StructType([
-        T.StructField("normalized", T.StringType()), T.StructField("variant_normalized", T.StringType()),
-        T.StructField("lexical", T.DoubleType()), T.StructField("phonetic", T.DoubleType())])
-    out = None
-    # The texts are few bytes but much work: adaptive coalescing would put them in one task.
-    width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tasks = distinct_spans.select("normalized").repartition(width, "normalized")
-    for number in range(passes):
-        names = sorted(r[0] for r in spread.filter(F.col("_pass") == number).select("variant_normalized").toLocalIterator())
-        if not names:
-            continue
-        shared = spark.sparkContext.broadcast(names)
-
-        def compare(batches, shared=shared):
-            names = shared.value
-            plain = VariantTable(names)
-            codes = [metaphone_of(n.replace(" ", "")) for n in names]
-            sounding = [i for i, c in enumerate(codes) if c]
-            sounds = VariantTable([codes[i] for i in sounding])
-            heard: dict[str, set[int]] = {}
-            for batch in batches:
-                rows = []
-                for text in batch["normalized"]:
-                    at, ratio = plain.ratios(text, ratio_floor)
-                    near = ratio >= ratio_floor - 1e-9
-                    close = dict(zip(at[near].tolist(), ratio[near].tolist()))
-                    code = metaphone_of(text.replace(" ", ""))
-                    if code and code not in heard:
-                        at, ratio = sounds.ratios(code, phonetic_floor)
-                        heard[code] = {sounding[i] for i in at[ratio >= phonetic_floor - 1e-9].tolist()}
-                    alike = heard.get(code, set())
-                    spaced = " " in text
-                    for i in close.keys() | alike:
-                        plain_ratio = close[i] if i in close else indel_ratio_of(text, names[i])
-                        if spaced or " " in names[i]:
-                            by_token = indel_ratio_of(token_sorted(text), token_sorted(names[i]))
-                        else:
-                            by_token = plain_ratio
-                        lexical = 0.75 * plain_ratio + 0.25 * by_token
-                        if lexical >= lexical_floor or i in alike:
-                            phonetic = indel_ratio_of(code, codes[i]) if code else 0.0
-                            rows.append((text, names[i], lexical, phonetic))
-                yield pd.DataFrame(rows, columns=["normalized", "variant_normalized", "lexical", "phonetic"])
-
-        part = tasks.mapInPandas(compare, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    spelt = similar.candidates(texts, forms, (rules.lexical_floor - 0.25) / 0.75)
+    coded = lambda df, text, code: df.withColumn(code, metaphone(F.replace(text, F.lit(" "), F.lit(""))))
+    own, other = coded(texts, "normalized", "_x"), coded(forms, "variant_normalized", "_y")
+    sounding = similar.candidates(own.select("_x").distinct(), other.select("_y").distinct(), rules.phonetic_floor)
+    sounding = sounding.withColumn("phonetic", indel_ratio("_x", "_y")).filter(F.col("phonetic") >= rules.phonetic_floor - 1e-9)
+    alike = own.join(sounding.select("_x", "_y"), "_x").join(other, "_y").select("normalized", "variant_normalized")
+    pairs = spelt.withColumn("_alike", F.lit(False)).unionByName(alike.withColumn("_alike", F.lit(True))).groupBy(
+        "normalized", "variant_normalized").agg(F.max("_alike").alias("_alike"))
+    scored = pairs.withColumn("lexical", lexical_score("normalized", "variant_normalized")).filter(
+        F.col("_alike") | (F.col("lexical") >= rules.lexical_floor))
+    codes = [metaphone(F.replace(c, F.lit(" "), F.lit(""))) for c in ("normalized", "variant_normalized")]
+    return scored.withColumn("_x", codes[0]).withColumn("_y", codes[1]).select(
+        "normalized", "variant_normalized", "lexical",
+        F.when(F.col("_x") == "", 0.0).otherwise(indel_ratio("_x", "_y")).alias("phonetic"))
 
 
 def candidate_pairs(spans: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:

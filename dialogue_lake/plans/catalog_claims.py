@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import claims as cl
 from dialogue_lake.operators import edits as ed
@@ -163,21 +166,51 @@ def _(v):
 
 
 # --- claims ---
-CHUNKS = """WITH RECURSIVE s AS (SELECT meeting_id, utt_idx, length(text) + 64 AS size,
-      sum(length(text) + 64) OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS upto, count(*) OVER (PARTITION BY meeting_id) AS n FROM v_u),
+ROOM = 18_000 - len(cl.REQUEST_HEAD) - len(cl.REQUEST_TAIL) + 2
+LONG_CHARS = 6_000
+
+
+def record_view(utterances: str) -> str:
+    """Utterances with their text in a request."""
+    quoted = lambda c: f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+    return f"""SELECT *, '{{"applied_edit_ids": [], "raw_text": ' || {quoted("text")} || ', "refined_text": ' || {quoted("text")} ||
+        ', "speaker_id": ' || {quoted("speaker_id")} || ', "utterance_id": ' || {quoted("utterance_id")} || '}}' AS record FROM {utterances}"""
+
+
+def chunk_sql(records: str, room: int) -> str:
+    return f"""WITH RECURSIVE s AS (SELECT meeting_id, utt_idx, length(record) + 2 AS size,
+      sum(length(record) + 2) OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS upto, count(*) OVER (PARTITION BY meeting_id) AS n FROM {records}),
     j AS (SELECT a.meeting_id, a.utt_idx AS first_utt, any_value(a.n) AS n, max(b.utt_idx) AS last_utt FROM s a JOIN s b
-      ON b.meeting_id = a.meeting_id AND b.utt_idx >= a.utt_idx AND b.upto - a.upto + a.size <= 18000 GROUP BY 1, 2),
+      ON b.meeting_id = a.meeting_id AND b.utt_idx >= a.utt_idx AND b.upto - a.upto + a.size <= {room} GROUP BY 1, 2),
     c AS (SELECT meeting_id, 1::BIGINT AS chunk_no, first_utt, last_utt, n FROM j WHERE first_utt = 0
       UNION ALL SELECT c.meeting_id, c.chunk_no + 1, j.first_utt, j.last_utt, j.n FROM c JOIN j ON j.meeting_id = c.meeting_id
         AND j.first_utt = greatest(c.first_utt + 1, c.last_utt + 1 - 2) WHERE c.last_utt < c.n - 1)
     SELECT meeting_id, chunk_no, first_utt, last_utt, NULL::VARCHAR AS error FROM c"""
 
 
+view("v_said", record_view("v_u"))
+view("v_lu", """SELECT conv_id // 64 AS meeting_id, row_number() OVER w - 1 AS utt_idx,
+    'utt_' || lpad(CAST(row_number() OVER w AS VARCHAR), 6, '0') AS utterance_id, role AS speaker_id, text FROM conversations
+    WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id, turn)""")
+view("v_lsaid", record_view("v_lu"))
+CHUNKS = chunk_sql("v_said", ROOM)
+LONG_CHUNKS = chunk_sql("v_lsaid", LONG_CHARS - 18_000 + ROOM)
+
+
+def long_chunks(v):
+    return v.shared("long_chunks", lambda: cl.build_chunks(v.long_utterances, LONG_CHARS, max_chunks=10_000))
+
+
 @query("j02_build_chunks", CHUNKS)
 def _(v):
     return cl.build_chunks(v.utterances)
 
 
+@query("j02_long_meetings", LONG_CHUNKS)
+def _(v):
+    return long_chunks(v)
+
+
 @query("d08_resolve_evidence", """SELECT i.meeting_id, i.item_id, i.position, u.utterance_id, u.speaker_id, u.start_ms, u.end_ms FROM (
     SELECT meeting_id, item_id, unnest(evidence_ids) AS e, generate_subscripts(evidence_ids, 1) - 1 AS position FROM v_it) i
     JOIN v_u u ON u.meeting_id = i.meeting_id AND u.utterance_id = i.e""")
@@ -322,13 +355,43 @@ def _(v):
     return cl.evidence_manifest(cl.resolve_evidence(v.items, v.utterances)).drop("manifest")
 
 
-@query("j06_extraction_requests", f"""WITH c AS ({CHUNKS}) SELECT c.meeting_id, c.chunk_no, count(*) AS n_utterances, string_agg(DISTINCT u.speaker_id, ',' ORDER BY u.speaker_id) AS speakers
-    FROM c JOIN v_u u ON u.meeting_id = c.meeting_id AND u.utt_idx BETWEEN c.first_utt AND c.last_utt GROUP BY ALL""")
-def _(v):
+def request_sql(chunks: str, records: str) -> str:
+    """Each chunk's request and the schema of its answer, as digests."""
+    one = lambda **fields: {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    text, none = {"type": "string"}, {"type": "null"}
+    evidence = {"type": "array", "items": {"type": "string", "enum": "@ids"}}
+    owner = {"anyOf": ["@speaker", one(kind={"type": "string", "enum": ["named_entity"]}, speaker_id=none, display_text=text), none]}
+    said = one(text=text, evidence_utterance_ids=evidence)
+    minute = one(text=text, evidence_utterance_ids=evidence, topic=text, kind={"type": "string", "enum": list(fixed.MINUTE_KINDS)})
+    action = one(task=text, owner=owner, deadline_text={"type": ["string", "null"]}, evidence_utterance_ids=evidence)
+    array = lambda items: {"type": "array", "items": items}
+    schema = json.dumps(one(summary=array(said), minutes=array(minute), decisions=array(said), action_items=array(action)))
+    speaker = json.dumps(one(kind={"type": "string", "enum": ["speaker"]}, speaker_id={"type": "string", "enum": "@speakers"}, display_text=none))
+    schema = schema.replace('"@speaker"', speaker).replace('"@ids"', "[' || ids || ']").replace('"@speakers"', "[' || names || ']")
+    return f"""SELECT meeting_id, chunk_no, n_utterances, speakers, sha256('{cl.REQUEST_HEAD}' || records || '{cl.REQUEST_TAIL}') AS request,
+        sha256('{schema}') AS response_schema FROM (
+      SELECT c.meeting_id, c.chunk_no, count(*) AS n_utterances, string_agg(DISTINCT u.speaker_id, ',' ORDER BY u.speaker_id) AS speakers,
+        string_agg(DISTINCT CAST(to_json(u.speaker_id) AS VARCHAR), ', ' ORDER BY CAST(to_json(u.speaker_id) AS VARCHAR)) AS names,
+        string_agg('"' || u.utterance_id || '"', ', ' ORDER BY u.utt_idx) AS ids, string_agg(u.record, ', ' ORDER BY u.utt_idx) AS records
+      FROM ({chunks}) c JOIN {records} u ON u.meeting_id = c.meeting_id AND u.utt_idx BETWEEN c.first_utt AND c.last_utt GROUP BY ALL)"""
+
+
+def requests(chunks, utterances):
     from dialogue_lake.operators import audit
 
-    return audit.extraction_requests(cl.build_chunks(v.utterances), v.utterances).select(
-        "meeting_id", "chunk_no", "n_utterances", listed("speakers").alias("speakers"))
+    return audit.extraction_requests(chunks, utterances).select(
+        "meeting_id", "chunk_no", "n_utterances", listed("speakers").alias("speakers"), F.sha2("request", 256).alias("request"),
+        F.sha2("response_schema", 256).alias("response_schema"))
+
+
+@query("j06_extraction_requests", request_sql(CHUNKS, "v_said"))
+def _(v):
+    return requests(cl.build_chunks(v.utterances), v.utterances)
+
+
+@query("j06_long_meetings", request_sql(LONG_CHUNKS, "v_lsaid"))
+def _(v):
+    return requests(long_chunks(v), v.long_utterances)
 
 
 @query("e26_meeting_overview", """SELECT u.meeting_id, speakers, duration_ms, coalesce(refs, 0) AS evidence_refs, coalesce(items, 0) AS items

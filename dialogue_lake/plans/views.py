@@ -55,6 +55,15 @@ class Views:
             (F.col("_upto") * WORD_MS).alias("end_ms"),
         )
 
+    @cached_property
+    def long_utterances(self) -> DataFrame:
+        """Meetings of hundreds of turns: 64 conversations, one after the other."""
+        base = self.table("conversations").select(
+            F.floor(F.col("conv_id") / 64).cast("bigint").alias("meeting_id"), "conv_id", "turn", F.col("role").alias("speaker_id"), "text")
+        rows = ordered.scan(base, ["meeting_id"], ["conv_id", "turn"], ordered.bucket_of("conv_id", 16), [ordered.numbered("_n")])
+        return rows.select(
+            "meeting_id", (F.col("_n") - 1).alias("utt_idx"), F.format_string("utt_%06d", "_n").alias("utterance_id"), "speaker_id", "text")
+
     @cached_property
     def durations(self) -> DataFrame:
         return self.utterances.groupBy("meeting_id").agg(F.max("end_ms").alias("duration_ms"))

@@ -20,10 +20,6 @@ def test_indel_ratio_equals_dynamic_programme():
     for _ in range(300):
         a, b = ("".join(random.choice("abcd ") for _ in range(random.randint(1, 90))) for _ in range(2))
         assert abs(sim.indel_ratio_of(a, b) - 2 * lcs(a, b) / (len(a) + len(b))) < 1e-12
-        at, ratio = sim.VariantTable([b, a, a + b]).ratios(a)
-        by = dict(zip(at.tolist(), ratio.tolist()))
-        assert abs(by[0] - sim.indel_ratio_of(a, b)) < 1e-12 and by[1] == 1.0
-        assert abs(by[2] - sim.indel_ratio_of(a, a + b)) < 1e-12
 
 
 def test_metaphone_known_codes():
@@ -33,7 +29,8 @@ def test_metaphone_known_codes():
 
 def test_close_forms_lose_nothing_against_brute_force(spark):
     random.seed(5)
-    words = ["".join(random.choice("aeiklmnrst") for _ in range(random.randint(3, 12))) for _ in range(120)]
+    words = ["".join(random.choice("aeiklmnrstß é") for _ in range(random.randint(1, 12))).strip() or "a" for _ in range(120)]
+    words += ["banana", "bananas", "anbana", "aaaaaaaa", "aaaaaaa", "x", "xy", "don't stop"]
     spans = sorted({w[:2] + w[3:] for w in words} | set(words[:40]) | {f"{a} {b}" for a, b in zip(words, words[1:])})
     forms = sorted(set(words))
     expected = set()
@@ -41,13 +38,12 @@ def test_close_forms_lose_nothing_against_brute_force(spark):
         for b in forms:
             lexical = 0.75 * sim.indel_ratio_of(a, b) + 0.25 * sim.indel_ratio_of(sim.token_sorted(a), sim.token_sorted(b))
             code = sim.metaphone_of(a.replace(" ", ""))
-            sound = sim.indel_ratio_of(code, sim.metaphone_of(b)) if code else 0
+            sound = sim.indel_ratio_of(code, sim.metaphone_of(b.replace(" ", ""))) if code else 0
             if lexical >= 0.78 or sound >= 0.88:
                 expected.add((a, b))
-    rules = tm.RetrievalRules(forms_per_pass=40)
     got = tm.close_forms(
         spark.createDataFrame([(s,) for s in spans], "normalized string"),
-        spark.createDataFrame([(f,) for f in forms], "variant_normalized string"), rules).collect()
+        spark.createDataFrame([(f,) for f in forms], "variant_normalized string")).collect()
     assert {(r.normalized, r.variant_normalized) for r in got} == expected and len(got) == len(expected)
 
 
