@@ -75,7 +75,7 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
         return spark.table(name).collect()
 
-    said = run(live.live_utterances, "said", "append")
+    said = run(live.live_utterances_by_speaker, "said", "append")
     assert sorted(r.text for r in said) == ["x y", "z"]
     assert len(run(live.request_dedup_stream, "asked", "append")) == 1
     stages = run(lambda s: live.stage_monitor(s.select("ts", F.col("meeting_id").alias("job_id"), F.col("speaker_id").alias("stage"), F.col("text").alias("status"))), "jobs", "update")
