@@ -236,13 +236,16 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(id, h, start, end): spans of (id, h, text) rows whose windows all stand elsewhere too."""
-    shared = runs(rows, extents=False).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # Counts are stored before they are joined: Spark splits a hot key of a join only where
+    # neither side comes from an aggregation.
+    shared = tx.stored(runs(rows, extents=False).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "rb-seeds")
     shared_runs = tx.stored(runs(rows).join(shared, "core"), "rb-runs")
     place = F.struct("id", "h", "first", "last")
     extents = tx.stored(shared_runs.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(place).alias("place")), "rb-extents")
     sure = shared_runs.join(extents.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select(
         "id", "h", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"))
-    split = extents.groupBy("core").agg(F.count("*").alias("d")).filter("d > 1").select("core", (F.col("d") <= FEW).alias("few"))
+    split = tx.stored(extents.groupBy("core").agg(F.count("*").alias("d")).filter("d > 1").select(
+        "core", (F.col("d") <= FEW).alias("few")), "rb-split")
     # Lists of runs of one text, never longer than the text.
     open_runs = extents.join(split, "core").groupBy("place.id", "place.h").agg(
         F.collect_list(F.struct("place.first", "place.last", "core", "few")).alias("parts"))
@@ -250,7 +253,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     few = cut.filter("few").groupBy("core").applyInArrow(compared, SPANS)
     windows = exploded(cut.filter(~F.col("few")))
     who = F.struct("id", "h", "start")
-    twice = windows.groupBy("a", "b").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x != y").select("a", "b")
+    twice = tx.stored(windows.groupBy("a", "b").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x != y").select("a", "b"), "rb-windows")
     many = windows.join(twice, ["a", "b"], "left_semi").select("id", "h", "start", (F.col("start") + WINDOW).alias("end"))
     return sure.unionByName(few).unionByName(many)
 
