@@ -1,74 +1,212 @@
-"""Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
+"""Document fingerprints as invertible Bloom lookup sketches.
 
 A text is the set of digests of its paragraphs: its lines, cut after sentence ends and
 after ``PIECE`` characters, so that equal stretches give equal pieces again soon after a
-difference. A sketch has three tables of cells; each digest is added to one cell of each:
-a count, the digests xor-ed, and check values xor-ed. Subtracting two sketches cell by cell
-leaves only what differs. A cell with a single digest (count one, matching check) gives it
-away; taking it out of its other cells (peeling) frees more. If cells stay non-empty the
-pair is tried again with more cells.
-
-Sketches have few cells at first (``FIRST`` a table, the same for all: they are the
-fingerprint), then as many as the two sets together have, then more. All cells of a document are
-in one partition, so building, subtracting and peeling need no shuffle.
-
-A missing text is empty: no paragraphs, fingerprint of empty cells. Two empty sets are
-alike (1). Repeated rows and rows of equal id are ordered by their text.
+difference. The digest of a paragraph counts how often it stood before, so repeated lines
+tell texts apart; the order of paragraphs does not.
+
+A sketch has three tables of cells. Each digest is added to one cell of each: a count, the
+digests xor-ed, and check values xor-ed. Subtracting two sketches cell by cell leaves only
+what differs. A cell with a single digest (count one, matching check) gives it away; taking
+it out of its other cells (peeling) frees more. If cells stay non-empty, the pair is tried
+again with larger sketches.
+
+The fingerprint of a text is its sketch of ``FIRST`` cells a table, written in hexadecimal:
+two fingerprints can be subtracted and peeled by anyone (``difference``), which is how
+likeness is found first. Texts that differ in more than it holds are told apart by larger
+sketches of the same digests.
+
+Neighbours, edited texts and digests come from DataFrame functions and one shuffle of the
+texts; sketches of all rows of an Arrow batch are built and peeled together in numpy.
+
+Defined cases: a missing text is empty, no paragraphs, empty cells. Two empty sets are alike
+(1). A null id comes last; rows of equal id are ordered by a digest of their text and then
+by text. Ids that very many rows share are split by that digest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialogue_lake.llm import textual as tx
+from dialogue_lake.llm.hashed_words import mixed
+from dialogue_lake.operators import ordered
 
 PIECE = 64
-FIRST = 16
 TABLES = 3
-ROUNDS = 6
-#: Partitions for each of the session's shuffle partitions: cells are far more than rows.
-FINER = 4
-#: Cells a table for each digest of both sets, attempt by attempt.
-LARGER = (0.7, 1.5, 3.0, 6.0)
-BUCKET = 2048
+#: Cells of a table of the fingerprint.
+FIRST = 8
+#: Cells of a table for each digest of both sets, attempt by attempt.
+LARGER = (0.5, 1.0, 2.0, 4.0)
+CHECK = np.uint64(0xA0761D6478BD642F)
+#: Ids of a bucket, and rows of a bucket beyond which it is split.
+BUCKET, MANY = 2048, 8192
+LAST = -(1 << 62)
 
 PARAGRAPH = rf"(?s)[^.!?\n]{{0,{PIECE}}}[.!?\n]+|[^.!?\n]{{1,{PIECE}}}"
 
 
-def digests(text: Column) -> Column:
-    """The set of paragraph digests of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda x: F.xxhash64(x)))
-
-
-def check_of(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cell_of(digest: Column, table: int, cells: Column, seed: int) -> Column:
-    """The cell of a digest in one table; tables follow each other in the numbering."""
-    return (table * cells + F.pmod(F.xxhash64(digest, F.lit(table), F.lit(seed)), cells)).cast("int")
+def digests(text: Column) -> Column:
+    """The digests of a text's paragraphs, each with the number of its occurrence."""
+    found = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda x: F.xxhash64(x)))
+    return let(found, lambda own: F.transform(own, lambda d, i: F.xxhash64(d, i + 1 - F.array_position(own, d))))
+
+
+class Sketches:
+    """The sketches of many sets at once: set i has ``cells[i]`` cells a table."""
+
+    def __init__(self, cells: np.ndarray, seed: int):
+        self.cells, self.seed = cells.astype(np.uint64), seed
+        self.ends = np.cumsum(TABLES * cells.astype(np.int64))
+        self.begins = self.ends - TABLES * cells.astype(np.int64)
+        total = int(self.ends[-1]) if len(cells) else 0
+        self.count = np.zeros(total, np.int64)
+        self.key, self.check = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
+
+    def place(self, of: np.ndarray, digest: np.ndarray, table: int) -> np.ndarray:
+        salt = np.uint64((0x9E3779B97F4A7C15 * (1 + table + TABLES * self.seed)) % (1 << 64))
+        at = (mixed(digest ^ salt) % self.cells[of]).astype(np.int64)
+        return self.begins[of] + table * self.cells[of].astype(np.int64) + at
+
+    def add(self, of: np.ndarray, digest: np.ndarray, sign: np.ndarray | int, tables: tuple[int, ...] = tuple(range(TABLES))) -> None:
+        for table in tables:
+            at = self.place(of, digest, table)
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.key, at, digest)
+            np.bitwise_xor.at(self.check, at, mixed(digest ^ CHECK))
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.cells, self.seed)
+        out.count = self.count - other.count
+        out.key, out.check = self.key ^ other.key, self.check ^ other.check
+        return out
+
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, digest, sign) of everything that peeling gives away; cells keep the rest."""
+        of_cell = np.repeat(np.arange(len(self.cells)), self.ends - self.begins)
+        table_of = (np.arange(len(of_cell)) - self.begins[of_cell]) // np.maximum(self.cells[of_cell].astype(np.int64), 1)
+        members = [np.flatnonzero(table_of == t) for t in range(TABLES)]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        idle = turn = 0
+        while idle < TABLES:
+            # A digest is in one cell of a table, so a turn finds no digest twice.
+            at = members[turn % TABLES]
+            at = at[np.abs(self.count[at]) == 1]
+            at = at[self.check[at] == mixed(self.key[at] ^ CHECK)]
+            idle = 0 if len(at) else idle + 1
+            turn += 1
+            if len(at):
+                of, digest, sign = of_cell[at], self.key[at].copy(), self.count[at].copy()
+                found.append((of, digest, sign))
+                self.add(of, digest, -sign)
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))  # type: ignore[return-value]
+
+    def filled(self) -> np.ndarray:
+        """Which sets have cells that are not empty."""
+        rest = (self.count != 0) | (self.key != 0) | (self.check != 0)
+        return np.add.reduceat(rest, self.begins) > 0 if len(rest) else np.zeros(len(self.cells), bool)
+
+    def written(self) -> list[str]:
+        """Each sketch in hexadecimal: of every cell 8 digits of count, 16 of the digests, 16 of the check values."""
+        rows = np.zeros((len(self.count), 20), np.uint8)
+        rows[:, :4] = self.count.astype(">i4").view(np.uint8).reshape(-1, 4)
+        rows[:, 4:12] = self.key.astype(">u8").view(np.uint8).reshape(-1, 8)
+        rows[:, 12:] = self.check.astype(">u8").view(np.uint8).reshape(-1, 8)
+        return [rows[a:b].tobytes().hex() for a, b in zip(self.begins, self.ends, strict=True)]
+
+
+def read(fingerprint: str) -> Sketches:
+    """The sketch of a fingerprint."""
+    rows = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, 20)
+    out = Sketches(np.array([len(rows) // TABLES]), 0)
+    number = lambda a, b, kind: np.ascontiguousarray(rows[:, a:b]).view(kind).ravel()
+    out.count, out.key, out.check = number(0, 4, ">i4").astype(np.int64), number(4, 12, ">u8").astype(np.uint64), number(12, 20, ">u8").astype(np.uint64)
+    return out
+
+
+def difference(first: str, second: str) -> tuple[set[int], set[int]] | None:
+    """The digests that only the first or only the second of two fingerprints has; None if they are too many."""
+    rest = read(first).minus(read(second))
+    _, digest, sign = rest.peeled()
+    if rest.filled()[0]:
+        return None
+    digest = digest.astype(np.uint64).view(np.int64)
+    return set(digest[sign > 0].tolist()), set(digest[sign < 0].tolist())
+
+
+class Sets:
+    """A column of digest arrays, flat."""
+
+    def __init__(self, column: pa.Array):
+        self.sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
+        self.values = np.asarray(column.flatten()).astype(np.int64).view(np.uint64)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def sketches(self, cells: np.ndarray, seed: int) -> Sketches:
+        out = Sketches(cells, seed)
+        out.add(self.of, self.values, 1)
+        return out
+
+    def part(self, rows: np.ndarray) -> Sets:
+        """Only some rows, numbered anew."""
+        out = object.__new__(Sets)
+        number = np.full(len(self.sizes), -1)
+        number[rows] = np.arange(len(rows))
+        keep = number[self.of] >= 0
+        out.sizes, out.values, out.of = self.sizes[rows], self.values[keep], number[self.of[keep]]
+        return out
+
+
+def likeness(a: Sets, b: Sets, first: Sketches, second: Sketches) -> np.ndarray:
+    """Shared digests by all digests, from what peeling the differences of sketches gives."""
+    differing = np.full(len(a.sizes), -1)
+    open_rows = np.arange(len(a.sizes))
+    for attempt in range(len(LARGER) + 1):
+        if attempt:
+            own, other = a.part(open_rows), b.part(open_rows)
+            cells = np.ceil((own.sizes + other.sizes) * LARGER[attempt - 1]).astype(np.int64) + 4
+            first, second = own.sketches(cells, attempt), other.sketches(cells, attempt)
+        rest = first.minus(second)
+        of, _, _ = rest.peeled()
+        done = ~rest.filled()
+        differing[open_rows[done]] = np.bincount(of, minlength=len(open_rows))[done]
+        open_rows = open_rows[~done]
+        if not len(open_rows):
+            break
+    for i in open_rows:
+        # Peeling failed at every size: the sets themselves are compared.
+        differing[i] = len(np.setxor1d(a.values[a.of == i], b.values[b.of == i]))
+    both = a.sizes + b.sizes
+    return np.where(both == 0, 1.0, (both - differing) / np.maximum(both + differing, 1))
 
 
 def followed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, row, id, text, next): each row with the text after it in descending order of ids.
+    """(b, s, p, id, h, text, next): rows with the text after them in descending order of ids.
 
-    Ids fall into buckets of ``BUCKET``. A bucket's last row needs the first row of the
-    next bucket that has rows; that row is copied into the bucket. Only one id per bucket
-    takes part in finding which that is.
+    Ids fall into buckets of ``BUCKET`` in one shuffle. ``next`` is null for the last row of
+    a bucket. A bucket of very many rows is split by id, and by a digest of the text.
     """
-    own = docs.select(F.col(key).cast("long").alias("id"), tx.whole(text).alias("text")).withColumn(
-        "bucket", F.coalesce(F.floor(F.col("id") / BUCKET), F.lit(-(1 << 62))).cast("long")).withColumn("copy", F.lit(False))
-    heads = own.groupBy("bucket").agg(F.max(F.coalesce("id", F.lit(-(1 << 63)))).alias("head"))
-    order = Window.orderBy(F.desc("bucket"))
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(every)).alias("_head"))
-    copies = own.drop("bucket").join(edges, F.coalesce("id", F.lit(-(1 << 63))) == F.col("_head")).select(
-        "id", "text", "bucket", F.lit(True).alias("copy"))
-    rows = own.unionByName(copies).repartition("bucket")
-    inside = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc_nulls_last(), "text")
-    return rows.withColumn("next", F.lead("text").over(inside)).withColumn(
-        "row", F.row_number().over(inside)).filter(~F.col("copy")).drop("copy").withColumn("next", F.coalesce("next", "text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), tx.whole(text).alias("text"))
+    b = F.coalesce(F.floor(F.col("id") / BUCKET), F.lit(LAST)).cast("long")
+    large = tx.stored(rows.groupBy(b.alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") > MANY), "iblt-large")
+    rows = rows.withColumn("b", b).withColumn("h", F.xxhash64("text")).join(large, "b", "left")
+    # The digest's place in its range, in as many parts as the bucket has thousands of rows.
+    part = F.floor((F.col("h") / 2.0**64 + 0.5) * F.ceil(F.col("n") / (MANY / 2)))
+    rows = rows.withColumn("s", F.when(F.col("n").isNotNull(), -F.coalesce("id", F.lit(LAST))).otherwise(0).cast("long")).withColumn(
+        "p", F.coalesce(part, F.lit(0)).cast("long")).drop("n")
+    inside = Window.partitionBy("b", "s", "p").orderBy(F.col("id").desc_nulls_last(), "h", "text")
+    return rows.repartition("b", "s", "p").withColumn("next", F.lead("text").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -77,119 +215,48 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
 
 
-def sketched(sets: DataFrame, by: list[str], cells: Column, seed: int, signs: dict[str, int]) -> DataFrame:
-    """(*by, size, cell, c, k, h): cells of the signed sum of the sketches of digest columns.
-
-    A sketch is linear: with signs 1 and -1 this is one sketch minus the other.
-    """
-    signed = lambda name, sign: F.transform(F.col(name), lambda x: F.struct(x.alias("k"), F.lit(sign).alias("c")))
-    parts = [signed(name, sign) for name, sign in signs.items()]
-    rows = sets.select(*by, cells.alias("size"), F.explode(F.concat(*parts)).alias("d")).select(*by, "size", "d.k", "d.c")
-    rows = rows.withColumn("h", check_of(F.col("k"))).withColumn(
-        "cell", F.explode(F.array(*[cell_of(F.col("k"), t, F.col("size"), seed) for t in range(TABLES)])))
-    return rows.groupBy(*by, "size", "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+def measured(rows: DataFrame) -> DataFrame:
+    """The answers for rows (text, next), and their other columns; null where ``next`` is."""
+    others = [c for c in rows.columns if c not in ("next", "id")]
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next"))).select(
+        "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        *others, F.col("next").isNotNull().alias("there"),
+        *[F.coalesce(digests(F.col(c)), F.array().cast("array<long>")).alias(f"_{c}") for c in ("text", "edited", "next")])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("there")
+            own, changed, following = (Sets(batch.column(at + k)) for k in (1, 2, 3))
+            cells = np.full(batch.num_rows, FIRST)
+            prints = [x.sketches(cells, 0) for x in (own, changed, following)]
+            hidden = ~np.asarray(batch.column(at))
+            column = lambda values, kind: pa.array(values, kind, mask=hidden)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], column(np.array(prints[0].written(), object), pa.string()), column(np.array(prints[1].written(), object), pa.string()),
+                 column(likeness(own, changed, prints[0], prints[1]), pa.float64()), column(likeness(own, following, prints[0], prints[2]), pa.float64())],
+                names=[*batch.schema.names[:at], "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-def _filled() -> Column:
-    return (F.col("c") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
+    kept = T.StructType(rows.schema.fields[: rows.columns.index("there")])
+    for name, kind in (("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")):
+        kept = kept.add(name, kind)
+    return rows.mapInArrow(compare, kept)
 
 
-def peeled(cells: DataFrame, by: list[str], seed: int, rounds: int = ROUNDS, keep_digests: bool = False) -> DataFrame:
-    """(*by, size, cell, digest, c, k, h) after peeling; rows of cell -1 count what was found.
-
-    Digests of the first set count in ``c``, those of the second in ``k``; with
-    ``keep_digests`` each has a row of its own with the digest.
-    """
-    cells = cells.filter(_filled()).withColumn("digest", F.lit(None).cast("long"))
-    for turn in range(rounds * TABLES):
-        table = turn % TABLES
-        # A digest is in one cell of a table, so a step finds no digest twice.
-        pure = (F.col("cell") >= table * F.col("size")) & (F.col("cell") < (table + 1) * F.col("size")) & (
-            F.abs("c") == 1) & (F.col("h") == check_of(F.col("k")))
-        row = lambda cell, c, k, h, digest: F.struct(
-            cell.cast("int").alias("cell"), digest.cast("long").alias("digest"), c.cast("long").alias("c"), k.cast("long").alias("k"), h.cast("long").alias("h"))
-        none = F.lit(None)
-        here = row(F.col("cell"), F.col("c"), F.col("k"), F.col("h"), F.col("digest"))
-        out = [row(cell_of(F.col("k"), t, F.col("size"), seed), -F.col("c"), F.col("k"), F.col("h"), none) for t in range(TABLES) if t != table]
-        found = row(F.lit(-1), (F.col("c") > 0).cast("int"), (F.col("c") < 0).cast("int"), F.lit(0), F.col("k") if keep_digests else none)
-        # A found digest leaves this cell empty, so the cell's own row goes at once.
-        cells = cells.select(*by, "size", F.explode(F.when(pure, F.array(*out, found)).otherwise(F.array(here))).alias("x")).select(*by, "size", "x.*")
-        counted = F.col("cell") == -1
-        cells = cells.groupBy(*by, "size", "cell", "digest").agg(
-            F.sum("c").alias("c"),
-            F.when(F.col("cell") == -1, F.sum(F.when(counted, F.col("k")))).otherwise(F.bit_xor(F.when(~counted, F.col("k")))).alias("k"),
-            F.bit_xor("h").alias("h")).filter(_filled())
-    return cells
-
-
-def differences(sets: DataFrame, by: list[str], first: str, second: str, cells: Column, seed: int, rounds: int = ROUNDS) -> DataFrame:
-    """(*by, differing, failed): how many digests peeling found, and whether cells were left."""
-    rows = peeled(sketched(sets, by, cells, seed, {first: 1, second: -1}), by, seed, rounds)
-    found = F.sum(F.when(F.col("cell") == -1, F.col("c") + F.col("k")).otherwise(0))
-    return rows.groupBy(*by).agg(found.alias("differing"), F.max((F.col("cell") >= 0).cast("int")).alias("failed"))
-
-
-def recovered(sets: DataFrame, by: list[str], first: str, second: str, cells: Column, seed: int = 0) -> DataFrame:
-    """(*by, digest, added): the digests that only one set has, as peeling recovers them."""
-    rows = peeled(sketched(sets, by, cells, seed, {first: 1, second: -1}), by, seed, keep_digests=True)
-    return rows.filter("cell = -1").select(*by, "digest", (F.col("k") > 0).alias("added"))
-
-
-def fingerprint(sets: DataFrame, by: list[str], name: str) -> DataFrame:
-    """(*by, name): the cells of a sketch of ``FIRST`` cells a table, as one digest in hex."""
-    rows = sketched(sets, by, F.lit(FIRST), 0, {name: 1})
-    cell = F.struct("cell", "c", "k", "h")
-    return rows.groupBy(*by).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(cell))), 256).alias(name))
-
-
-def likeness(differing: Column, first: Column, second: Column) -> Column:
-    """Shared digests by all digests of two sets whose symmetric difference is known."""
-    both = first + second
-    return F.when(both == 0, 1.0).otherwise((both - differing) / (both + differing))
-
-
-def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, row, id, n_chars, edited_sha256, own, other, following): a row's digest sets,
-    those of its edited text and of the next document, stored and dealt by bucket."""
-    rows = followed(docs, key, text).withColumn("edited", edited(F.col("text"), F.col("next")))
-    return tx.stored(rows.select(
-        "bucket", "row", "id", F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("other"), digests(F.col("next")).alias("following")), "iblt-sets")
+ANSWERS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    sets = versions(docs, key, text)
-    by = ["bucket", "row"]
-    tasks = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pair = lambda kind, other: sets.select(
-        *by, F.lit(kind).alias("kind"), F.col("own").alias("a"), F.col(other).alias("b"))
-    open_pairs = pair(0, "other").unionByName(pair(1, "following")).repartition(tasks, *by)
-    done = None
-    for attempt in range(len(LARGER) + 1):
-        cells = F.lit(FIRST) if attempt == 0 else F.ceil((F.size("a") + F.size("b")) * LARGER[attempt - 1] + 4).cast("int")
-        found = differences(open_pairs, [*by, "kind"], "a", "b", cells, attempt, ROUNDS if attempt else ROUNDS // 2)
-        sizes = open_pairs.select(*by, "kind", F.size("a").alias("na"), F.size("b").alias("nb"))
-        result = tx.stored(sizes.join(found, [*by, "kind"], "left").withColumns({
-            "differing": F.coalesce("differing", F.lit(0)), "failed": F.coalesce("failed", F.lit(0))}), "iblt-found")
-        settled = result.filter("failed = 0")
-        done = settled if done is None else done.unionByName(settled)
-        failed = result.filter("failed = 1").select(*by, "kind")
-        if failed.isEmpty():
-            break
-        open_pairs = open_pairs.join(failed, [*by, "kind"], "left_semi").repartition(tasks, *by)
-    else:
-        # Peeling failed at every size: the sets themselves are compared.
-        exact = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
-        done = done.unionByName(open_pairs.select(
-            *by, "kind", F.size("a").alias("na"), F.size("b").alias("nb"), exact.cast("long").alias("differing"), F.lit(0).alias("failed")))
-    near = done.groupBy(*by).agg(*[
-        F.max(F.when(F.col("kind") == k, likeness(F.col("differing"), F.col("na"), F.col("nb")))).alias(name)
-        for k, name in ((0, "near_edited"), (1, "near_next"))])
-    spread = sets.select(*by, "own", "other").repartition(tasks, *by)
-    empty = F.sha2(F.lit("[]"), 256)
-    return sets.select(*by, "id", "n_chars", "edited_sha256").join(
-        fingerprint(spread, by, "own"), by, "left").join(fingerprint(spread, by, "other"), by, "left").join(near, by).select(
-        F.col("id").alias(key), "n_chars", "edited_sha256", F.coalesce("own", empty).alias("fingerprint"),
-        F.coalesce("other", empty).alias("edited_fingerprint"), "near_edited", "near_next")
+    edge = F.col("first") | F.col("next").isNull()
+    rows = measured(followed(docs, key, text).withColumn("last", F.col("next").isNull()).withColumn("edge", F.when(edge, F.col("text"))))
+    rows = tx.stored(rows.select(*ANSWERS, "b", "s", "p", "first", "last", F.col("edge").alias("text")), "iblt-answers")
+    # The last row of a bucket is followed by the first of the next bucket that has rows.
+    heads = rows.filter("first").select("b", "s", "p", "text")
+    order = heads.select("b", "s", "p", (-F.col("b")).alias("o"), F.lit(0).alias("all"))
+    bucket = F.struct("b", "s", "p")
+    linked = ordered.scan(order, ["all"], ["o", "s", "p"], ordered.bucket_of("o", 4096), [ordered.following("after", bucket)])
+    start = order.groupBy("all").agg(F.min_by(bucket, F.struct("o", "s", "p")).alias("start"))
+    linked = linked.join(start, "all").select("b", "s", "p", F.coalesce("after", "start").alias("after"))
+    after = heads.select(bucket.alias("after"), F.col("text").alias("next"))
+    lasts = rows.filter("last").select("id", "b", "s", "p", "text").join(linked, ["b", "s", "p"]).join(after, "after").select("id", "text", "next")
+    return rows.filter(~F.col("last")).select(*ANSWERS).unionByName(measured(lasts).select(*ANSWERS)).withColumnRenamed("id", key)

@@ -133,30 +133,65 @@ def test_mixing(make):
     assert mixing.mixed(make([])).count() == 0
 
 
-def test_sketches(make):
-    texts = [*ODD, *[". ".join(" ".join(prose(i, 7)) for i in range(k, k + 30)) for k in range(12)], "same\ntext", "same\ntext"]
-    ids = [3 * i + (5000 if i > 8 else 0) for i in range(len(texts))]
-    got = {r.doc_id: r for r in iblt.compared(make(texts, ids)).collect()}
-    order = sorted(range(len(texts)), key=lambda i: -ids[i])
-    sets = lambda t: set(re.findall(iblt.PARAGRAPH, t))
+def paragraphs(text):
+    return {(x, n) for x, total in Counter(re.findall(iblt.PARAGRAPH, text)).items() for n in range(total)}
+
+
+@pytest.mark.parametrize("many", [8192, 3])
+def test_sketches(make, monkeypatch, many):
+    """Sparse, null and repeated ids, texts of equal lines in other numbers, against plain sets."""
+    monkeypatch.setattr(iblt, "MANY", many)
+    texts = [*ODD, *[". ".join(" ".join(prose(i, 7)) for i in range(k, k + 30)) for k in range(12)], "same\ntext", "same\ntext", "same\ntext\ntext"]
+    texts += [f"a line {i}\n" * (i % 3 + 1) for i in range(20)]
+    ids = [None if i in (4, 9) else 7 if i in (5, 6, 12) or i > 26 else 3 * i + (50000 if i > 8 else 0) for i in range(len(texts))]
+    rows = iblt.compared(make(texts, ids)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.doc_id, r.n_chars, r.fingerprint), []).append(r)
+    assert len(rows) == len(texts)
+    # Every row is followed by some other one, in descending ids.
+    by_id = {}
+    for i, t in zip(ids, texts, strict=True):
+        by_id.setdefault(i, []).append(t or "")
+    order = sorted(by_id, key=lambda i: (i is None, -(i or 0)))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for place, i in enumerate(order):
-        text, after = texts[i] or "", texts[order[(place + 1) % len(order)]] or ""
+        mine = [r for r in rows if r.doc_id == i]
+        assert len(mine) == len(by_id[i])
+        possible = [*by_id[i], *by_id[order[(place + 1) % len(order)]]]
+        for r in mine:
+            fits = []
+            for text in by_id[i]:
+                for after in possible:
+                    third = len(text) // 3
+                    changed = text[: len(text) - third] + after[:third]
+                    fits.append((len(text), hashlib.sha256(changed.encode()).hexdigest(),
+                                 round(like(paragraphs(text), paragraphs(changed)), 9), round(like(paragraphs(text), paragraphs(after)), 9)))
+            assert (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) in fits
+    same = [r.fingerprint for r, t in ((r, r.doc_id) for r in rows) if t in (ids[23], ids[24], ids[25])]
+    assert len(same) == 3 and len(set(same)) == 2
+
+
+def test_order_of_ids(make):
+    texts = ["one. two. three", "four. five", "six. seven. eight", None]
+    rows = {r.doc_id: r for r in iblt.compared(make(texts, [5, 100000, -3, 77])).collect()}
+    order = [(100000, "four. five", ""), (77, "", "one. two. three"), (5, "one. two. three", "six. seven. eight"), (-3, "six. seven. eight", "four. five")]
+    for i, text, after in order:
         third = len(text) // 3
-        edited = text[: len(text) - third] + after[:third]
-        r = got[ids[i]]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.near_edited == pytest.approx(like(sets(text), sets(edited)))
-        assert r.near_next == pytest.approx(like(sets(text), sets(after)))
-    assert got[ids[-1]].fingerprint == got[ids[-2]].fingerprint != got[ids[0]].fingerprint
-    assert got[ids[0]].fingerprint == got[ids[1]].fingerprint
-
-
-def test_peeling_recovers_the_differing_digests(spark):
-    sets = spark.createDataFrame([(1, list(range(50)), list(range(40, 90)))], "id long, a array<long>, b array<long>")
-    rows = iblt.recovered(sets, ["id"], "a", "b", F.lit(80)).collect()
-    assert sorted(r.digest for r in rows if not r.added) == list(range(40))
-    assert sorted(r.digest for r in rows if r.added) == list(range(50, 90))
+        assert rows[i].edited_sha256 == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
+    assert iblt.compared(make([])).count() == 0
+    alone = iblt.compared(make(["a. b. c."])).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
+def test_two_fingerprints_give_away_what_differs(make, spark):
+    texts = ["one\ntwo\nthree\nthree\n", "one\nthree\nfour\n", "", "x", "same", "same", "\n".join(map(str, range(900)))]
+    rows = {r.doc_id: r.fingerprint for r in iblt.compared(make(texts)).collect()}
+    sets = [set(r.d) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(iblt.digests(F.col("t")).alias("d")).collect()]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            many = len(sets[i] ^ sets[j]) > 100
+            assert iblt.difference(rows[i], rows[j]) == (None if many else (sets[i] - sets[j], sets[j] - sets[i]))
 
 
 def test_language_model(make):
