@@ -201,23 +201,3 @@ def best_assignment(matrix: list[list[int]]) -> list[int]:
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def assign_rows(matrices: pd.Series) -> pd.Series:
     return pd.Series([best_assignment([list(map(int, r)) for r in m]) for m in matrices])
-
-
-def word_edits(reference: list[str], hypothesis: list[str]) -> int:
-    """Levenshtein distance over tokens, one numpy row per token of the longer side."""
-    short, long = sorted((list(reference), list(hypothesis)), key=len)
-    codes = {t: i for i, t in enumerate(dict.fromkeys(short))}
-    row = np.array([codes[t] for t in short], dtype=np.int64)
-    steps = np.arange(len(short) + 1)
-    distance = steps.copy()
-    for n, token in enumerate(long, 1):
-        code = codes.get(token, -1)
-        diagonal = distance[:-1] + (row != code)
-        first = np.concatenate(([n], np.minimum(distance[1:] + 1, diagonal)))
-        distance = np.minimum.accumulate(first - steps) + steps
-    return int(distance[-1])
-
-
-@F.pandas_udf(T.LongType())
-def word_edit_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series([word_edits(a, b) for a, b in zip(reference, hypothesis)])

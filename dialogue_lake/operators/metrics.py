@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
-from dialogue_lake.functions.similarity import word_edit_distance
+from dialogue_lake.operators import intervals as iv
 from dialogue_lake.operators.lookup import spread_join
+from dialogue_lake.session import checkpointed
 
 
 def status_shares(words: DataFrame) -> DataFrame:
@@ -59,6 +60,28 @@ def stratified_accuracy(probes: DataFrame) -> DataFrame:
         F.round(F.count_if("p") / n, 6).alias("primary_accuracy"), F.round(F.count_if("s") / n, 6).alias("secondary_accuracy"))
 
 
+def scored_cells(truth: DataFrame, model: DataFrame, collar_ms: int = 0, skip_overlap: bool = False) -> DataFrame:
+    """Elementary cells of two sets of turns that count towards an error rate.
+
+    ``collar_ms``, an even number, is left out around every start and end of a truth turn,
+    half of it on either side; ``skip_overlap`` leaves out time with two truth speakers. What
+    is left out cuts the time line like a turn of its own.
+    """
+    columns = ["meeting_id", "speaker_id", "start_ms", "end_ms"]
+    half = collar_ms // 2
+    edges = truth.select("meeting_id", F.explode(F.array("start_ms", "end_ms")).alias("_t")).distinct()
+    cuts = edges.select("meeting_id", F.lit("cut").alias("speaker_id"), (F.col("_t") - half).alias("start_ms"), (F.col("_t") + half).alias("end_ms"))
+    layers = [("truth", truth), ("model", model), *([("cut", cuts)] if half else [])]
+    turns = None
+    for name, part in layers:
+        part = part.select(*columns).withColumn("layer", F.lit(name))
+        turns = part if turns is None else turns.unionByName(part)
+    cells = iv.active_sets(iv.elementary_intervals(iv.boundaries(turns, ["meeting_id"]), ["meeting_id"]), turns, {n: n for n, _ in layers})
+    if half:
+        cells = cells.filter(F.size("cut") == 0).drop("cut")
+    return cells.filter(F.size("truth") < 2) if skip_overlap else cells
+
+
 def diarization_error(cells: DataFrame, mapping: DataFrame, verified: DataFrame) -> DataFrame:
     """Missed, false and confused speech over elementary cells, and the error rate.
 
@@ -99,15 +122,74 @@ def jaccard_error(cells: DataFrame, mapping: DataFrame, verified: DataFrame) ->
     return means.join(verified, "meeting_id", "left").select("meeting_id", F.when(F.coalesce("verified", F.lit(False)), F.col("_jer")).alias("jer"))
 
 
+def token_edits(a: Column, b: Column) -> Column:
+    """Fewest inserted, deleted or replaced tokens between two token arrays.
+
+    Every distinct token of a pair becomes one character beyond the first plane, so the
+    built-in edit distance of strings counts tokens.
+    """
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + 0xFFFF), 8, "0")), "UTF-32")
+    both = F.array_distinct(F.concat(a, b))
+    word = lambda tokens: F.array_join(F.transform(tokens, lambda t: letter(F.array_position(both, t))), "")
+    return F.levenshtein(word(a), word(b))
+
+
 def word_error_rate(pairs: DataFrame) -> DataFrame:
     """Token errors of each (reference, hypothesis) text pair; null rate when undefined."""
     ref, hyp = tx.wer_tokens(F.col("reference")), tx.wer_tokens(F.col("hypothesis"))
-    rows = pairs.withColumns({"_r": ref, "_h": hyp}).withColumn("word_errors", word_edit_distance("_r", "_h"))
+    rows = pairs.withColumns({"_r": ref, "_h": hyp}).withColumn("word_errors", token_edits(F.col("_r"), F.col("_h")).cast("bigint"))
     n, m = F.size("_r"), F.size("_h")
     rate = F.when(n > 0, F.round(F.col("word_errors") / n, 6)).when(m == 0, 0.0)
     return rows.withColumns({"reference_words": n.cast("bigint"), "hypothesis_words": m.cast("bigint"), "wer": rate}).drop("_r", "_h")
 
 
+def corpus_error_rate(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """All token errors by all reference tokens; null without any."""
+    return word_error_rate(pairs).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("word_errors").alias("word_errors"), F.sum("reference_words").alias("reference_words"),
+        F.sum("hypothesis_words").alias("hypothesis_words")).withColumn("wer", F.round(F.try_divide("word_errors", "reference_words"), 6))
+
+
+def compare_conditions(texts: DataFrame, cases: DataFrame, terms: DataFrame, baseline: str) -> DataFrame:
+    """Several versions of the same texts side by side: one row a condition and case, one a condition.
+
+    ``texts``: ``case_id, condition, text``; ``cases``: ``case_id, raw_text, reference`` (null
+    where there is none); ``terms``: ``term``, a word list that stays a table. Errors and term
+    hits against the reference, changes against the raw text, and each difference to the
+    ``baseline`` condition of the same case. Totals (``total`` of 1) sum the cases that a
+    condition and the baseline both have for its differences.
+    """
+    rows = texts.join(cases, "case_id")
+    rates = word_error_rate(rows.filter(F.col("reference").isNotNull()).select("case_id", "condition", "reference", F.col("text").alias("hypothesis"))).select(
+        "case_id", "condition", "word_errors", "reference_words")
+    # Terms meet the texts on their first token; only pairs with a term on either side appear.
+    first = lambda c: F.get(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.lit(0))
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    words = rows.filter(F.col("reference").isNotNull()).select(
+        "case_id", "condition", "text", "reference", F.explode(F.array_distinct(F.concat(tokens("text"), tokens("reference")))).alias("_w"))
+    listed = terms.select("term").distinct().withColumn("_w", first("term"))
+    counts = words.join(listed, "_w").select(
+        "case_id", "condition", tx.count_term(F.col("reference"), F.col("term")).cast("bigint").alias("e"),
+        tx.count_term(F.col("text"), F.col("term")).cast("bigint").alias("f")).groupBy("case_id", "condition").agg(
+        F.sum(F.least("e", "f")).alias("true_terms"), F.sum("e").alias("reference_terms"), F.sum("f").alias("predicted_terms"))
+    flags = tx.safety_flags(tx.meaning_tokens(F.col("raw_text")), tx.meaning_tokens(F.col("text"))).values()
+    changed = rows.select("case_id", "condition", sum((f.cast("bigint") for f in flags), F.lit(0).cast("bigint")).alias("changes"))
+    measures = ["word_errors", "reference_words", "true_terms", "reference_terms", "predicted_terms", "changes"]
+    joined = changed.join(rates, ["case_id", "condition"], "left").join(counts, ["case_id", "condition"], "left")
+    has = F.col("word_errors").isNotNull()
+    joined = joined.withColumns({c: F.coalesce(c, F.when(has, F.lit(0))) for c in ("true_terms", "reference_terms", "predicted_terms")})
+    base = joined.filter(F.col("condition") == baseline).select("case_id", F.col("word_errors").alias("_we"), F.col("true_terms").alias("_tt"), F.col("changes").alias("_ch"))
+    paired = joined.join(base, "case_id", "left").withColumns({
+        "error_difference": F.col("word_errors") - F.col("_we"), "term_difference": F.col("true_terms") - F.col("_tt"), "change_difference": F.col("changes") - F.col("_ch")})
+    differences = ["error_difference", "term_difference", "change_difference"]
+    sums = paired.groupingSets([[F.col("condition"), F.col("case_id")], [F.col("condition")]], "condition", "case_id").agg(
+        F.grouping("case_id").cast("int").alias("total"), F.count(F.lit(1)).alias("cases"), *[F.sum(c).alias(c) for c in (*measures, *differences)])
+    p, r = F.try_divide("true_terms", "predicted_terms"), F.try_divide("true_terms", "reference_terms")
+    return sums.withColumns({
+        "wer": F.round(F.try_divide("word_errors", "reference_words"), 6), "precision": F.round(p, 6), "recall": F.round(r, 6),
+        "f1": F.round(F.try_divide(2 * p * r, p + r), 6)})
+
+
 def term_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Occurrence precision and recall; ``counts`` has ``expected`` and ``found`` per term."""
     hit = F.sum(F.least("expected", "found"))
@@ -140,40 +222,59 @@ def edit_metrics(cases: DataFrame) -> DataFrame:
 def match_gold(outputs: DataFrame, gold: DataFrame) -> DataFrame:
     """Outputs in order take the first unused gold row whose keywords they contain.
 
-    ``outputs``: ``case_id, item_no, tokens``; ``gold``: ``case_id, gold_no, keywords``. A
-    case is one short labelled conversation. Candidate pairs are found by joining on the
-    first keyword of a gold row, and only they are folded.
+    ``outputs``: ``case_id, item_no, tokens``; ``gold``: ``case_id, gold_no, keywords``.
+    Fitting pairs are found by joining on the first keyword of a gold row. In each round an
+    output proposes its first gold row that is left, and a gold row takes an output that no
+    earlier one left could want: such pairs are those of the walk in order, whatever the
+    others do. Taken rows go; the first output of a case is always served, and cases, and
+    parts of one that do not touch, advance together.
     """
     words = outputs.select("case_id", "item_no", "tokens", F.explode(F.array_distinct("tokens")).alias("_w"))
     firsts = gold.select("case_id", "gold_no", "keywords", F.explode(F.array_distinct(F.col("keywords")[0])).alias("_w"))
     fits = words.join(firsts, ["case_id", "_w"]).filter(tx.keyword_match(F.col("tokens"), F.col("keywords"))).select(
         "case_id", "item_no", "gold_no").distinct()
-    options = fits.groupBy("case_id", "item_no").agg(F.array_sort(F.collect_list("gold_no")).alias("g"))
-    per_case = options.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "g"))).alias("_o"))
-
-    def take(done: Column, o: Column) -> Column:
-        free = F.filter(o["g"], lambda g: ~F.exists(done, lambda d: d["gold_no"] == g))
-        return F.when(F.size(free) > 0, F.concat(done, F.array(F.struct(o["item_no"].alias("item_no"), F.get(free, F.lit(0)).alias("gold_no"))))).otherwise(done)
-
-    empty = F.expr("cast(array() as array<struct<item_no:bigint,gold_no:bigint>>)")
-    return per_case.select("case_id", F.inline(F.aggregate("_o", empty, take)))
-
-
-def extraction_metrics(outputs: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:
-    """Precision, recall and evidence agreement of matched claims per section."""
-    n_out = outputs.groupBy("section").agg(F.count(F.lit(1)).alias("outputs"))
-    n_gold = gold.groupBy("section").agg(F.count(F.lit(1)).alias("gold"))
-    rows = matches.join(outputs.select("case_id", "item_no", "section", F.col("evidence_ids").alias("_c"), F.col("owner").alias("_o")), ["case_id", "item_no"]).join(
-        gold.select("case_id", "gold_no", F.col("evidence_ids").alias("_e"), F.col("owner").alias("_g")), ["case_id", "gold_no"])
-    hit = rows.groupBy("section").agg(
-        F.count(F.lit(1)).alias("tp"), F.sum(F.size(F.array_intersect("_c", "_e"))).alias("_s"), F.sum(F.size("_c")).alias("_cited"),
-        F.sum(F.size("_e")).alias("_expected"), F.count_if(F.col("_o").eqNullSafe(F.col("_g"))).alias("_owner"))
-    joined = n_gold.join(n_out, "section", "full").join(hit, "section", "left").na.fill(0)
+    fits = checkpointed(fits)
+    taken = fits.limit(0)
+    while not fits.isEmpty():
+        proposed = fits.groupBy("case_id", "item_no").agg(F.min("gold_no").alias("gold_no"))
+        wanted = fits.groupBy("case_id", "gold_no").agg(F.min("item_no").alias("item_no"))
+        pairs = checkpointed(proposed.join(wanted, ["case_id", "item_no", "gold_no"]))
+        taken = taken.unionByName(pairs)
+        fits = checkpointed(fits.join(pairs.select("case_id", "item_no"), ["case_id", "item_no"], "left_anti").join(
+            pairs.select("case_id", "gold_no"), ["case_id", "gold_no"], "left_anti"))
+    return taken
+
+
+def extraction_metrics(outputs: DataFrame, gold: DataFrame, matches: DataFrame, known: DataFrame) -> DataFrame:
+    """Scores of matched claims per section: matches, evidence, owners and deadlines.
+
+    Rows have ``section, evidence_ids, owner, deadline``; ``known`` lists the utterances
+    (``case_id, utterance_id``) that may be cited. An owner or deadline is false if an output
+    names one that its gold row does not have, or if the output matches none. Validity is the
+    share of citations that exist, coverage the share of outputs that cite anything.
+    """
+    own = outputs.select("case_id", "item_no", "section", F.col("evidence_ids").alias("_c"), F.col("owner").alias("_o"), F.col("deadline").alias("_d"))
+    labels = gold.select("case_id", "gold_no", F.col("evidence_ids").alias("_e"), F.col("owner").alias("_go"), F.col("deadline").alias("_gd"))
+    rows = own.join(matches, ["case_id", "item_no"], "left").join(labels, ["case_id", "gold_no"], "left")
+    hit, n = F.col("gold_no").isNotNull(), F.count(F.lit(1))
+    false = lambda said, right: F.count_if(F.col(said).isNotNull() & ~(hit & F.col(said).eqNullSafe(F.col(right))))
+    scored = rows.groupBy("section").agg(
+        n.alias("outputs"), F.count_if(hit).alias("tp"), F.sum(F.when(hit, F.size(F.array_intersect("_c", "_e"))).otherwise(0)).alias("_s"),
+        F.sum(F.when(hit, F.size(F.array_distinct("_c"))).otherwise(0)).alias("_cited"), F.sum(F.when(hit, F.size(F.array_distinct("_e"))).otherwise(0)).alias("_expected"),
+        F.count_if(hit & F.col("_o").eqNullSafe(F.col("_go"))).alias("_owner"), F.count_if(hit & F.col("_d").eqNullSafe(F.col("_gd"))).alias("_deadline"),
+        false("_o", "_go").alias("false_owners"), false("_d", "_gd").alias("false_deadlines"), F.count_if(F.size("_c") > 0).alias("_citing"))
+    cited = outputs.select("case_id", "section", F.explode("evidence_ids").alias("utterance_id"))
+    valid = cited.join(known.select("case_id", "utterance_id", F.lit(1).alias("_k")), ["case_id", "utterance_id"], "left").groupBy("section").agg(
+        n.alias("_refs"), F.count("_k").alias("_valid"))
+    n_gold = gold.groupBy("section").agg(n.alias("gold"))
+    joined = n_gold.join(scored, "section", "full").join(valid, "section", "left").na.fill(0)
     tp, fp, fn = F.col("tp"), F.col("outputs") - F.col("tp"), F.col("gold") - F.col("tp")
+    share = lambda a, b, name: F.round(F.try_divide(a, b), 6).alias(name)
     return joined.select(
-        "section", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn),
-        F.round(F.try_divide("_owner", "tp"), 6).alias("owner_accuracy"),
-        F.round(F.try_divide("_s", "_cited"), 6).alias("support_precision"), F.round(F.try_divide("_s", "_expected"), 6).alias("support_recall"))
+        "section", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn), share("_owner", "tp", "owner_accuracy"),
+        share("_deadline", "tp", "deadline_accuracy"), "false_owners", "false_deadlines", (F.col("_refs") - F.col("_valid")).alias("unknown_evidence"),
+        share("_valid", "_refs", "evidence_validity"), share("_citing", "outputs", "evidence_coverage"),
+        share("_s", "_cited", "support_precision"), share("_s", "_expected", "support_recall"))
 
 
 def set_scores(expected: DataFrame, observed: DataFrame, keys: list[str], label: str) -> DataFrame:

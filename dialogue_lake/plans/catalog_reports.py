@@ -23,7 +23,7 @@ from dialogue_lake.plans.catalog_speech import (
     utterances,
     word_reliability,
 )
-from dialogue_lake.plans.catalog_terms import EDITED, context_terms, edited, tokens_sql
+from dialogue_lake.plans.catalog_terms import EDITED, FLAGS, context_terms, edited, meaning_sql, signature_sql, tokens_sql
 from dialogue_lake.plans.registry import listed, query, view
 from dialogue_lake.plans.sql_views import strings
 from dialogue_lake.plans.views import Views
@@ -32,10 +32,76 @@ from dialogue_lake.sources import readers, sinks
 # --- metrics ---
 
 
-@query("e11_word_error_rate")
+def wer_sql(x: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\S+')"
+
+
+def edits_view(pairs: str) -> str:
+    """Token errors of (id..., r, h) rows by the dynamic programme, one token of ``r`` a step."""
+    return f"""WITH RECURSIVE walk AS (
+      SELECT *, 0 AS i, range(0, len(h) + 1) AS cost FROM ({pairs})
+      UNION ALL SELECT * EXCLUDE (step, i, cost), i + 1 AS i, [list_min(step[1:j]) + j for j in range(1, len(h) + 2)] AS cost FROM (
+        SELECT *, [least(cost[j] + 1, CASE WHEN j > 1 THEN cost[j - 1] + CASE WHEN h[j - 1] = r[i + 1] THEN 0 ELSE 1 END ELSE 1000000000 END) - j
+          for j in range(1, len(h) + 2)] AS step FROM walk WHERE i < len(r)))
+    SELECT * EXCLUDE (i, cost, r, h), CAST(cost[len(h) + 1] AS BIGINT) AS word_errors, CAST(len(r) AS BIGINT) AS reference_words,
+      CAST(len(h) AS BIGINT) AS hypothesis_words FROM walk WHERE i = len(r)"""
+
+
+view("v_wer", edits_view(f"SELECT meeting_id, utt_idx, {wer_sql('text')} AS r, {wer_sql(EDITED)} AS h FROM v_u"))
+
+
+def word_pairs(v: Views):
+    return v.utterances.select("meeting_id", "utt_idx", F.col("text").alias("reference"), edited(F.col("text")).alias("hypothesis"))
+
+
+@query("e11_word_error_rate", """SELECT *, CASE WHEN reference_words > 0 THEN round(word_errors / reference_words, 6)
+    WHEN hypothesis_words = 0 THEN 0 END AS wer FROM v_wer""")
+def _(v):
+    return me.word_error_rate(word_pairs(v)).drop("reference", "hypothesis")
+
+
+@query("e11_corpus_error_rate", """SELECT meeting_id, count(*) AS texts, CAST(sum(word_errors) AS BIGINT) AS word_errors,
+    CAST(sum(reference_words) AS BIGINT) AS reference_words, CAST(sum(hypothesis_words) AS BIGINT) AS hypothesis_words,
+    round(sum(word_errors) / nullif(sum(reference_words), 0), 6) AS wer FROM v_wer GROUP BY meeting_id""")
+def _(v):
+    return me.corpus_error_rate(word_pairs(v), ["meeting_id"])
+
+
+# Three versions of a heard text: as heard, one kind of mistake mended, two mended.
+view("v_ct", f"""SELECT meeting_id || '-' || utt_idx AS case_id, condition, text AS reference, {EDITED} AS raw_text, CASE condition WHEN 'baseline' THEN {EDITED}
+    WHEN 'context_only' THEN replace({EDITED}, ' 7 ', ' to ') ELSE replace(replace({EDITED}, ' 7 ', ' to '), ' not ', ' and ') END AS version
+    FROM v_u, (SELECT unnest(['baseline', 'context_only', 'closed_loop']) AS condition)""")
+view("v_ctw", edits_view(f"SELECT case_id, condition, {wer_sql('reference')} AS r, {wer_sql('version')} AS h FROM v_ct"))
+view("v_ctt", f"""SELECT case_id, condition, CAST(sum(least(e, f)) AS BIGINT) AS true_terms, CAST(sum(e) AS BIGINT) AS reference_terms, CAST(sum(f) AS BIGINT) AS predicted_terms
+    FROM (SELECT case_id, condition, w, sum(e) AS e, sum(f) AS f FROM (
+      SELECT case_id, condition, unnest({tokens_sql('reference')}) AS w, 1 AS e, 0 AS f FROM v_ct UNION ALL
+      SELECT case_id, condition, unnest({tokens_sql('version')}), 0, 1 FROM v_ct) WHERE w IN (SELECT canonical FROM v_g) GROUP BY ALL) GROUP BY ALL""")
+_kinds = " + ".join(
+    f"CAST(list_filter(a, lambda t: {test}) <> list_filter(b, lambda t: {test}) AS BIGINT)" for test in FLAGS.values())
+view("v_ctc", f"""SELECT case_id, condition, {_kinds} + CAST({signature_sql('a')} <> {signature_sql('b')} AS BIGINT) AS changes
+    FROM (SELECT case_id, condition, {meaning_sql('raw_text')} AS a, {meaning_sql('version')} AS b FROM v_ct)""")
+view("v_ctj", """SELECT c.case_id, c.condition, c.changes, w.word_errors, w.reference_words, coalesce(t.true_terms, 0) AS true_terms,
+    coalesce(t.reference_terms, 0) AS reference_terms, coalesce(t.predicted_terms, 0) AS predicted_terms FROM v_ctc c JOIN v_ctw w USING (case_id, condition)
+    LEFT JOIN v_ctt t USING (case_id, condition)""")
+_sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (
+    "word_errors", "reference_words", "true_terms", "reference_terms", "predicted_terms", "changes", "error_difference", "term_difference", "change_difference"))
+
+
+@query("e14_compare_conditions", f"""SELECT *, round(word_errors / nullif(reference_words, 0), 6) AS wer, round(true_terms / nullif(predicted_terms, 0), 6) AS precision,
+    round(true_terms / nullif(reference_terms, 0), 6) AS recall,
+    round(CASE WHEN true_terms > 0 THEN 2.0 * true_terms / (predicted_terms + reference_terms) END, 6) AS f1 FROM (
+    SELECT condition, case_id, CAST(grouping(case_id) AS INT) AS total, count(*) AS cases, {_sums} FROM (
+      SELECT j.*, j.word_errors - b.word_errors AS error_difference, j.true_terms - b.true_terms AS term_difference, j.changes - b.changes AS change_difference
+      FROM v_ctj j JOIN v_ctj b ON b.case_id = j.case_id AND b.condition = 'baseline') GROUP BY GROUPING SETS ((condition, case_id), (condition)))""")
 def _(v):
-    pairs = v.utterances.select("meeting_id", "utt_idx", F.col("text").alias("reference"), edited(F.col("text")).alias("hypothesis"))
-    return me.word_error_rate(pairs).drop("reference", "hypothesis")
+    heard = edited(F.col("text"))
+    mended = F.replace(heard, F.lit(" 7 "), F.lit(" to "))
+    versions = F.explode(F.map_from_arrays(
+        F.array(*[F.lit(n) for n in ("baseline", "context_only", "closed_loop")]), F.array(heard, mended, F.replace(mended, F.lit(" not "), F.lit(" and ")))))
+    case = F.concat_ws("-", "meeting_id", "utt_idx").alias("case_id")
+    texts = v.utterances.select(case, versions.alias("condition", "text"))
+    cases = v.utterances.select(case, heard.alias("raw_text"), F.col("text").alias("reference"))
+    return me.compare_conditions(texts, cases, v.glossary.select(F.col("canonical").alias("term")), "baseline")
 
 
 @query("e13_term_metrics", f"""SELECT term, true_terms, false_terms, reference_terms, predicted_terms, round(true_terms / predicted_terms, 6) AS precision,
@@ -73,21 +139,57 @@ def _(v):
 def gold_matches(v: Views):
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     base = v.items.withColumn("tokens", tokens).withColumn("case_id", F.col("meeting_id"))
-    owner = F.col("owner_speaker")
-    outputs = base.filter(F.col("section") != "summary").select("case_id", F.col("utt_idx").alias("item_no"), "tokens", "section", "evidence_ids", owner.alias("owner"))
+    owner, deadline, turn = F.col("owner_speaker"), F.col("deadline_text"), F.col("utt_idx")
+    outputs = base.filter(F.col("section") != "summary").select(
+        "case_id", turn.alias("item_no"), "tokens", "section", "evidence_ids", owner.alias("owner"), deadline.alias("deadline"))
     words = F.transform(F.slice("tokens", 1, 2), lambda t: F.array(t))
-    gold = base.filter(F.size("tokens") > 1).select("case_id", F.col("utt_idx").alias("gold_no"), words.alias("keywords"), "section", "evidence_ids", owner.alias("owner"))
+    gold = base.filter(F.size("tokens") > 1).select(
+        "case_id", turn.alias("gold_no"), words.alias("keywords"), "section", "evidence_ids",
+        F.when(turn % 9 == 3, "assistant").otherwise(owner).alias("owner"), F.when(turn % 2 == 0, deadline).alias("deadline"))
     return outputs, gold, me.match_gold(outputs, gold)
 
 
-@query("d25_match_gold")
+_itk = f"SELECT *, {tokens_sql('text')} AS tokens FROM v_it"
+view("v_out", f"""SELECT meeting_id AS case_id, utt_idx AS item_no, tokens, section, evidence_ids, owner_speaker AS owner, deadline_text AS deadline
+    FROM ({_itk}) WHERE section <> 'summary'""")
+view("v_gold", f"""SELECT meeting_id AS case_id, utt_idx AS gold_no, tokens, section, evidence_ids, CASE WHEN utt_idx % 9 = 3 THEN 'assistant' ELSE owner_speaker END AS owner,
+    CASE WHEN utt_idx % 2 = 0 THEN deadline_text END AS deadline FROM ({_itk}) WHERE len(tokens) > 1""")
+view("v_fit", """SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY item_no) AS k FROM (
+    SELECT o.case_id, o.item_no, list(g.gold_no ORDER BY g.gold_no) AS golds FROM v_out o JOIN v_gold g ON g.case_id = o.case_id
+      AND list_contains(o.tokens, g.tokens[1]) AND list_contains(o.tokens, g.tokens[2]) GROUP BY ALL)""")
+view("v_match", """WITH RECURSIVE walk AS (
+      SELECT DISTINCT case_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS item_no, NULL::BIGINT AS gold_no FROM v_fit
+      UNION ALL SELECT case_id, k, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, item_no, x FROM (
+        SELECT w.case_id, f.k, w.used, f.item_no, [g for g in f.golds if NOT list_contains(w.used, g)][1] AS x
+        FROM walk w JOIN v_fit f ON f.case_id = w.case_id AND f.k = w.k + 1))
+    SELECT case_id, item_no, gold_no FROM walk WHERE gold_no IS NOT NULL""")
+
+
+@query("d25_match_gold", "SELECT case_id, item_no, gold_no FROM v_match")
 def _(v):
     return gold_matches(v)[2]
 
 
-@query("e17_extraction_metrics")
-def _(v):
-    return me.extraction_metrics(*gold_matches(v))
+@query("e17_extraction_metrics", """SELECT section, tp, outputs - tp AS fp, gold - tp AS fn, round(tp / nullif(outputs, 0), 6) AS precision, round(tp / nullif(gold, 0), 6) AS recall,
+    round(2 * tp / nullif(outputs + gold, 0), 6) AS f1, round(owner_ok / nullif(tp, 0), 6) AS owner_accuracy, round(deadline_ok / nullif(tp, 0), 6) AS deadline_accuracy,
+    false_owners, false_deadlines, refs - valid AS unknown_evidence, round(valid / nullif(refs, 0), 6) AS evidence_validity,
+    round(citing / nullif(outputs, 0), 6) AS evidence_coverage, round(shared / nullif(cited, 0), 6) AS support_precision, round(shared / nullif(expected, 0), 6) AS support_recall
+    FROM (SELECT section, gold, coalesce(outputs, 0) AS outputs, coalesce(tp, 0) AS tp, coalesce(owner_ok, 0) AS owner_ok, coalesce(deadline_ok, 0) AS deadline_ok, coalesce(false_owners, 0) AS false_owners, coalesce(false_deadlines, 0) AS false_deadlines, coalesce(refs, 0) AS refs, coalesce(citing, 0) AS citing, coalesce(valid, 0) AS valid, coalesce(cited, 0) AS cited, coalesce(expected, 0) AS expected, coalesce(shared, 0) AS shared
+    FROM (SELECT section, count(*) AS gold FROM v_gold GROUP BY 1) LEFT JOIN (
+      SELECT section, count(*) AS outputs, count(gold_no) AS tp, count(*) FILTER (WHERE gold_no IS NOT NULL AND owner IS NOT DISTINCT FROM g_owner) AS owner_ok,
+        count(*) FILTER (WHERE gold_no IS NOT NULL AND deadline IS NOT DISTINCT FROM g_deadline) AS deadline_ok,
+        count(*) FILTER (WHERE owner IS NOT NULL AND (gold_no IS NULL OR owner IS DISTINCT FROM g_owner)) AS false_owners,
+        count(*) FILTER (WHERE deadline IS NOT NULL AND (gold_no IS NULL OR deadline IS DISTINCT FROM g_deadline)) AS false_deadlines,
+        CAST(sum(len(evidence_ids)) AS BIGINT) AS refs, count(*) FILTER (WHERE len(evidence_ids) > 0) AS citing,
+        CAST(sum(len([e for e in evidence_ids if list_contains(known, e)])) AS BIGINT) AS valid,
+        coalesce(sum(len(list_distinct(evidence_ids))) FILTER (WHERE gold_no IS NOT NULL), 0) AS cited,
+        coalesce(sum(len(list_distinct(g_evidence))) FILTER (WHERE gold_no IS NOT NULL), 0) AS expected,
+        coalesce(sum(len(list_intersect(evidence_ids, g_evidence))) FILTER (WHERE gold_no IS NOT NULL), 0) AS shared
+      FROM (SELECT o.*, m.gold_no, g.owner AS g_owner, g.deadline AS g_deadline, g.evidence_ids AS g_evidence, u.known FROM v_out o
+        LEFT JOIN v_match m USING (case_id, item_no) LEFT JOIN v_gold g ON g.case_id = o.case_id AND g.gold_no = m.gold_no
+        JOIN (SELECT meeting_id, list(utterance_id) AS known FROM v_u GROUP BY 1) u ON u.meeting_id = o.case_id) GROUP BY 1) USING (section))""")
+def _(v):
+    return me.extraction_metrics(*gold_matches(v), v.utterances.select(F.col("meeting_id").alias("case_id"), "utterance_id"))
 
 
 _gold_event = f"{strings(fixed.EVENT_TYPES)}[(meeting_id * 5 + utt_idx) % 14 + 1]"
@@ -274,6 +376,38 @@ def _(v):
     return me.diarization_error(error_cells(v), ag.reference_mapping(v.secondary_turns, v.truth_turns), verified).drop("verified", "reason")
 
 
+view("v_rt", "SELECT meeting_id, 'T_' || speaker_id AS speaker_id, start_ms, end_ms FROM v_tr")
+view("v_edge", "SELECT meeting_id, start_ms AS t FROM v_rt UNION SELECT meeting_id, end_ms FROM v_rt")
+view("v_kc", """SELECT * FROM (SELECT meeting_id, t AS s, lead(t) OVER (PARTITION BY meeting_id ORDER BY t) AS e FROM (
+      SELECT * FROM v_edge UNION SELECT meeting_id, t - 250 FROM v_edge UNION SELECT meeting_id, t + 250 FROM v_edge
+      UNION SELECT meeting_id, start_ms FROM v_ts UNION SELECT meeting_id, end_ms FROM v_ts)) c
+    WHERE e IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_edge k WHERE k.meeting_id = c.meeting_id AND k.t - 250 < c.e AND k.t + 250 > c.s)""")
+view("v_kn", """SELECT c.meeting_id, c.s, c.e, (SELECT count(DISTINCT t.speaker_id) FROM v_rt t WHERE t.meeting_id = c.meeting_id AND t.start_ms < c.e AND t.end_ms > c.s) AS nr,
+    (SELECT count(DISTINCT t.speaker_id) FROM v_ts t WHERE t.meeting_id = c.meeting_id AND t.start_ms < c.e AND t.end_ms > c.s) AS nh,
+    (SELECT count(DISTINCT t.speaker_id) FROM v_ts t JOIN v_smap m ON m.meeting_id = t.meeting_id AND m.model_id = t.speaker_id JOIN v_rt r ON r.meeting_id = t.meeting_id
+      AND r.speaker_id = m.truth_id AND r.start_ms < c.e AND r.end_ms > c.s WHERE t.meeting_id = c.meeting_id AND t.start_ms < c.e AND t.end_ms > c.s) AS nc FROM v_kc c""")
+_der = """SELECT meeting_id, CAST(sum((e - s) * nr) AS BIGINT) AS truth_ms, CAST(sum((e - s) * greatest(0, nr - nh)) AS BIGINT) AS miss_ms,
+    CAST(sum((e - s) * greatest(0, nh - nr)) AS BIGINT) AS false_ms, CAST(sum((e - s) * (least(nr, nh) - nc)) AS BIGINT) AS confusion_ms,
+    round(sum((e - s) * (greatest(nr, nh) - nc)) / nullif(sum((e - s) * nr), 0), 6) AS der FROM v_kn WHERE nr < {most} GROUP BY 1"""
+
+
+def der_with(v: Views, skip_overlap: bool):
+    truth = v.regular_turns.withColumn("speaker_id", F.concat(F.lit("T_"), "speaker_id"))
+    cells = me.scored_cells(truth, v.secondary_turns, 500, skip_overlap)
+    verified = v.durations.select("meeting_id", F.lit(True).alias("verified"))
+    return me.diarization_error(cells, ag.reference_mapping(v.secondary_turns, v.truth_turns), verified).drop("verified", "reason")
+
+
+@query("e10_collar", _der.format(most=1_000_000))
+def _(v):
+    return der_with(v, False)
+
+
+@query("e10_skip_overlap", _der.format(most=2))
+def _(v):
+    return der_with(v, True)
+
+
 @query("e10_jaccard_error")
 def _(v):
     verified = v.durations.select("meeting_id", (F.col("meeting_id") % 2 == 0).alias("verified"))

@@ -103,7 +103,7 @@ def edited(c):
 
 
 EDITED = "replace(replace(replace(replace(text, ' and ', ' not '), ' to ', ' 7 '), ' is ', ' may '), ' was ', ' friday ')"
-_flags = {
+FLAGS = {
     "number_changes": "regexp_matches(t, '[0-9]')",
     "negation_changes": f"list_contains({strings(fixed.NEGATIONS)}, t)",
     "date_time_changes": f"list_contains({strings(fixed.DATE_WORDS)}, t) OR regexp_matches(t, '^\\d+[:/-]\\d+(?:[:/-]\\d+)?$')",
@@ -112,7 +112,7 @@ _flags = {
 
 
 @query("b07_safety_violations", "SELECT origin, text_id, " + ", ".join(
-    f"list_filter(a, lambda t: {c}) <> list_filter(b, lambda t: {c}) AS {n}" for n, c in _flags.items())
+    f"list_filter(a, lambda t: {c}) <> list_filter(b, lambda t: {c}) AS {n}" for n, c in FLAGS.items())
     + f", {signature_sql('a')} <> {signature_sql('b')} AS protected_content_changes FROM (SELECT origin, text_id, "
     f"{meaning_sql('text')} AS a, {meaning_sql(EDITED)} AS b FROM v_text)")
 def _(v):
