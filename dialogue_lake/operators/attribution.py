@@ -242,7 +242,11 @@ def words_to_segments(words: DataFrame, segments: DataFrame, slack_ms: int = 500
 
     Compatible means inside the segment widened by the slack; best means largest overlap,
     then nearest centre, then the earlier segment. A choice may not go back behind the
-    segment of any earlier word, so the words of a chunk are folded in order.
+    segment of any earlier word.
+
+    Where the best segment of a word is no earlier than every segment an earlier word could
+    have taken, it is taken whatever was chosen before. Such words cut a chunk into runs that
+    do not depend on each other; only inside a run are words folded in order.
     """
     start, end, ss, se = F.col("start_ms"), F.col("end_ms"), F.col("_ss"), F.col("_se")
     near = range_join(
@@ -264,8 +268,6 @@ def words_to_segments(words: DataFrame, segments: DataFrame, slack_ms: int = 500
     options = near.groupBy("meeting_id", "chunk", "word_no").agg(
         F.array_sort(F.collect_list(option)).alias("options")
     )
-    # A chunk is one provider response (at most ten minutes of speech), so a fold over its
-    # words is bounded by the length of the chunk, not of the meeting.
     def advance(state: Column, word: Column) -> Column:
         cursor = F.coalesce(F.try_element_at(state, F.lit(-1))["seg_idx"], F.lit(-1).cast("bigint"))
         allowed = F.filter(word["options"], lambda o: o["seg_idx"] >= cursor)
@@ -282,7 +284,14 @@ def words_to_segments(words: DataFrame, segments: DataFrame, slack_ms: int = 500
         )
 
     empty = F.expr("cast(array() as array<struct<word_no:bigint,seg_idx:bigint,compatible:boolean>>)")
-    folded = options.groupBy("meeting_id", "chunk").agg(
+    furthest = F.array_max(F.transform("options", lambda o: o["seg_idx"]))
+    bucket = ordered.bucket_of("word_no", 1 << 16)
+    key, order = ["meeting_id", "chunk"], ["word_no"]
+    reached = ordered.scan(options, key, order, bucket, [ordered.running_max("_reached", furthest)])
+    settled = F.coalesce(F.get("options", F.lit(0))["seg_idx"] >= F.col("_reached"), F.lit(True))
+    runs = ordered.scan(
+        reached.withColumn("_cut", settled.cast("bigint")), key, order, bucket, [ordered.running_sum("_run", F.col("_cut"))])
+    folded = runs.groupBy("meeting_id", "chunk", "_run").agg(
         F.array_sort(F.collect_list(F.struct("word_no", "options"))).alias("w")
     )
     picked = folded.select(

@@ -112,7 +112,22 @@ def _(v):
     return bare_segments(v)[0].select("meeting_id", "segment_id", "speaker_id", "method")
 
 
-@query("d06_word_to_segment")
+view("v_ch", """SELECT *, start_ms // 600000 AS chunk, seg_idx * 100000 + word_index AS word_no FROM v_wd""")
+view("v_opt", """SELECT *, row_number() OVER (PARTITION BY meeting_id, chunk ORDER BY word_no) AS k FROM (
+    SELECT w.meeting_id, w.chunk, w.word_no, list(s.seg_idx ORDER BY greatest(0, least(w.end_ms, s.end_ms) - greatest(w.start_ms, s.start_ms)) DESC,
+      abs(w.start_ms + w.end_ms - s.start_ms - s.end_ms), s.seg_idx) AS options
+    FROM v_ch w JOIN v_sg s ON s.meeting_id = w.meeting_id AND w.start_ms >= s.start_ms - 500 AND w.end_ms <= s.end_ms + 500
+      AND w.chunk BETWEEN s.start_ms // 600000 AND s.end_ms // 600000 GROUP BY ALL)""")
+view("v_walk", """WITH RECURSIVE walk AS (
+      SELECT DISTINCT meeting_id, chunk, 0::BIGINT AS k, -1::BIGINT AS place, NULL::BIGINT AS word_no, false AS compatible FROM v_opt
+      UNION ALL SELECT meeting_id, chunk, k, coalesce(x, place), word_no, x IS NOT NULL FROM (
+        SELECT o.meeting_id, o.chunk, o.k, o.word_no, w.place, [s for s in o.options if s >= w.place][1] AS x
+        FROM walk w JOIN v_opt o ON o.meeting_id = w.meeting_id AND o.chunk = w.chunk AND o.k = w.k + 1))
+    SELECT * FROM walk WHERE k > 0""")
+
+
+@query("d06_word_to_segment", """SELECT w.meeting_id, w.segment_id, w.word_index, p.place AS chosen_segment, coalesce(p.compatible, false) AS compatible
+    FROM v_ch w LEFT JOIN v_walk p USING (meeting_id, chunk, word_no)""")
 def _(v):
     words = v.words.withColumn("chunk", F.floor(F.col("start_ms") / 600_000).cast("bigint")).withColumn(
         "word_no", F.col("seg_idx") * 100_000 + F.col("word_index"))
