@@ -45,6 +45,8 @@ FIRST = 8
 #: Cells of a table for each digest of both sets, attempt by attempt.
 LARGER = (0.5, 1.0, 2.0, 4.0)
 CHECK = np.uint64(0xA0761D6478BD642F)
+#: Digests compared at once.
+TOGETHER = 150_000
 #: Ids of a bucket, and rows of a bucket beyond which it is split.
 BUCKET, MANY = 2048, 8192
 LAST = -(1 << 62)
@@ -150,6 +152,7 @@ class Sets:
 
     def __init__(self, column: pa.Array):
         self.sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
+        # Flattening keeps to the rows of a slice.
         self.values = np.asarray(column.flatten()).astype(np.int64).view(np.uint64)
         self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -223,8 +226,17 @@ def measured(rows: DataFrame) -> DataFrame:
         *others, F.col("next").isNotNull().alias("there"),
         *[F.coalesce(digests(F.col(c)), F.array().cast("array<long>")).alias(f"_{c}") for c in ("text", "edited", "next")])
 
+    def parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+        """Slices of about ``TOGETHER`` digests, so that memory does not grow with the texts of a batch."""
+        sizes = sum(np.diff(np.asarray(batch.column(at + k).offsets)).astype(np.int64) for k in (1, 2, 3))
+        group = np.cumsum(sizes) // TOGETHER
+        begin = 0
+        for n in np.unique(group, return_counts=True)[1]:
+            yield batch.slice(begin, int(n))
+            begin += int(n)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, whole.schema.get_field_index("there"))):
             at = batch.schema.get_field_index("there")
             own, changed, following = (Sets(batch.column(at + k)) for k in (1, 2, 3))
             cells = np.full(batch.num_rows, FIRST)
