@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import ordered
 from dialogue_lake.session import checkpointed
+from dialogue_lake.sources import strict
 
 PREFIX = {"summary": "sum", "minutes": "min", "decisions": "dec", "action_items": "act"}
 # The names around the records of a request.
@@ -117,13 +119,19 @@ def resolve_evidence(items: DataFrame, utterances: DataFrame) -> DataFrame:
 
 
 def claim_violations(items: DataFrame, utterances: DataFrame) -> DataFrame:
-    """Unknown citations, and owners or deadlines no single cited utterance supports."""
+    """Unknown citations, and owners or deadlines no single cited utterance supports.
+
+    A named owner (``owner_name``, where there is such a column) must stand in a cited text.
+    """
+    name = F.col("owner_name") if "owner_name" in items.columns else F.lit(None).cast("string").alias("owner_name")
     cited = items.select(
-        "meeting_id", "item_id", "section", "owner_speaker", "deadline_text", F.explode_outer("evidence_ids").alias("utterance_id"))
+        "meeting_id", "item_id", "section", "owner_speaker", name, "deadline_text", F.explode_outer("evidence_ids").alias("utterance_id"))
     rows = cited.join(utterances.select("meeting_id", "utterance_id", "speaker_id", F.col("text").alias("_t")), ["meeting_id", "utterance_id"], "left")
     supported = F.coalesce(tx.literal_support(F.col("deadline_text"), F.col("_t")), F.lit(False))
+    named = F.coalesce(tx.literal_support(F.col("owner_name"), F.col("_t")), F.lit(False))
     per_item = rows.groupBy("meeting_id", "item_id").agg(
         F.bool_or(F.col("_t").isNull()).alias("unknown"),
+        F.bool_or((F.col("section") == "action_items") & F.col("owner_name").isNotNull()).alias("has_name"), F.bool_or(named).alias("name_cited"),
         F.bool_or((F.col("section") == "action_items") & F.col("owner_speaker").isNotNull()).alias("has_owner"),
         F.bool_or(F.coalesce(F.col("owner_speaker") == F.col("speaker_id"), F.lit(False))).alias("owner_cited"),
         F.bool_or((F.col("section") == "action_items") & F.col("deadline_text").isNotNull()).alias("has_deadline"),
@@ -131,6 +139,7 @@ def claim_violations(items: DataFrame, utterances: DataFrame) -> DataFrame:
     rules = F.array_compact(F.array(
         F.when(F.col("unknown"), "unknown_evidence"),
         F.when(F.col("has_owner") & ~F.col("owner_cited"), "owner_not_cited"),
+        F.when(F.col("has_name") & ~F.col("name_cited"), "named_owner_not_cited"),
         F.when(F.col("has_deadline") & ~F.col("deadline_cited"), "deadline_not_cited")))
     return per_item.select("meeting_id", F.col("item_id").alias("record_id"), F.explode(rules).alias("rule"))
 
@@ -246,3 +255,57 @@ def topics_in_order(items: DataFrame) -> DataFrame:
     topics = items.groupBy("meeting_id", "topic").agg(F.count(F.lit(1)).alias("items"), F.min("utt_idx").alias("first_utt"))
     order = Window.partitionBy("meeting_id").orderBy("first_utt", "topic")
     return topics.withColumn("topic_no", F.row_number().over(order).cast("bigint"))
+
+
+def extraction_shape(max_items: int = 128) -> strict.Shape:
+    """What an answer to an extraction request must look like."""
+    shape = strict.Shape().add("$", "object")
+    fields = {"summary": ["text"], "minutes": ["text", "topic", "kind"], "decisions": ["text"], "action_items": ["task"]}
+    for section, texts in fields.items():
+        item = f"$.{section}[]"
+        shape.add(f"$.{section}", "array", most=max_items).add(item, "object")
+        for name in texts:
+            shape.add(f"{item}.{name}", "string", filled=True, values=fixed.MINUTE_KINDS if name == "kind" else ())
+        shape.add(f"{item}.evidence_utterance_ids", "array").add(f"{item}.evidence_utterance_ids[]", "string", filled=True)
+    owner = "$.action_items[].owner"
+    shape.add(owner, "object", "null").add(f"{owner}.kind", "string", values=("speaker", "named_entity"))
+    shape.add(f"{owner}.speaker_id", "string", "null").add(f"{owner}.display_text", "string", "null")
+    return shape.add("$.action_items[].deadline_text", "string", "null")
+
+
+ANSWER = (
+    "summary array<struct<text: string, evidence_utterance_ids: array<string>>>, "
+    "minutes array<struct<text: string, topic: string, kind: string, evidence_utterance_ids: array<string>>>, "
+    "decisions array<struct<text: string, evidence_utterance_ids: array<string>>>, "
+    "action_items array<struct<task: string, owner: struct<kind: string, speaker_id: string, display_text: string>, "
+    "deadline_text: string, evidence_utterance_ids: array<string>>>")
+
+
+def parse_extraction(answers: DataFrame, keys: list[str], payload: str = "payload", max_items: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Items of the answers that are exactly of the shape, and every departure of the others.
+
+    Items are numbered per section in the order of the answer. An owner is a speaker or a
+    name, never both; either one alone of ``owner_speaker`` and ``owner_name`` is set.
+    """
+    found = checkpointed(strict.violations(answers, keys, payload, extraction_shape(max_items)))
+    whole = answers.join(found.select(*keys).distinct(), keys, "left_anti").withColumn("_a", F.from_json(payload, ANSWER))
+    # Which of its two fields an owner has to fill follows from its kind.
+    mixed = F.transform("_a.action_items", lambda x: x["owner"].isNotNull() & ~F.when(
+        x["owner"]["kind"] == "speaker", x["owner"]["speaker_id"].isNotNull() & x["owner"]["display_text"].isNull()).otherwise(
+        x["owner"]["speaker_id"].isNull() & x["owner"]["display_text"].isNotNull()))
+    wrong = whole.select(*keys, F.posexplode(mixed).alias("_n", "_w")).filter("_w").select(
+        *keys, F.concat(F.lit("$.action_items["), F.col("_n").cast("string"), F.lit("].owner")).alias("path"), F.lit("owner_fields").alias("rule"))
+    good = whole.join(wrong.select(*keys).distinct(), keys, "left_anti")
+    out = None
+    none = F.lit(None).cast("string")
+    for section, prefix in PREFIX.items():
+        part = good.select(*keys, F.posexplode(f"_a.{section}").alias("_n", "i"))
+        action, minute = section == "action_items", section == "minutes"
+        part = part.select(
+            *keys, F.lit(section).alias("section"), F.concat(F.lit(prefix), F.format_string("_%04d", F.col("_n") + 1)).alias("item_id"),
+            F.col("i.task" if action else "i.text").alias("text"), (F.col("i.topic") if minute else none).alias("topic"),
+            (F.col("i.kind") if minute else none).alias("kind"), (F.col("i.owner.speaker_id") if action else none).alias("owner_speaker"),
+            (F.col("i.owner.display_text") if action else none).alias("owner_name"), (F.col("i.deadline_text") if action else none).alias("deadline_text"),
+            F.col("i.evidence_utterance_ids").alias("evidence_ids"))
+        out = part if out is None else out.unionByName(part)
+    return out, found.unionByName(wrong)

@@ -13,6 +13,7 @@ from dialogue_lake.operators import edits as ed
 from dialogue_lake.operators import ordered
 from dialogue_lake.plans.catalog_terms import TS, fold_sql, meaning_sql, ranked, records, signature_sql, tokens_sql
 from dialogue_lake.plans.registry import listed, query, view
+from dialogue_lake.plans.sql_views import strings
 from dialogue_lake.plans.views import Views
 
 # --- grounded records, decisions and edits ---
@@ -407,3 +408,77 @@ def _(v):
     SELECT meeting_id, topic, count(*) AS items, min(utt_idx) AS f FROM v_it GROUP BY ALL)""")
 def _(v):
     return cl.topics_in_order(v.items).drop("first_utt")
+
+
+# --- answers to extraction requests, some of them not of the form ---
+KIND_NAMES = {"concern": "concern", "fact": "information", "question": "discussion"}
+
+
+def answers(v: Views):
+    """One answer a meeting; every eighth has an unknown kind, a null, a name that is not asked for, ..."""
+    kind = F.when(F.col("meeting_id") % 8 == 4, F.col("kind")).otherwise(
+        F.element_at(F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv]), F.col("kind")))
+    evidence = F.col("evidence_ids").alias("evidence_utterance_ids")
+    owner = F.when(F.col("owner_speaker").isNotNull(), F.struct(
+        F.lit("speaker").alias("kind"), F.col("owner_speaker").alias("speaker_id"), F.lit(None).cast("string").alias("display_text")))
+    said = {
+        "summary": F.struct("text", evidence), "minutes": F.struct("text", "topic", kind.alias("kind"), evidence), "decisions": F.struct("text", evidence),
+        "action_items": F.struct(F.col("text").alias("task"), owner.alias("owner"), "deadline_text", evidence)}
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == n, F.struct("utt_idx", x.alias("x"))))), lambda e: e["x"]).alias(n) for n, x in said.items()]
+    whole = v.items.groupBy("meeting_id").agg(*lists).select("meeting_id", F.to_json(F.struct(*said), {"ignoreNullFields": "false"}).alias("p"))
+    text, turn = F.col("p"), F.col("meeting_id") % 8
+    return whole.select("meeting_id", F.when(turn == 1, F.replace(text, F.lit('"decisions":'), F.lit('"decision":'))).when(turn == 2, F.concat(text, F.lit(" x")))
+                        .when(turn == 3, F.concat(F.lit('{"summary":[],'), F.substring(text, F.lit(2), F.length(text))))
+                        .when(turn == 5, F.replace(text, F.lit('"topic":"topic_0"'), F.lit('"topic":null'))).otherwise(text).alias("payload"))
+
+
+_cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KIND_NAMES.items())
+_lists = ", ".join(
+    f"coalesce(list({x} ORDER BY utt_idx) FILTER (WHERE section = '{n}'), []) AS {n}" for n, x in {
+        "summary": "{'text': text, 'evidence_utterance_ids': evidence_ids}",
+        "minutes": "{'text': text, 'topic': topic, 'kind': CASE WHEN meeting_id % 8 = 4 THEN kind ELSE CASE kind " + _cases + " END END, 'evidence_utterance_ids': evidence_ids}",
+        "decisions": "{'text': text, 'evidence_utterance_ids': evidence_ids}",
+        "action_items": "{'task': text, 'owner': CASE WHEN owner_speaker IS NOT NULL THEN {'kind': 'speaker', 'speaker_id': owner_speaker, 'display_text': NULL::VARCHAR} END, "
+                        "'deadline_text': deadline_text, 'evidence_utterance_ids': evidence_ids}"}.items())
+view("v_ans", f"""SELECT meeting_id, CASE meeting_id % 8 WHEN 1 THEN replace(p, '"decisions":', '"decision":') WHEN 2 THEN p || ' x' WHEN 3 THEN '{{"summary":[],' || p[2:]
+    WHEN 5 THEN replace(p, '"topic":"topic_0"', '"topic":null') ELSE p END AS payload FROM (
+    SELECT meeting_id, CAST(to_json({{'summary': summary, 'minutes': minutes, 'decisions': decisions, 'action_items': action_items}}) AS VARCHAR) AS p
+    FROM (SELECT meeting_id, {_lists} FROM v_it GROUP BY 1))""")
+_shape = cl.extraction_shape()
+_places = ", ".join(
+    f"('{path}', {strings(x.types)}, {x.most if x.most is not None else 'NULL::INT'}, {strings(x.values) if x.values else 'NULL::VARCHAR[]'}, {x.filled})" for path, x in _shape.places.items())
+_children = ", ".join(f"('{path}', {strings(names)})" for path, names in _shape.children().items())
+view("v_place", f"SELECT * FROM (VALUES {_places}) AS p(pattern, types, most, allowed, filled)")
+view("v_child", f"SELECT * FROM (VALUES {_children}) AS p(pattern, names)")
+view("v_tree", """SELECT a.meeting_id, t.fullkey AS path, regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g') AS pattern, t.value, t.atom,
+    CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean'
+      WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind
+    FROM (SELECT * FROM v_ans WHERE json_valid(payload) AND len(json_keys(payload)) = len(list_distinct(json_keys(payload)))) a, json_tree(a.payload) t""")
+view("v_bad", """SELECT meeting_id, '$' AS path, CASE WHEN json_valid(payload) THEN 'repeated_field' ELSE 'invalid_json' END AS rule FROM v_ans
+      WHERE NOT json_valid(payload) OR len(json_keys(payload)) > len(list_distinct(json_keys(payload)))
+    UNION ALL SELECT t.meeting_id, t.path, 'unknown_field' FROM v_tree t WHERE t.pattern NOT IN (SELECT pattern FROM v_place)
+      AND regexp_extract(t.pattern, '^(.*)\\.[^.\\[\\]]*$', 1) IN (SELECT pattern FROM v_place WHERE list_contains(types, 'object'))
+    UNION ALL SELECT t.meeting_id, t.path, unnest(list_filter([CASE WHEN NOT list_contains(p.types, t.kind) THEN 'wrong_type' END,
+        CASE WHEN t.kind = 'array' AND json_array_length(t.value) > p.most THEN 'too_many_items' END,
+        CASE WHEN t.kind = 'string' AND NOT list_contains(p.allowed, t.value ->> '$') THEN 'not_allowed' END,
+        CASE WHEN t.kind = 'string' AND p.filled AND trim(t.value ->> '$') = '' THEN 'blank_text' END], lambda x: x IS NOT NULL)) FROM v_tree t JOIN v_place p USING (pattern)
+    UNION ALL SELECT meeting_id, path || '.' || name, 'missing_field' FROM (
+      SELECT t.meeting_id, t.path, unnest(list_filter(c.names, lambda n: NOT list_contains(json_keys(t.value), n))) AS name
+      FROM v_tree t JOIN v_child c USING (pattern) WHERE t.kind = 'object')""")
+
+
+@query("j07_extraction_violations", "SELECT meeting_id, path, rule FROM v_bad")
+def _(v):
+    return cl.parse_extraction(answers(v), ["meeting_id"])[1]
+
+
+_prefixes = " ".join(f"WHEN '{n}' THEN '{p}'" for n, p in cl.PREFIX.items())
+
+
+@query("j07_extraction_items", f"""SELECT meeting_id, section, CASE section {_prefixes} END || '_' || lpad(CAST(row_number() OVER (
+      PARTITION BY meeting_id, section ORDER BY utt_idx) AS VARCHAR), 4, '0') AS item_id, text,
+    CASE WHEN section = 'action_items' THEN owner_speaker END AS owner_speaker, CASE WHEN section = 'action_items' THEN deadline_text END AS deadline_text,
+    array_to_string(evidence_ids, ',') AS evidence FROM v_it WHERE meeting_id NOT IN (SELECT meeting_id FROM v_bad)""")
+def _(v):
+    return cl.parse_extraction(answers(v), ["meeting_id"])[0].select(
+        "meeting_id", "section", "item_id", "text", "owner_speaker", "deadline_text", listed("evidence_ids").alias("evidence"))

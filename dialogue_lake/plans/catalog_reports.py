@@ -482,6 +482,18 @@ def _(v):
     return digests(v)
 
 
+view("v_leaf", """SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx) - 1 AS n, sha256(CAST(to_json(
+    {'end_ms': end_ms, 'speaker_id': speaker_id, 'start_ms': start_ms, 'text': text, 'utt_idx': utt_idx}) AS VARCHAR)) AS d FROM v_u""")
+for _level, _below in ((1, "v_leaf"), (2, "v_node1"), (3, "v_node2"), (4, "v_node3")):
+    view(f"v_node{_level}", f"SELECT meeting_id, n // 4 AS n, sha256(string_agg(d, '' ORDER BY n)) AS d FROM {_below} GROUP BY ALL")
+
+
+@query("a10_record_digest", """SELECT meeting_id, rows, sha256(rows || ':' || d) AS digest FROM v_node4 JOIN (
+    SELECT meeting_id, count(*) AS rows FROM v_leaf GROUP BY 1) USING (meeting_id)""")
+def _(v):
+    return sinks.record_digest(v.utterances, ["meeting_id"], ["utt_idx"], ["utt_idx", "speaker_id", "start_ms", "end_ms", "text"], fan=4)
+
+
 @query("c12_provenance_chain", "SELECT meeting_id, 'speaker' AS stage FROM v_dur WHERE meeting_id % 13 = 0")
 def _(v):
     raw = digests(v)

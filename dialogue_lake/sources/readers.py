@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialogue_lake.sources import strict
+
 SCHEMA_VERSION = "1.0"
 BAD = "_bad"
 
@@ -47,32 +49,53 @@ def name_entries(names: DataFrame, max_chars: int = 120) -> tuple[DataFrame, Dat
 def read_stage(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
     """Saved stage rows as JSON lines, and the lines that are not exactly of the schema.
 
-    A row must parse, have no missing or unknown top-level field, and schema version 1.0.
+    A row must parse, have no missing, unknown or repeated field on any level, no value of
+    another type, no number that is not finite, and schema version 1.0. Every departure is a
+    row (``line, path, rule``).
     """
-    fields = F.array(*[F.lit(f.name) for f in schema.fields])
-    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.text(path).withColumn(
-        "_row", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
-    keys = F.json_object_keys("value")
-    strict = (
-        F.col(f"_row.{BAD}").isNull() & keys.isNotNull() & (F.size(F.array_except(keys, fields)) == 0)
-        & (F.size(F.array_except(fields, keys)) == 0))
+    shape = strict.shape_of(schema)
     if "schema_version" in schema.names:
-        strict = strict & (F.col("_row.schema_version") == SCHEMA_VERSION)
-    marked = rows.withColumn("_ok", F.coalesce(strict, F.lit(False)))
-    good = marked.filter("_ok").select(*[F.col("_row")[n].alias(n) for n in schema.names])
-    return good, marked.filter("NOT _ok").select(F.col("value").alias("line"))
+        shape.add("$.schema_version", "string", values=(SCHEMA_VERSION,))
+    rows = spark.read.text(path).withColumnRenamed("value", "line")
+    bad = strict.violations(rows.distinct(), ["line"], "line", shape)
+    good = rows.join(bad.select("line").distinct(), "line", "left_anti").select(F.from_json("line", schema).alias("_row")).select("_row.*")
+    return good, bad
+
+
+#: Fields that a recogniser may leave out.
+ASR_OPTIONAL = (
+    "$.chunk", "$.offset_ms", "$.duration", "$.language", "$.language_probability", "$.segments", "$.words", "$.segments[].avg_logprob",
+    "$.segments[].no_speech_prob", "$.segments[].compression_ratio")
 
 
 def scan_asr_responses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Saved recogniser answers (one JSON object per chunk) as segments, words, violations.
 
-    Times are shifted by the chunk offset and become whole milliseconds.
+    Times are shifted by the chunk offset and become whole milliseconds. An answer that is
+    not of the form is a violation with the place in the text and gives no rows; answers may
+    have further fields.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    shape = strict.shape_of(T._parse_datatype_string(ASR_SCHEMA), ASR_OPTIONAL)
+    for item in ("$.segments[]", "$.words[]"):
+        for edge in ("start", "end"):
+            shape.add(f"{item}.{edge}", "number")
+        shape.add(f"{item}.{'text' if 'segments' in item else 'word'}", "string")
+    shape.add("$.text", "string")
+    departs = strict.violations(lines.distinct(), ["line"], "line", shape).filter(F.col("rule") != "unknown_field")
+    named = F.from_json("line", "meeting_id bigint, chunk bigint")
+    malformed = departs.select(named.alias("_k"), "path", "rule").select("_k.meeting_id", "_k.chunk", "path", "rule")
+    good = lines.join(departs.select("line").distinct(), "line", "left_anti").select(F.from_json("line", ASR_SCHEMA).alias("_a")).select("_a.*")
+    segments, words, bad = explode_asr(good)
+    return segments, words, bad.unionByName(malformed)
+
+
+def explode_asr(chunks: DataFrame, chunk_seconds: float = 600.0, slack: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, words and violations (``meeting_id, chunk, path, rule``) of answers.
+
+    A time must not be negative, before its own start, before the start of the item ahead of
+    it, or more than ``slack`` seconds after the audio.
     """
-    return explode_asr(spark.read.schema(ASR_SCHEMA).json(path))
-
-
-def explode_asr(chunks: DataFrame, chunk_seconds: float = 600.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = ["meeting_id", "chunk"]
     at = lambda seconds: (F.round(seconds * 1000) + F.col("offset_ms")).cast("bigint")
     segments = chunks.select(*key, "offset_ms", F.posexplode("segments").alias("seg_no", "s")).select(
@@ -82,18 +105,28 @@ def explode_asr(chunks: DataFrame, chunk_seconds: float = 600.0) -> tuple[DataFr
         *key, F.col("word_no").cast("bigint").alias("word_no"), at(F.col("w.start")).alias("start_ms"), at(F.col("w.end")).alias("end_ms"),
         F.col("w.word").alias("text"))
     length = F.coalesce(F.col("chunk_seconds") if "chunk_seconds" in chunks.columns else F.lit(None), F.lit(chunk_seconds))
-
-    def unordered(name: str) -> Column:
-        starts = F.transform(name, lambda x: x["start"])
-        return F.coalesce(F.array_sort(starts) != starts, F.lit(False))
-
     spoken = F.trim("text") != ""
     rules = F.array_compact(F.array(
         F.when(F.abs(F.col("duration") - length) > F.greatest(F.lit(1.0), length * 0.02), "wrong_duration"),
         F.when(spoken & (F.coalesce(F.size("segments"), F.lit(0)) < 1), "missing_segments"),
         F.when(spoken & (F.coalesce(F.size("words"), F.lit(0)) < 1), "missing_words"),
-        F.when(unordered("segments"), "segments_out_of_order"), F.when(unordered("words"), "words_out_of_order")))
-    return segments, words, chunks.select(*key, F.explode(rules).alias("rule"))
+        F.when((F.coalesce(F.size("segments"), F.lit(0)) < 1) & (F.coalesce(F.size("words"), F.lit(0)) > 0), "words_without_segments")))
+    bad = chunks.select(*key, F.lit("$").alias("path"), F.explode(rules).alias("rule"))
+    for name, other in (("segments", "segments_out_of_order"), ("words", "words_out_of_order")):
+        items = F.col(name)
+        timed = F.transform(items, lambda x, i: F.struct(  # noqa: B023
+            i.alias("i"), x["start"].alias("start"), x["end"].alias("end"),
+            F.when(i > 0, F.get(items, i - 1)["start"]).alias("before")))  # noqa: B023
+        rows = chunks.select(*key, length.alias("_length"), F.inline(timed))
+        finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+        start, end = F.col("start"), F.col("end")
+        whole = finite(start) & finite(end)
+        rules = F.array_compact(F.array(
+            F.when(~whole, "not_finite"), F.when(whole & (start < 0), "negative_time"), F.when(whole & (end < start), "ends_before_start"),
+            F.when(whole & (end > F.col("_length") + slack), "outside_audio"), F.when(start < F.col("before"), other)))
+        bad = bad.unionByName(rows.select(
+            *key, F.concat(F.lit(f"$.{name}["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.explode(rules).alias("rule")))
+    return segments, words, bad
 
 
 def merge_chunks(segments: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

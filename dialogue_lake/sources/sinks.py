@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
+from dialogue_lake.operators import ordered
 
 HALF = 15
 
@@ -36,6 +37,24 @@ def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
         *keys, "rows", F.sha2(F.concat_ws("-", F.col("rows").cast("string"), *[f"_p{i}" for i in range(4)]), 256).alias("digest"))
 
 
+def record_digest(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fan: int = 1024, levels: int = 4) -> DataFrame:
+    """One digest per key over its rows in order, however they are partitioned.
+
+    A hash tree: rows are JSON texts with sorted keys, each hashed; ``fan`` digests in a row
+    are hashed together, level by level, then the number of rows with the last one. ``fan``
+    to the power ``levels`` rows fit. Order and repetition change the digest, and a saved one
+    can be compared with it. ``order`` starts with a number that grows with the order.
+    """
+    rows = df.select(*keys, *[c for c in order if c not in keys], row_digest(columns).alias("_d"))
+    rows = ordered.scan(rows, keys, [*order, "_d"], ordered.bucket_of(order[0], 4096), [ordered.numbered("_n")])
+    nodes = rows.select(*keys, (F.col("_n") - 1).alias("_n"), "_d", F.lit(1).cast("bigint").alias("_rows"))
+    for _ in range(levels):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_d"))), lambda x: x["_d"]), "")
+        nodes = nodes.groupBy(*keys, F.floor(F.col("_n") / fan).cast("bigint").alias("_up")).agg(
+            F.sha2(joined, 256).alias("_d"), F.sum("_rows").alias("_rows")).withColumnRenamed("_up", "_n")
+    return nodes.select(*keys, F.col("_rows").alias("rows"), F.sha2(F.concat_ws(":", F.col("_rows").cast("string"), "_d"), 256).alias("digest"))
+
+
 def transcript_lines(utterances: DataFrame, text: str = "text") -> DataFrame:
     """``[start --> end] SPEAKER: text`` per utterance; lines stay rows."""
     line = F.concat(
