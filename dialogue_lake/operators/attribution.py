@@ -126,6 +126,10 @@ def flag_overlap(spans: DataFrame, regions: DataFrame, ids: list[str]) -> DataFr
     return touching.withColumn("overlap_present", F.size("_hits") > 0).drop("_hits")
 
 
+#: Words of one segment whose text is rendered at once.
+WORDS_A_PIECE = 1024
+
+
 def assemble_utterances(
     words: DataFrame,
     bare_segments: DataFrame | None = None,
@@ -161,27 +165,34 @@ def assemble_utterances(
         rows, ["meeting_id"], order, ordered.bucket_of("seg_idx", segments_per_bucket),
         ["word_index", "speaker_id", "start_ms", "end_ms"], is_new, out="utterance_no",
     )
-    sequence = F.array_sort(F.collect_list(F.struct(*order, "start_ms", "text", "segment_id")))
+    # Text is put together in two steps, so that a monologue is never one array of words:
+    # a piece holds words of one segment, an utterance its pieces.
+    said = F.array_sort(F.collect_list(F.struct("word_index", "text")))
+    pieces = marked.groupBy("meeting_id", "utterance_no", "seg_idx", F.floor(F.col("word_index") / WORDS_A_PIECE).alias("_q")).agg(
+        F.first("speaker_id").alias("speaker_id"),
+        tx.render_words(F.transform(said, lambda w: w["text"])).alias("_text"),
+        F.first("segment_id").alias("segment_id"),
+        F.min(F.struct(*order, "start_ms")).alias("_start"),
+        F.max("end_ms").alias("end_ms"),
+        F.bool_or("overlap_present").alias("overlap_present"),
+        F.max("method").alias("method"),
+    )
+    place = F.struct(F.col("_start")["seg_idx"].alias("s"), F.col("_start")["word_index"].alias("w"), F.col("_text").alias("t"))
+    sources = F.array_sort(F.collect_set(F.struct("seg_idx", "segment_id")))
     return (
-        marked.groupBy("meeting_id", "utterance_no")
+        pieces.groupBy("meeting_id", "utterance_no")
         .agg(
             F.first("speaker_id").alias("speaker_id"),
-            sequence.alias("_words"),
+            F.min("_start")["start_ms"].alias("start_ms"),
             F.max("end_ms").alias("end_ms"),
+            tx.render_words(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["t"])).alias("text"),
+            F.transform(sources, lambda s: s["segment_id"]).alias("source_segment_ids"),
             F.bool_or("overlap_present").alias("overlap_present"),
             F.max("method").alias("method"),
         )
         .select(
-            "meeting_id",
-            "utterance_no",
-            F.format_string("utt_%06d", F.col("utterance_no")).alias("utterance_id"),
-            "speaker_id",
-            F.col("_words")[0]["start_ms"].alias("start_ms"),
-            "end_ms",
-            tx.render_words(F.transform("_words", lambda w: w["text"])).alias("text"),
-            F.array_distinct(F.transform("_words", lambda w: w["segment_id"])).alias("source_segment_ids"),
-            "overlap_present",
-            "method",
+            "meeting_id", "utterance_no", F.format_string("utt_%06d", F.col("utterance_no")).alias("utterance_id"),
+            "speaker_id", "start_ms", "end_ms", "text", "source_segment_ids", "overlap_present", "method",
         )
     )
 

@@ -150,13 +150,14 @@ def combine_partials(items: DataFrame) -> DataFrame:
     ``items`` carry ``chunk_no, item_no``; the first occurrence keeps its id.
     """
     columns = [c for c in items.columns if c not in ("evidence_ids",)]
-    return (
-        items.withColumn("identity", identity())
-        .groupBy("meeting_id", "section", "identity")
-        .agg(
-            F.min_by(F.struct(*columns), F.struct("chunk_no", "item_no")).alias("_i"),
-            in_meeting_order(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
-        .select("_i.*", "identity", "evidence_ids"))
+    key = ["meeting_id", "section", "identity"]
+    said = items.withColumn("identity", identity())
+    first = said.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct("chunk_no", "item_no")).alias("_i"))
+    # A claim said very often cites few utterances: each citation is collected once.
+    cited = said.select(*key, F.explode("evidence_ids").alias("_e")).distinct().groupBy(*key).agg(
+        in_meeting_order(F.collect_list("_e")).alias("evidence_ids"))
+    return first.join(cited, key, "left").select(
+        "_i.*", "identity", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"))
 
 
 def finalize_items(items: DataFrame, width: int = 4096) -> DataFrame:

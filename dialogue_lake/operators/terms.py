@@ -131,8 +131,9 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
     """
     texts = distinct_spans.select("normalized").distinct()
     forms = variants.select("variant_normalized").distinct().filter(F.col("variant_normalized") != "")
-    # Lexical is at most 0.75 * ratio + 0.25, so the plain ratio must reach this.
-    spelt = similar.candidates(texts, forms, (rules.lexical_floor - 0.25) / 0.75)
+    # Sorting tokens keeps the characters, so neither ratio of the lexical score is above
+    # that of the bags, and the bags must reach the floor itself.
+    spelt = similar.candidates(texts, forms, rules.lexical_floor)
     coded = lambda df, text, code: df.withColumn(code, metaphone(F.replace(text, F.lit(" "), F.lit(""))))
     own, other = coded(texts, "normalized", "_x"), coded(forms, "variant_normalized", "_y")
     sounding = similar.candidates(own.select("_x").distinct(), other.select("_y").distinct(), rules.phonetic_floor)
@@ -383,14 +384,22 @@ def merge_context_terms(terms: DataFrame, cap: int = 256) -> DataFrame:
     order_no``. More than ``cap`` terms in a meeting is flagged, not cut.
     """
     keyed = terms.withColumn("term_key", tx.normalize_term(F.col("canonical")))
-    in_order = F.array_sort(F.collect_list(F.struct("order_no", "aliases", "source_id")))
-    merged = keyed.groupBy("meeting_id", "scope", "term_key").agg(
+    key = ["meeting_id", "scope", "term_key"]
+    merged = keyed.groupBy(*key).agg(
         F.min_by("canonical", F.struct("inferred", "order_no")).alias("canonical"),
-        in_order.alias("_all"), F.max("priority").alias("priority"), F.bool_and("inferred").alias("inferred"))
-    return merged.select(
-        "meeting_id", "scope", "term_key", "canonical", "priority", "inferred",
-        F.array_distinct(F.flatten(F.transform("_all", lambda t: t["aliases"]))).alias("aliases"),
-        F.array_distinct(F.transform("_all", lambda t: t["source_id"])).alias("source_ids"),
+        F.max("priority").alias("priority"), F.bool_and("inferred").alias("inferred"))
+
+    def distinct(rows: DataFrame, name: str, first: Column) -> DataFrame:
+        """Distinct values of a term in order of first mention; only these are ever collected."""
+        values = rows.groupBy(*key, name).agg(F.min(first).alias("_first"))
+        return values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_first", name))).alias("_l")).select(
+            *key, F.transform("_l", lambda x: x[name]).alias(f"{name}s"))
+
+    aliases = distinct(keyed.select(*key, "order_no", F.posexplode("aliases").alias("_p", "alias")), "alias", F.struct("order_no", "_p")).withColumnRenamed("aliass", "aliases")
+    sources = distinct(keyed, "source_id", F.col("order_no"))
+    rows = merged.join(aliases, key, "left").join(sources, key)
+    return rows.select(
+        *key, "canonical", "priority", "inferred", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "source_ids",
         F.concat(F.lit("context."), F.substring(F.sha2(F.concat("scope", F.lit(":"), "term_key"), 256), 1, 20)).alias("entry_id"))
 
 

@@ -24,6 +24,10 @@ GLOSSARY_SCHEMA = (
     "asr_aliases ARRAY<STRING>, ambiguous_aliases ARRAY<STRING>, symbols ARRAY<STRING>, acronym_expansion STRING, "
     "source STRING, priority DOUBLE, requires_context BOOLEAN, safe_normalization BOOLEAN, sense STRING"
 )
+TRUTH_SCHEMA = (
+    "duration_seconds DOUBLE, audio_sha256 STRING, reference_kind STRING, verified_acoustic_annotations BOOLEAN, "
+    "segments ARRAY<STRUCT<speaker_id: STRING, start: DOUBLE, end: DOUBLE>>, word_events ARRAY<STRUCT<speaker_id: STRING, time_seconds: DOUBLE, text: STRING>>"
+)
 MEDIA_SCHEMA = (
     "streams ARRAY<STRUCT<`index`: INT, codec_type: STRING, codec_name: STRING, sample_rate: STRING, channels: INT, "
     "bits_per_sample: INT, duration: STRING, duration_ts: BIGINT, time_base: STRING, disposition: STRUCT<`default`: INT>>>, "
@@ -204,6 +208,38 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
         F.col("p")[1].alias("recording"), F.col("p")[7].alias("speaker_id"), start.alias("start_ms"), (start + ms(F.col("p")[4])).alias("end_ms"))
 
 
+def read_timed_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Timed truth documents, one JSON file a recording: segments, word events, rejects.
+
+    The recording is the file's name without its ending. A document that is not of the form
+    gives no rows; a segment that is empty, negative or beyond the duration and a word event
+    outside the recording are refused alone. Rejects are ``recording, path, rule``.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^./]*)?$", 1)
+    texts = spark.read.text(path, wholetext=True).select(name.alias("recording"), F.col("value").alias("text"))
+    shape = strict.Shape().add("$", "object").add("$.duration_seconds", "number").add("$.audio_sha256", "string").add("$.reference_kind", "string")
+    shape.add("$.verified_acoustic_annotations", "boolean").add("$.segments", "array").add("$.segments[]", "object").add("$.word_events", "array", required=False)
+    shape.add("$.segments[].speaker_id", "string", filled=True).add("$.segments[].start", "number").add("$.segments[].end", "number").add("$.word_events[]", "object")
+    shape.add("$.word_events[].speaker_id", "string", filled=True).add("$.word_events[].time_seconds", "number").add("$.word_events[].text", "string")
+    bad = strict.violations(texts, ["recording"], "text", shape).filter(F.col("rule") != "unknown_field")
+    parsed = texts.join(bad.select("recording").distinct(), "recording", "left_anti").select("recording", F.from_json("text", TRUTH_SCHEMA).alias("t"))
+    ms = lambda c: F.round(c * 1000).cast("bigint")
+    verified = F.col("t.verified_acoustic_annotations").alias("verified")
+    segments = parsed.select("recording", verified, ms(F.col("t.duration_seconds")).alias("_d"), F.posexplode("t.segments").alias("_n", "s")).select(
+        "recording", "verified", "_d", "_n", F.col("s.speaker_id").alias("speaker_id"), ms(F.col("s.start")).alias("start_ms"), ms(F.col("s.end")).alias("end_ms"))
+    words = parsed.select("recording", verified, ms(F.col("t.duration_seconds")).alias("_d"), F.posexplode("t.word_events").alias("_n", "w")).select(
+        "recording", "verified", "_d", "_n", F.col("w.speaker_id").alias("speaker_id"), ms(F.col("w.time_seconds")).alias("time_ms"), F.col("w.text").alias("text"))
+    wrong_segment = F.when(F.col("start_ms") < 0, "negative_time").when(F.col("end_ms") <= F.col("start_ms"), "ends_before_start").when(
+        F.col("end_ms") > F.col("_d"), "outside_audio")
+    wrong_word = F.when(F.col("time_ms") < 0, "negative_time").when(F.col("time_ms") > F.col("_d"), "outside_audio")
+    judged = [(segments.withColumn("rule", wrong_segment), "segments"), (words.withColumn("rule", wrong_word), "word_events")]
+    for rows, part in judged:
+        place = F.concat(F.lit(f"$.{part}["), F.col("_n").cast("string"), F.lit("]")).alias("path")
+        bad = bad.unionByName(rows.filter(F.col("rule").isNotNull()).select("recording", place, "rule"))
+    good = [rows.filter(F.col("rule").isNull()).drop("rule", "_d", "_n") for rows, _ in judged]
+    return good[0], good[1], bad
+
+
 def check_media(manifest: DataFrame, minimum_seconds: float = 0.1, tolerance_seconds: float = 0.25, tolerance_ratio: float = 0.01) -> DataFrame:
     """Chosen audio stream, its duration and the canonical-format checks.
 
