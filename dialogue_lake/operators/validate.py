@@ -17,23 +17,28 @@ def violations(df: DataFrame, record_id: Column, rules: dict[str, Column]) -> Da
 
 
 def transcript_violations(segments: DataFrame, words: DataFrame, durations: DataFrame) -> DataFrame:
-    """Ordered segment starts, words inside their segment and inside the recording."""
+    """Numbered segments with ordered starts, words inside their segment and the recording, no missing time."""
     s = ordered.scan(segments, ["meeting_id"], ["seg_idx"], ordered.bucket_of("seg_idx", 4096),
-                     [ordered.previous("_ps", F.col("start_ms"))])
+                     [ordered.previous("_ps", F.col("start_ms")), ordered.numbered("_n")])
+    missing = F.col("start_ms").isNull() | F.col("end_ms").isNull()
     seg = violations(s, F.col("segment_id"), {
+        "misnumbered": F.col("segment_id") != F.format_string("seg_%06d", "_n"), "missing_time": missing,
         "unordered_start": F.col("start_ms") < F.col("_ps"), "negative_length": F.col("end_ms") < F.col("start_ms")})
-    w = words.join(segments.select("meeting_id", "segment_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")),
+    w = words.join(segments.select("meeting_id", "segment_id", F.lit(True).alias("_there"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")),
                    ["meeting_id", "segment_id"], "left")
-    w = spread_join(w, durations, ["meeting_id"], F.col("start_ms"))
+    w = spread_join(w, durations, ["meeting_id"], F.coalesce("start_ms", F.lit(0)))
     word = violations(w, F.concat("segment_id", F.lit("/"), "word_index"), {
-        "unknown_segment": F.col("_s").isNull(),
+        "unknown_segment": F.col("_there").isNull(), "missing_time": missing, "negative_length": F.col("end_ms") < F.col("start_ms"),
         "outside_segment": (F.col("start_ms") < F.col("_s") - 500) | (F.col("end_ms") > F.col("_e") + 500),
         "outside_recording": F.col("end_ms") > F.col("duration_ms") + 1000})
     return seg.unionByName(word)
 
 
-def turn_violations(turns: DataFrame, durations: DataFrame, exclusive: bool) -> DataFrame:
-    """Positive length, order, within the recording; exclusive turns may not overlap."""
+def turn_violations(turns: DataFrame, durations: DataFrame, exclusive: bool, speakers: DataFrame | None = None) -> DataFrame:
+    """Positive length, order, within the recording; exclusive turns may not overlap.
+
+    With ``speakers`` (``meeting_id, speaker_id``) a turn's speaker must be one of them.
+    """
     rows = ordered.scan(turns, ["meeting_id"], ["turn_idx"], ordered.bucket_of("turn_idx", 4096), [
         ordered.previous("_ps", F.col("start_ms")), ordered.previous("_pe", F.col("end_ms"))])
     rows = spread_join(rows, durations, ["meeting_id"], F.col("start_ms"))
@@ -42,9 +47,43 @@ def turn_violations(turns: DataFrame, durations: DataFrame, exclusive: bool) ->
         "outside_recording": F.col("end_ms") > F.col("duration_ms") + 500}
     if exclusive:
         rules["overlap"] = F.col("start_ms") < F.col("_pe")
+    if speakers is not None:
+        declared = speakers.select("meeting_id", "speaker_id").distinct().withColumn("_declared", F.lit(True))
+        rows = spread_join(rows, declared, ["meeting_id", "speaker_id"], F.col("turn_idx"))
+        rules["undeclared_speaker"] = F.col("_declared").isNull()
     return violations(rows, F.col("turn_id"), rules)
 
 
+def speaker_transcript_violations(utterances: DataFrame, words: DataFrame, regions: DataFrame, speakers: DataFrame, durations: DataFrame) -> DataFrame:
+    """Numbered utterances of declared speakers, words of their own utterance, ordered overlap regions.
+
+    ``utterances``: ``utterance_no, utterance_id, speaker_id, start_ms, end_ms, source_segment_ids``;
+    ``words``: ``utterance_no, segment_id, word_index, speaker_id, start_ms, end_ms``; ``regions``:
+    ``start_ms, end_ms, speakers``. Every word must have its utterance's speaker, lie within its
+    times and name one of its segments.
+    """
+    declared = speakers.select("meeting_id", "speaker_id").distinct().withColumn("_declared", F.lit(True))
+    said = spread_join(utterances, declared, ["meeting_id", "speaker_id"], F.col("utterance_no"))
+    said = spread_join(said, durations, ["meeting_id"], F.col("utterance_no"))
+    said = ordered.scan(said, ["meeting_id"], ["utterance_no"], ordered.bucket_of("utterance_no", 4096), [ordered.numbered("_n")])
+    by_utterance = violations(said, F.col("utterance_id"), {
+        "misnumbered": F.col("utterance_id") != F.format_string("utt_%06d", "_n"),
+        "undeclared_speaker": F.col("speaker_id").isNotNull() & F.col("_declared").isNull(),
+        "reversed": F.col("end_ms") < F.col("start_ms"), "outside_recording": F.col("end_ms") > F.col("duration_ms") + 1000})
+    own = utterances.select("meeting_id", "utterance_no", "source_segment_ids", F.col("speaker_id").alias("_who"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
+    rows = words.join(own, ["meeting_id", "utterance_no"])
+    by_word = violations(rows, F.concat("segment_id", F.lit("/"), "word_index"), {
+        "other_speaker": ~F.col("speaker_id").eqNullSafe(F.col("_who")), "foreign_segment": ~F.array_contains("source_segment_ids", F.col("segment_id")),
+        "outside_utterance": (F.col("start_ms") < F.col("_s")) | (F.col("end_ms") > F.col("_e"))})
+    who = regions.select("meeting_id", "start_ms", "end_ms", F.explode("speakers").alias("speaker_id")).join(declared, ["meeting_id", "speaker_id"], "left_anti")
+    unknown = who.select("meeting_id", F.col("start_ms").cast("string").alias("record_id"), F.lit("undeclared_speaker").alias("rule")).distinct()
+    placed = ordered.scan(regions, ["meeting_id"], ["start_ms", "end_ms"], ordered.bucket_of("start_ms", 600_000), [ordered.running_max("_reach", F.col("end_ms"))])
+    placed = spread_join(placed, durations, ["meeting_id"], F.col("start_ms"))
+    by_region = violations(placed, F.col("start_ms").cast("string"), {
+        "overlapping_regions": F.col("start_ms") < F.col("_reach"), "outside_recording": F.col("end_ms") > F.col("duration_ms") + 500})
+    return by_utterance.unionByName(by_word).unionByName(by_region).unionByName(unknown)
+
+
 def speaker_transcript_checks(words: DataFrame, attributed: DataFrame, utterances: DataFrame) -> DataFrame:
     """Each word once, unknown exactly when there is no speaker, regular utterances."""
     key = ["meeting_id", "segment_id", "word_index"]
@@ -74,6 +113,22 @@ def grounding_checks(records: DataFrame) -> DataFrame:
         F.count_if(F.col("char_end") > F.length("text")).alias("outside"))
 
 
+def edit_log_violations(log: DataFrame) -> DataFrame:
+    """Status, replacement and reason of every logged edit must fit its action.
+
+    ``log``: ``edit_id, action, status, replacement, rejection, char_start, char_end, observed``.
+    """
+    action, status = F.col("action"), F.col("status")
+    fitting = F.when(action == "REPLACE", status.isin("applied", "rejected")).when(action == "KEEP", status == "kept").when(
+        action == "UNCERTAIN", status == "uncertain")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return violations(log, F.col("edit_id"), {
+        "unknown_action": fitting.isNull(), "status_of_other_action": ~fitting, "missing_replacement": (action == "REPLACE") & blank("replacement"),
+        "needless_replacement": (action != "REPLACE") & F.col("replacement").isNotNull(),
+        "rejected_without_reason": (status == "rejected") & blank("rejection"), "needless_reason": (status != "rejected") & F.col("rejection").isNotNull(),
+        "empty_span": (F.col("char_start") < 0) | (F.col("char_end") <= F.col("char_start")) | blank("observed")})
+
+
 def edit_replay(refined: DataFrame, log: DataFrame) -> DataFrame:
     """Refined texts that the edit log reproduces, and that keep their protected tokens."""
     span = F.struct("char_start", "char_end", "replacement")
@@ -199,6 +254,15 @@ def missing_artifacts(artifacts: DataFrame, required: list[str]) -> DataFrame:
     return have.select("meeting_id", F.array_sort(gap).alias("missing")).filter(F.size("missing") > 0)
 
 
+def job_violations(stages: DataFrame, required: list[str]) -> DataFrame:
+    """Every required stage of a job exactly once, and no other. ``stages``: ``meeting_id, stage``."""
+    counts = stages.groupBy("meeting_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+    odd = violations(counts, F.col("stage"), {"repeated_stage": F.col("n") > 1, "unknown_stage": ~F.coalesce(F.col("stage").isin(required), F.lit(False))})
+    wanted = stages.select("meeting_id").distinct().select("meeting_id", F.explode(F.array(*[F.lit(x) for x in required])).alias("stage"))
+    gone = wanted.join(counts, ["meeting_id", "stage"], "left_anti")
+    return odd.unionByName(gone.select("meeting_id", F.col("stage").alias("record_id"), F.lit("missing_stage").alias("rule")))
+
+
 def response_violations(calls: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers to nothing that was asked, and meetings answered by several models."""
     stray = calls.join(requests.select("meeting_id", "request_id").distinct(), ["meeting_id", "request_id"], "left_anti")

@@ -447,6 +447,73 @@ def _(v):
     return va.reliability_violations(rows, F.col("utterance_id"))
 
 
+# --- records with planted faults; the SQL looks for them by the rules ---
+def rules_sql(source: str, record: str, rules: dict[str, str]) -> str:
+    """A row for each broken rule of each row."""
+    return " UNION ALL ".join(f"SELECT meeting_id, {record} AS record_id, '{name}' AS rule FROM {source} WHERE {test}" for name, test in rules.items())
+
+
+view("v_bseg", """SELECT meeting_id, seg_idx, CASE WHEN (meeting_id + seg_idx) % 7 = 0 THEN 'seg_x' || seg_idx ELSE segment_id END AS segment_id,
+    start_ms + CASE WHEN (meeting_id + seg_idx) % 5 = 0 THEN 40000 ELSE 0 END AS start_ms, CASE WHEN (meeting_id + seg_idx) % 11 <> 0 THEN end_ms END AS end_ms FROM v_sg""")
+view("v_bsegn", """SELECT *, lag(start_ms) OVER w AS before, row_number() OVER w AS n FROM v_bseg WINDOW w AS (PARTITION BY meeting_id ORDER BY seg_idx)""")
+view("v_bword", """SELECT w.meeting_id, w.segment_id, w.word_index, w.start_ms, w.end_ms, s.start_ms AS s, s.end_ms AS e, s.segment_id AS there, d.duration_ms FROM (
+    SELECT * REPLACE (CASE WHEN (word_index + seg_idx) % 50 = 49 THEN NULL ELSE start_ms END AS start_ms,
+      end_ms + CASE WHEN (word_index + seg_idx) % 60 = 59 THEN 100000000 ELSE 0 END AS end_ms) FROM v_wd) w
+    LEFT JOIN v_bseg s ON s.meeting_id = w.meeting_id AND s.segment_id = w.segment_id JOIN v_dur d ON d.meeting_id = w.meeting_id""")
+
+
+@query("c01_broken_transcripts", rules_sql("v_bsegn", "segment_id", {
+    "misnumbered": "segment_id <> 'seg_' || lpad(CAST(n AS VARCHAR), 6, '0')", "missing_time": "end_ms IS NULL", "unordered_start": "start_ms < before",
+    "negative_length": "end_ms < start_ms"}) + " UNION ALL " + rules_sql("v_bword", "segment_id || '/' || word_index", {
+        "unknown_segment": "there IS NULL", "missing_time": "start_ms IS NULL", "negative_length": "end_ms < start_ms",
+        "outside_segment": "start_ms < s - 500 OR end_ms > e + 500", "outside_recording": "end_ms > duration_ms + 1000"}))
+def _(v):
+    k = F.col("meeting_id") + F.col("seg_idx")
+    segments = v.segments.select(
+        "meeting_id", "seg_idx", F.when(k % 7 == 0, F.concat(F.lit("seg_x"), "seg_idx")).otherwise(F.col("segment_id")).alias("segment_id"),
+        (F.col("start_ms") + F.when(k % 5 == 0, 40_000).otherwise(0)).alias("start_ms"), F.when(k % 11 != 0, F.col("end_ms")).alias("end_ms"))
+    place = F.col("word_index") + F.col("seg_idx")
+    words = v.words.withColumns({
+        "start_ms": F.when(place % 50 != 49, F.col("start_ms")), "end_ms": F.col("end_ms") + F.when(place % 60 == 59, 100_000_000).otherwise(0)})
+    return va.transcript_violations(segments, words, v.durations)
+
+
+@query("c02_undeclared_speakers", """SELECT meeting_id, turn_id AS record_id, 'undeclared_speaker' AS rule FROM v_tr t WHERE NOT EXISTS (
+    SELECT 1 FROM v_u u WHERE u.meeting_id = t.meeting_id AND u.speaker_id = t.speaker_id AND (u.meeting_id % 5 <> 0 OR u.speaker_id <> 'assistant'))""")
+def _(v):
+    known = v.utterances.filter((F.col("meeting_id") % 5 != 0) | (F.col("speaker_id") != "assistant"))
+    return va.turn_violations(v.regular_turns, v.durations, False, known).filter(F.col("rule") == "undeclared_speaker")
+
+
+_log = """SELECT meeting_id, edit_id, action, CASE WHEN record_no % 7 = 1 THEN 'applied' ELSE status END AS status, CASE WHEN record_no % 6 = 2 OR
+    (action <> 'REPLACE' AND record_no % 10 <> 3) THEN NULL ELSE replacement END AS replacement, CASE WHEN record_no % 4 = 2 THEN 'because' ELSE rejection END AS rejection,
+    char_start, CASE WHEN record_no % 9 = 5 THEN char_start ELSE char_end END AS char_end, observed FROM v_log"""
+view("v_blog", _log)
+
+
+@query("c07_edit_log_rules", rules_sql("v_blog", "edit_id", {
+    "status_of_other_action": "NOT CASE action WHEN 'REPLACE' THEN status IN ('applied', 'rejected') WHEN 'KEEP' THEN status = 'kept' ELSE status = 'uncertain' END",
+    "missing_replacement": "action = 'REPLACE' AND coalesce(replacement, '') = ''", "needless_replacement": "action <> 'REPLACE' AND replacement IS NOT NULL",
+    "rejected_without_reason": "status = 'rejected' AND coalesce(rejection, '') = ''", "needless_reason": "status <> 'rejected' AND rejection IS NOT NULL",
+    "empty_span": "char_end <= char_start"}))
+def _(v):
+    n, replaces = F.col("record_no"), F.col("action") == "REPLACE"
+    log = edit_log(v).withColumns({
+        "status": F.when(n % 7 == 1, "applied").otherwise(F.col("status")),
+        "replacement": F.when(~((n % 6 == 2) | (~replaces & (n % 10 != 3))), F.col("replacement")),
+        "rejection": F.when(n % 4 == 2, "because").otherwise(F.col("rejection")),
+        "char_end": F.when(n % 9 == 5, F.col("char_start")).otherwise(F.col("char_end"))})
+    return va.edit_log_violations(log)
+
+
+@query("c19_job_rules", """SELECT meeting_id, stage AS record_id, 'repeated_stage' AS rule FROM v_ca GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT meeting_id, stage, 'unknown_stage' FROM v_ca WHERE stage NOT IN ('click', 'refund', 'purchase', 'ship')
+    UNION ALL SELECT meeting_id, stage, 'missing_stage' FROM (SELECT DISTINCT meeting_id FROM v_ca), (SELECT unnest(['click', 'refund', 'purchase', 'ship']) AS stage)
+      WHERE (meeting_id, stage) NOT IN (SELECT (meeting_id, stage) FROM v_ca)""")
+def _(v):
+    return va.job_violations(v.calls, ["click", "refund", "purchase", "ship"])
+
+
 @query("c17_context_pack_rules", """SELECT DISTINCT meeting_id, canonical || '@' || source_id AS record_id, 'unknown_source' AS rule FROM v_cx WHERE source_id = 'ctx_3'""")
 def _(v):
     merged = tm.merge_context_terms(context_terms(v))
