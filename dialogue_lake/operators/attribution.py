@@ -130,16 +130,16 @@ def flag_overlap(spans: DataFrame, regions: DataFrame, ids: list[str]) -> DataFr
 WORDS_A_PIECE = 1024
 
 
-def assemble_utterances(
+def utterance_words(
     words: DataFrame,
     bare_segments: DataFrame | None = None,
     rules=AttributionRules(),
     segments_per_bucket: int = 256,
 ) -> DataFrame:
-    """Runs of attributed words, cut at a speaker change or a silence.
+    """Attributed words with ``utterance_no``: runs cut at a speaker change or a silence.
 
     The silence is measured from the end of the previous word, not from the furthest end
-    so far. A segment without words is an utterance of its own.
+    so far. A segment without words is an utterance of its own (``word_index`` of -1).
     """
     columns = [
         "meeting_id", "seg_idx", "segment_id", "word_index", "start_ms", "end_ms", "text",
@@ -161,10 +161,21 @@ def assemble_utterances(
             | (now("start_ms") - before("end_ms") > rules.utterance_gap_ms)
         )
 
-    marked = ordered.islands(
+    return ordered.islands(
         rows, ["meeting_id"], order, ordered.bucket_of("seg_idx", segments_per_bucket),
         ["word_index", "speaker_id", "start_ms", "end_ms"], is_new, out="utterance_no",
     )
+
+
+def assemble_utterances(
+    words: DataFrame,
+    bare_segments: DataFrame | None = None,
+    rules=AttributionRules(),
+    segments_per_bucket: int = 256,
+) -> DataFrame:
+    """The utterances of attributed words and of segments without any."""
+    marked = utterance_words(words, bare_segments, rules, segments_per_bucket)
+    order = ["seg_idx", "word_index"]
     # Text is put together in two steps, so that a monologue is never one array of words:
     # a piece holds words of one segment, an utterance its pieces.
     said = F.array_sort(F.collect_list(F.struct("word_index", "text")))

@@ -72,15 +72,17 @@ def build_chunks(utterances: DataFrame, max_chars: int = 18_000, overlap: int =
     """
     room = max_chars - len(REQUEST_HEAD) - len(REQUEST_TAIL) + len(", ")
     sized = utterances.select("meeting_id", "utt_idx", (F.length(request_record(utterances)) + len(", ")).cast("bigint").alias("_size"))
-    rows = checkpointed(ordered.scan(
-        sized, ["meeting_id"], ["utt_idx"], ordered.bucket_of("utt_idx", 4096),
-        [ordered.numbered("i"), ordered.running_sum("upto", F.col("_size"))]))
-    meetings = rows.groupBy("meeting_id").agg(
-        F.sum("_size").alias("_total"), F.max("i").alias("n"), F.min("utt_idx").alias("first_utt"), F.max("utt_idx").alias("last_utt"))
+    meetings = sized.groupBy("meeting_id").agg(
+        F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("n"), F.min("utt_idx").alias("first_utt"), F.max("utt_idx").alias("last_utt"))
     none = F.lit(None).cast("string").alias("error")
     whole = meetings.filter(F.col("_total") <= room).select(
         "meeting_id", F.lit(1).cast("bigint").alias("chunk_no"), "first_utt", "last_utt", none)
-    large = rows.join(meetings.filter(F.col("_total") > room).select("meeting_id", "n"), "meeting_id")
+    long = checkpointed(meetings.filter(F.col("_total") > room).select("meeting_id", "n"))
+    if long.isEmpty():
+        return whole
+    large = checkpointed(ordered.scan(
+        sized.join(long, "meeting_id"), ["meeting_id"], ["utt_idx"], ordered.bucket_of("utt_idx", 4096),
+        [ordered.numbered("i"), ordered.running_sum("upto", F.col("_size"))]))
     # Sums and the room after each start on one line; a sum at the same place still fits.
     points = large.select("meeting_id", F.col("upto").alias("place"), F.lit(0).alias("asks"), "i", "utt_idx", "n")
     asks = large.select("meeting_id", (F.col("upto") - F.col("_size") + room).alias("place"), F.lit(1).alias("asks"), "i", "utt_idx", "n")

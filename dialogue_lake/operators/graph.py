@@ -9,7 +9,7 @@ from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import ordered
 from dialogue_lake.operators.intervals import union_intervals
 from dialogue_lake.operators.lookup import spread_join
-from dialogue_lake.session import checkpointed
+from dialogue_lake.session import checkpointed, stored
 
 
 def number_events(events: DataFrame) -> DataFrame:
@@ -117,20 +117,13 @@ def cycles(numbered: DataFrame, relations: DataFrame) -> DataFrame:
             live.join(colours.select("meeting_id", F.col("v").alias("a"), F.col("c").alias("_ca")), ["meeting_id", "a"])
             .join(colours.select("meeting_id", F.col("v").alias("b"), F.col("c").alias("_cb")), ["meeting_id", "b"])
             .filter(F.col("_ca") == F.col("_cb")))
-        same = checkpointed(same.select("meeting_id", "a", "b", F.col("_ca").alias("c")))
-        own = checkpointed(colours.filter(F.col("v") == F.col("c")))
-        size = own.count()
-        while True:
-            # Walk edges backwards from the owner, within its colour.
-            onto = own.select("meeting_id", F.col("v").alias("b"), "c").join(same, ["meeting_id", "b", "c"]).select("meeting_id", F.col("a").alias("v"), "c")
-            own = checkpointed(own.unionByName(onto).distinct())
-            bigger = own.count()
-            if bigger == size:
-                break
-            size = bigger
-        part = own.select("meeting_id", "v", "c")
+        same = stored(same.select("meeting_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        # Backwards from the owner of a colour, inside the colour: the owner's mark spreads.
+        marks = stored(colours.select("meeting_id", "v", (F.col("v") == F.col("c")).cast("int").alias("c")))
+        marks = _spread_maximum(marks, same)
+        part = checkpointed(marks.filter("c = 1").select("meeting_id", "v").join(colours, ["meeting_id", "v"]))
         found = part if found is None else checkpointed(found.unionByName(part))
-        gone = own.select("meeting_id", "v")
+        gone = part.select("meeting_id", "v")
         live = checkpointed(
             live.join(gone.withColumnRenamed("v", "a"), ["meeting_id", "a"], "left_anti")
             .join(gone.withColumnRenamed("v", "b"), ["meeting_id", "b"], "left_anti"))

@@ -478,6 +478,39 @@ def _(v):
     return va.transcript_violations(segments, words, v.durations)
 
 
+view("v_uw", """SELECT meeting_id, seg_idx, word_index, CAST(sum(f) OVER (PARTITION BY meeting_id ORDER BY seg_idx, word_index) AS BIGINT) AS utterance_no,
+    CASE WHEN word_index % 40 = 39 THEN 'nobody' ELSE speaker_id END AS speaker_id, CASE WHEN word_index % 45 = 44 THEN 'seg_x' ELSE segment_id END AS segment_id,
+    start_ms, end_ms + CASE WHEN word_index % 50 = 49 THEN 99999 ELSE 0 END AS end_ms FROM (
+      SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(speaker_id) OVER w IS NOT DISTINCT FROM speaker_id AND start_ms - lag(end_ms) OVER w <= 1000 THEN 0 ELSE 1 END AS f
+      FROM v_atf WINDOW w AS (PARTITION BY meeting_id ORDER BY seg_idx, word_index))""")
+view("v_said_by", "SELECT DISTINCT meeting_id, speaker_id FROM v_u WHERE meeting_id % 5 <> 0 OR speaker_id <> 'assistant'")
+view("v_short", "SELECT meeting_id, duration_ms - CASE WHEN meeting_id % 7 = 0 THEN 20000 ELSE 0 END AS duration_ms FROM v_dur")
+view("v_butt", """SELECT u.*, CASE WHEN utterance_no % 6 = 0 THEN 'utt_x' || utterance_no ELSE utterance_id END AS uid, d.duration_ms, s.speaker_id AS declared FROM v_utt u
+    JOIN v_short d USING (meeting_id) LEFT JOIN v_said_by s ON s.meeting_id = u.meeting_id AND s.speaker_id = u.speaker_id""")
+view("v_buw", """SELECT w.*, u.speaker_id AS who, u.segments, u.start_ms AS s, u.end_ms AS e FROM v_uw w JOIN v_utt u USING (meeting_id, utterance_no)""")
+
+
+@query("c03_broken_speaker_transcripts", rules_sql("v_butt", "uid", {
+    "misnumbered": "uid <> 'utt_' || lpad(CAST(utterance_no AS VARCHAR), 6, '0')", "undeclared_speaker": "speaker_id IS NOT NULL AND declared IS NULL",
+    "reversed": "end_ms < start_ms", "outside_recording": "end_ms > duration_ms + 1000"}) + " UNION ALL " + rules_sql("v_buw", "segment_id || '/' || word_index", {
+        "other_speaker": "speaker_id IS DISTINCT FROM who", "foreign_segment": "NOT list_contains(string_split(segments, ','), segment_id)",
+        "outside_utterance": "start_ms < s OR end_ms > e"}) + """
+    UNION ALL SELECT DISTINCT r.meeting_id, CAST(r.start_ms AS VARCHAR), 'undeclared_speaker' FROM (SELECT *, unnest(string_split(speakers, ',')) AS who FROM v_regions) r
+      WHERE (r.meeting_id, r.who) NOT IN (SELECT (meeting_id, speaker_id) FROM v_said_by)
+    UNION ALL SELECT meeting_id, CAST(start_ms AS VARCHAR), 'outside_recording' FROM v_regions JOIN v_short USING (meeting_id) WHERE end_ms > duration_ms + 500
+    UNION ALL SELECT meeting_id, CAST(start_ms AS VARCHAR), 'overlapping_regions' FROM (SELECT *, max(end_ms) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_regions) WHERE start_ms < reach""")
+def _(v):
+    n, w = F.col("utterance_no"), F.col("word_index")
+    said = utterances(v).withColumn("utterance_id", F.when(n % 6 == 0, F.concat(F.lit("utt_x"), n)).otherwise(F.col("utterance_id")))
+    words = at.utterance_words(flagged(v)).withColumns({
+        "speaker_id": F.when(w % 40 == 39, "nobody").otherwise(F.col("speaker_id")), "segment_id": F.when(w % 45 == 44, "seg_x").otherwise(F.col("segment_id")),
+        "end_ms": F.col("end_ms") + F.when(w % 50 == 49, 99_999).otherwise(0)})
+    known = v.utterances.filter((F.col("meeting_id") % 5 != 0) | (F.col("speaker_id") != "assistant"))
+    short = v.durations.withColumn("duration_ms", F.col("duration_ms") - F.when(F.col("meeting_id") % 7 == 0, 20_000).otherwise(0))
+    return va.speaker_transcript_violations(said, words, iv.overlap_regions(v.regular_turns), known, short)
+
+
 @query("c02_undeclared_speakers", """SELECT meeting_id, turn_id AS record_id, 'undeclared_speaker' AS rule FROM v_tr t WHERE NOT EXISTS (
     SELECT 1 FROM v_u u WHERE u.meeting_id = t.meeting_id AND u.speaker_id = t.speaker_id AND (u.meeting_id % 5 <> 0 OR u.speaker_id <> 'assistant'))""")
 def _(v):

@@ -85,7 +85,7 @@ def test_a_long_cycle_takes_few_rounds(spark, monkeypatch):
     rounds = []
     real = graph.checkpointed
     monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or real(df))
-    n = 3000
+    n = 600
     events = [(1, f"e{i:05d}", i) for i in range(1, n + 1)]
     edges = [(1, f"e{i:05d}", f"e{i + 1:05d}") for i in range(1, n)] + [(1, f"e{n - 10:05d}", "e00005"), (1, f"e{n:05d}", f"e{n - 1:05d}")]
     found = graph.cycles(spark.createDataFrame(events, "meeting_id bigint, event_id string, n bigint"),

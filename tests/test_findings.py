@@ -47,8 +47,9 @@ def test_ambiguous_marks_are_compared_as_names_are(spark):
 def test_several_chunks_make_several_requests(spark):
     rows = [(1, i, f"utt_{i:06d}", f"s{i % 2}", "w" * 100) for i in range(30)]
     said = spark.createDataFrame(rows, "meeting_id bigint, utt_idx bigint, utterance_id string, speaker_id string, text string")
-    chunks = claims.build_chunks(said, max_chars=1000)
+    chunks = claims.build_chunks(said, max_chars=2200)
     spans = sorted((r.first_utt, r.last_utt) for r in chunks.collect())
+    # A turn takes 312 characters of a request with its blank, and what is around them 123.
     assert spans[0] == (0, 5) and spans[1] == (4, 9) and spans[-1][1] == 29
     asked = audit.extraction_requests(chunks, said).collect()
     assert sorted(r.n_utterances for r in asked) == sorted(b - a + 1 for a, b in spans)
