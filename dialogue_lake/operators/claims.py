@@ -153,13 +153,12 @@ def combine_partials(items: DataFrame) -> DataFrame:
     """
     columns = [c for c in items.columns if c not in ("evidence_ids",)]
     key = ["meeting_id", "section", "identity"]
-    said = items.withColumn("identity", identity())
-    first = said.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct("chunk_no", "item_no")).alias("_i"))
+    said = items.withColumn("identity", identity()).select(
+        *key, F.struct(*columns).alias("_i"), F.struct("chunk_no", "item_no").alias("_o"), F.explode_outer("evidence_ids").alias("_e"))
     # A claim said very often cites few utterances: each citation is collected once.
-    cited = said.select(*key, F.explode("evidence_ids").alias("_e")).distinct().groupBy(*key).agg(
-        in_meeting_order(F.collect_list("_e")).alias("evidence_ids"))
-    return first.join(cited, key, "left").select(
-        "_i.*", "identity", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"))
+    once = said.groupBy(*key, "_e").agg(F.min_by("_i", "_o").alias("_i"), F.min("_o").alias("_o"))
+    return once.groupBy(*key).agg(
+        F.min_by("_i", "_o").alias("_i"), in_meeting_order(F.collect_list("_e")).alias("evidence_ids")).select("_i.*", "identity", "evidence_ids")
 
 
 def finalize_items(items: DataFrame, width: int = 4096) -> DataFrame:
