@@ -13,6 +13,7 @@ from dialogue_lake.functions.similarity import indel_ratio, lexical_score, metap
 from dialogue_lake.operators import similar
 from dialogue_lake.operators.intervals import range_join
 from dialogue_lake.operators.lookup import spread_join
+from dialogue_lake.session import stored
 
 FENCE = "\u0001"
 SPAN_KEY = ["meeting_id", "utt_idx", "char_start", "char_end"]
@@ -47,20 +48,30 @@ def token_offsets(utterances: DataFrame, pattern: str, number: str) -> DataFrame
 
 
 def ngram_spans(utterances: DataFrame, longest: int = 4) -> DataFrame:
-    """Every run of one to ``longest`` tokens with its offsets and observed text."""
-    ahead = Window.partitionBy("meeting_id", "utt_idx").orderBy("token_no").rowsBetween(0, longest - 1)
-    ends = F.collect_list("char_end").over(ahead)
-    tokens = token_offsets(utterances, tx.TERM_TOKEN, "token_no").withColumn("_ends", ends)
-    spans = tokens.select(
-        "meeting_id", "utt_idx", "token_no", "char_start", F.posexplode("_ends").alias("_n", "char_end"))
-    texts = utterances.select("meeting_id", "utt_idx", "text")
-    return (
-        spans.join(texts, ["meeting_id", "utt_idx"])
-        .select(
-            *SPAN_KEY[:2], "token_no", (F.col("_n") + 1).cast("bigint").alias("n_tokens"), "char_start", "char_end",
-            F.substr("text", (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
-            .alias("observed"))
-    )
+    """Every run of one to ``longest`` tokens with its offsets and observed text.
+
+    A token carries the text up to the next one, so a run is put together from its own
+    window and the whole text is not looked at again.
+    """
+    parts = F.split(F.regexp_replace("text", tx.TERM_TOKEN, f"{FENCE}$1{FENCE}"), FENCE, -1)
+    # Odd parts are tokens, even ones what stands before, between and after them.
+    pieces = F.transform(F.sequence(F.lit(0), (F.size("_parts") / 2).cast("int")), lambda i: F.struct(
+        F.get("_parts", 2 * i - 1).alias("token"), F.get("_parts", 2 * i).alias("gap")))
+    cut = utterances.select("meeting_id", "utt_idx", parts.alias("_parts")).select("meeting_id", "utt_idx", F.posexplode(pieces).alias("_i", "_p"))
+    # One partition is one utterance, a single cell of the input table.
+    within = Window.partitionBy("meeting_id", "utt_idx").orderBy("_i")
+    length = F.coalesce(F.length("_p.token"), F.lit(0)) + F.length("_p.gap")
+    ahead = F.collect_list(F.struct("_p.token", "_p.gap", "char_start", "char_end")).over(within.rowsBetween(0, longest - 1))
+    placed = cut.withColumn("_upto", F.sum(length).over(within)).select(
+        "meeting_id", "utt_idx", "_i", "_p", (F.col("_upto") - length).alias("char_start"),
+        (F.col("_upto") - F.length("_p.gap")).alias("char_end"))
+    tokens = placed.filter(F.col("_i") > 0).withColumn("_run", ahead)
+    spans = tokens.select("meeting_id", "utt_idx", (F.col("_i") - 1).cast("bigint").alias("token_no"), "char_start", "_run", F.posexplode(
+        F.transform("_run", lambda x: x["char_end"])).alias("_n", "char_end"))
+    texts = F.transform(F.slice("_run", F.lit(1), F.col("_n")), lambda x: F.concat(x["token"], x["gap"]))
+    return spans.select(
+        *SPAN_KEY[:2], "token_no", (F.col("_n") + 1).cast("bigint").alias("n_tokens"), "char_start", "char_end",
+        F.concat(F.array_join(texts, ""), F.element_at("_run", F.col("_n") + 1)["token"]).alias("observed"))
 
 
 def spans_to_words(spans: DataFrame, utterances: DataFrame) -> DataFrame:
@@ -75,9 +86,9 @@ def spans_to_words(spans: DataFrame, utterances: DataFrame) -> DataFrame:
         F.min("word_index").alias("first_word"), F.max("word_index").alias("last_word"))
 
 
-def with_normal_forms(spans: DataFrame) -> DataFrame:
-    """Normalised text once per distinct observed form, then usable spans only."""
-    forms = (
+def normal_forms(spans: DataFrame) -> DataFrame:
+    """(observed, normalized, compact): each distinct observed form that can be a term, once."""
+    return (
         spans.select("observed").distinct()
         .withColumn("normalized", tx.normalize_term(F.col("observed")))
         .filter(
@@ -86,7 +97,11 @@ def with_normal_forms(spans: DataFrame) -> DataFrame:
             & ~F.col("normalized").isin(fixed.STOP_TERMS))
         .withColumn("compact", F.replace("normalized", F.lit(" "), F.lit("")))
     )
-    return spread_join(spans, forms, ["observed"], F.struct("meeting_id", "utt_idx", "char_start"), "inner")
+
+
+def with_normal_forms(spans: DataFrame) -> DataFrame:
+    """Normalised text once per distinct observed form, then usable spans only."""
+    return spread_join(spans, normal_forms(spans), ["observed"], F.struct("meeting_id", "utt_idx", "char_start"), "inner")
 
 
 def variant_table(glossary: DataFrame) -> DataFrame:
@@ -149,32 +164,36 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
         F.when(F.col("_x") == "", 0.0).otherwise(indel_ratio("_x", "_y")).alias("phonetic"))
 
 
-def candidate_pairs(spans: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:
-    """Shortlist: close forms for ordinary spans, equal forms for digits and short ones.
+def form_candidates(forms: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:
+    """Shortlist per distinct form: close forms for ordinary ones, equal forms for digits and short ones.
 
-    ``spans`` carry ``normalized`` and ``compact``. Forms that merely contain the span are
-    dropped, since they would add words nobody said.
+    ``forms`` carry ``observed``, ``normalized`` and ``compact``. Registered forms that merely
+    contain the observed one are dropped, since they would add words nobody said.
     """
     strict = F.col("normalized").rlike(r"\p{N}") | (F.length("compact") <= 2)
-    free = spans.filter(~strict)
+    free = forms.filter(~strict)
     pairs = close_forms(free.select("normalized").distinct(), variants, rules)
-    forms = pairs.join(variants, "variant_normalized")
-    place = F.struct("meeting_id", "utt_idx", "char_start")
-    fuzzy = spread_join(free, forms, ["normalized"], place, "inner")
-    equal = spread_join(
-        spans.filter(strict), variants.withColumn("_key", F.col("variant_compact")).withColumnRenamed("_key", "compact"),
-        ["compact"], place, "inner"
-    ).withColumns({"lexical": F.lit(None).cast("double"), "phonetic": F.lit(None).cast("double")})
+    fuzzy = free.join(pairs, "normalized").join(variants, "variant_normalized")
     x, y = metaphone("compact"), metaphone("variant_compact")
-    equal = equal.withColumn("lexical", lexical_score("normalized", "variant_normalized")).withColumn(
-        "_x", x).withColumn("_y", y).withColumn(
+    equal = forms.filter(strict).join(variants.withColumn("compact", F.col("variant_compact")), "compact").withColumns({
+        "lexical": lexical_score("normalized", "variant_normalized"), "_x": x, "_y": y}).withColumn(
         "phonetic", F.when(F.col("_x") == "", 0.0).otherwise(indel_ratio("_x", "_y"))).drop("_x", "_y")
-    both = fuzzy.unionByName(equal)
     exact = F.col("compact") == F.col("variant_compact")
-    return both.withColumn("is_exact", exact).filter(
+    return fuzzy.unionByName(equal).withColumn("is_exact", exact).filter(
         F.col("is_exact") | ~F.contains(F.col("variant_compact"), F.col("compact")))
 
 
+def candidate_pairs(spans: DataFrame, variants: DataFrame, rules=RetrievalRules()) -> DataFrame:
+    """Spans with the registered forms that are close to them.
+
+    Everything up to the scores happens once per distinct observed form. Only forms with a
+    candidate meet the spans, so what is kept grows with the terms found, not with the text.
+    """
+    forms = stored(normal_forms(spans))
+    found = stored(form_candidates(forms, variants, rules))
+    return spread_join(spans, found, ["observed"], F.struct("meeting_id", "utt_idx", "char_start"), "inner")
+
+
 def context_cosine(pairs: DataFrame, contexts: DataFrame, entry_vectors: DataFrame) -> DataFrame:
     """Cosine in [0, 1] of utterance context and entry, for short-listed pairs only."""
     dot = lambda a, b: F.aggregate(

@@ -343,8 +343,7 @@ def _(v):
 
 
 def fuzzy_scored(v: Views):
-    usable = v.shared("usable", lambda: tm.with_normal_forms(spans(v)))
-    pairs = v.shared("pairs", lambda: tm.candidate_pairs(usable, tm.variant_table(glossary(v))))
+    pairs = v.shared("pairs", lambda: tm.candidate_pairs(tm.ngram_spans(v.utterances), tm.variant_table(glossary(v))))
     return tm.score_candidates(pairs, tm.context_cosine(pairs, *vectors(v)))
 
 
@@ -392,6 +391,15 @@ def _(v):
     return records(v).select(*tm.SPAN_KEY, "entry_id")
 
 
+@query("h02_fuzzy_spans")
+def _(v):
+    """The chosen spans of each utterance when close forms compete with equal ones."""
+    best = tm.top_candidates(v.shared("fuzzy_scored", lambda: fuzzy_scored(v)), tm.SPAN_KEY, 1)
+    chosen = tm.choose_spans(best.join(tm.spans_to_words(best, v.utterances), tm.SPAN_KEY))
+    return chosen.join(best.select(*tm.SPAN_KEY, "canonical", "match_type", F.round("score", 6).alias("score")), tm.SPAN_KEY).select(
+        *tm.SPAN_KEY, "entry_id", "first_word", "last_word", "canonical", "match_type", "score")
+
+
 @query("j08_suspicious_spans")
 def _(v):
     scored = v.shared("fuzzy_scored", lambda: fuzzy_scored(v))

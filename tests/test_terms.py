@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import regex
+
 from dialogue_lake.functions import similarity as sim
 from dialogue_lake.operators import metrics as me
 from dialogue_lake.operators import terms as tm
@@ -82,3 +84,31 @@ def test_greedy_spans(spark):
     df = spark.createDataFrame(rows, "meeting_id bigint, utt_idx bigint, char_start bigint, char_end bigint, match_type string, score double, "
                                      "entry_id string, first_word bigint, last_word bigint")
     assert sorted(r.entry_id for r in tm.choose_spans(df).collect()) == ["w", "y"]
+
+
+def test_ngram_spans_equal_a_plain_scan(spark):
+    rows = [(1, 0, "Yes. C++ and  node.js, don't"), (1, 1, ""), (1, 2, None), (1, 3, "..."), (2, 0, "one"), (2, 1, "é x\U0001F600y z\n# a"),
+            (3, 0, "word " * 3000)]
+    token = regex.compile(r"[\p{L}\p{N}_]+(?:[.'’+-][\p{L}\p{N}_]+)*(?:\+\+|#|\*)?")
+    expected = []
+    for meeting, utterance, text in rows:
+        places = [m.span() for m in token.finditer(text or "")]
+        expected += [(meeting, utterance, i, n, places[i][0], places[i + n - 1][1], text[places[i][0] : places[i + n - 1][1]])
+                     for i in range(len(places)) for n in range(1, 5) if i + n <= len(places)]
+    df = spark.createDataFrame(rows, "meeting_id bigint, utt_idx bigint, text string")
+    got = [tuple(r) for r in tm.ngram_spans(df).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_candidate_pairs_by_kind_of_form(spark):
+    said = ["banana", "bananna", "7b", "7c", "kubernetes", "kubernets", "ai", "al", "data", "banana"]
+    spans = spark.createDataFrame([(1, i, 0, len(s), s) for i, s in enumerate(said)], "meeting_id bigint, utt_idx bigint, char_start bigint, char_end bigint, observed string")
+    names = ["banana", "7b", "kubernetes", "ai", "data lake"]
+    glossary = spark.createDataFrame([(f"t{i}", n, "global", 0.5, [], []) for i, n in enumerate(names)],
+                                     "entry_id string, canonical string, scope string, priority double, aliases array<string>, asr_aliases array<string>")
+    variants = tm.variant_table(glossary)
+    got = sorted((r.utt_idx, r.canonical, r.is_exact) for r in tm.candidate_pairs(spans, variants).collect())
+    # Digits and short forms only meet their equals, and a name never adds unsaid words.
+    assert got == [(0, "banana", True), (1, "banana", False), (2, "7b", True), (4, "kubernetes", True), (5, "kubernetes", False), (6, "ai", True),
+                   (9, "banana", True)]
+    assert tm.candidate_pairs(spans.limit(0), variants).count() == 0 and tm.candidate_pairs(spans, variants.limit(0)).count() == 0
