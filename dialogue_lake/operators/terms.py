@@ -144,22 +144,22 @@ def close_forms(distinct_spans: DataFrame, variants: DataFrame, rules=RetrievalR
     Spelling and sound each have an index of their own: texts on the characters of the text,
     distinct codes on those of the code. Only pairs that an index proposes are compared.
     """
-    texts = distinct_spans.select("normalized").distinct()
-    forms = variants.select("variant_normalized").distinct().filter(F.col("variant_normalized") != "")
+    texts = stored(distinct_spans.select("normalized").distinct())
+    forms = stored(variants.select("variant_normalized").distinct().filter(F.col("variant_normalized") != ""))
     # Sorting tokens keeps the characters, so neither ratio of the lexical score is above
     # that of the bags, and the bags must reach the floor itself.
     spelt = similar.candidates(texts, forms, rules.lexical_floor)
-    coded = lambda df, text, code: df.withColumn(code, metaphone(F.replace(text, F.lit(" "), F.lit(""))))
+    # Codes are made once per text and stored; the joins below read them several times.
+    coded = lambda df, text, code: stored(df.withColumn(code, metaphone(F.replace(text, F.lit(" "), F.lit("")))))
     own, other = coded(texts, "normalized", "_x"), coded(forms, "variant_normalized", "_y")
     sounding = similar.candidates(own.select("_x").distinct(), other.select("_y").distinct(), rules.phonetic_floor)
-    sounding = sounding.withColumn("phonetic", indel_ratio("_x", "_y")).filter(F.col("phonetic") >= rules.phonetic_floor - 1e-9)
+    sounding = stored(sounding.withColumn("phonetic", indel_ratio("_x", "_y")).filter(F.col("phonetic") >= rules.phonetic_floor - 1e-9))
     alike = own.join(sounding.select("_x", "_y"), "_x").join(other, "_y").select("normalized", "variant_normalized")
     pairs = spelt.withColumn("_alike", F.lit(False)).unionByName(alike.withColumn("_alike", F.lit(True))).groupBy(
         "normalized", "variant_normalized").agg(F.max("_alike").alias("_alike"))
-    scored = pairs.withColumn("lexical", lexical_score("normalized", "variant_normalized")).filter(
-        F.col("_alike") | (F.col("lexical") >= rules.lexical_floor))
-    codes = [metaphone(F.replace(c, F.lit(" "), F.lit(""))) for c in ("normalized", "variant_normalized")]
-    return scored.withColumn("_x", codes[0]).withColumn("_y", codes[1]).select(
+    scored = stored(pairs.withColumn("lexical", lexical_score("normalized", "variant_normalized")).filter(
+        F.col("_alike") | (F.col("lexical") >= rules.lexical_floor)).drop("_alike"))
+    return scored.join(own, "normalized").join(other, "variant_normalized").select(
         "normalized", "variant_normalized", "lexical",
         F.when(F.col("_x") == "", 0.0).otherwise(indel_ratio("_x", "_y")).alias("phonetic"))
 
