@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import ordered
+from dialogue_lake.session import stored
 
 DECISION_SCHEMA = "struct<utterance_id:string,decisions:array<struct<grounding_record_id:string,action:string,candidate_entry_id:string,reason_code:string>>>"
 
@@ -140,7 +141,8 @@ def parse_decisions(answers: DataFrame, candidates: DataFrame) -> tuple[DataFram
     counted = rows.groupBy(*key, "grounding_id").agg(
         F.count(F.lit(1)).alias("_n"), F.bool_and(F.coalesce("_named", F.lit(False))).alias("_named"),
         F.first("action").alias("action"), F.first("entry_id").alias("entry_id"), F.first("reason_code").alias("reason_code"))
-    checked = (
+    # Both results read what was checked, and the good ones read it twice.
+    checked = stored(
         counted.join(records, [*key, "grounding_id"], "full").join(listed, [*key, "grounding_id", "entry_id"], "left")
         .withColumn("_ok", F.coalesce(
             (F.col("_n") == 1) & F.col("_named") & F.col("_known") & F.col("action").isin("KEEP", "REPLACE", "UNCERTAIN")
