@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialogue_lake.functions import fixed_values as fixed
 from dialogue_lake.functions import text as tx
 from dialogue_lake.operators import claims, ordered
-from dialogue_lake.operators.lookup import spread_join
+from dialogue_lake.session import stored
 
 ACCEPT, REVIEW = 0.85, 0.60
 PURPOSE_CAPS = {"events": 80, "relations": 100, "verification": 50, "coverage": 70}
@@ -84,24 +84,26 @@ def coverage_candidates(events: DataFrame, items: DataFrame, floor: float = 0.20
     all items of its meeting.
     """
     key = ["meeting_id"]
-    e = events.filter((F.col("outcome") == "accepted") & F.col("choice").isin(fixed.HIGH_VALUE)).select(
-        *key, "event_id", F.col("choice").alias("event_type"), F.col("evidence_ids").alias("_ee"), tx.content_terms(F.col("text")).alias("_et"))
-    i = items.select(*key, "item_id", "section", "kind", F.col("evidence_ids").alias("_ie"), tx.content_terms(F.col("text")).alias("_it"))
-    counts = (
-        e.select(*key, F.explode("_et").alias("term")).unionByName(i.select(*key, F.explode("_it").alias("term")))
-        .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("_df")))
-
-    def rare(df: DataFrame, id_: str, terms: str) -> DataFrame:
-        rows = df.select(*key, id_, F.size(terms).alias("_n"), F.explode(terms).alias("term"))
-        ranked = spread_join(rows, counts, [*key, "term"], F.col(id_), "inner").groupBy(*key, id_).agg(
-            F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_df", "term"))).alias("_o"))
-        keep = F.col("_n") - F.ceil(F.col("_n") * floor).cast("int") + 1
-        return ranked.select(*key, id_, F.explode(F.slice("_o", F.lit(1), keep)).alias("_t")).select(*key, id_, F.col("_t.term").alias("term"))
-
-    alike = rare(e, "event_id", "_et").join(rare(i, "item_id", "_it"), [*key, "term"]).select(*key, "event_id", "item_id")
+    e = stored(events.filter((F.col("outcome") == "accepted") & F.col("choice").isin(fixed.HIGH_VALUE)).select(
+        *key, "event_id", F.col("choice").alias("event_type"), F.col("evidence_ids").alias("_ee"), tx.content_terms(F.col("text")).alias("_et")))
+    i = stored(items.select(*key, "item_id", "section", "kind", F.col("evidence_ids").alias("_ie"), tx.content_terms(F.col("text")).alias("_it")))
+    terms = lambda df, id_, c: df.select(*key, F.lit(id_).alias("_side"), F.col(id_).alias("_id"), F.size(c).alias("_n"), F.explode(c).alias("term"))
+    rows = terms(e, "event_id", "_et").unionByName(terms(i, "item_id", "_it"))
+    counts = rows.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("_df"))
+    # Terms left out of the prefix: fewer than any set that passes must share.
+    rest = lambda n: F.ceil(n * floor - 1e-9).cast("int") - 1
+    ranked = rows.join(counts.hint("merge"), [*key, "term"]).groupBy(*key, "_side", "_id").agg(
+        F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_df", "term"))).alias("_o"))
+    rare = stored(ranked.select(*key, "_side", "_id", "_n", F.explode(F.slice("_o", F.lit(1), F.col("_n") - rest(F.col("_n")))).alias("_t")).select(
+        *key, "_side", "_id", "_n", F.col("_t.term").alias("term")))
+    side = lambda id_, n: rare.filter(F.col("_side") == id_).select(*key, "term", F.col("_id").alias(id_), F.col("_n").alias(n))
+    # Pairs that cannot reach the floor even if all they leave out were shared go before their texts are fetched.
+    most = F.count(F.lit(1)) + F.greatest(rest(F.first("_a")), rest(F.first("_b")))
+    alike = side("event_id", "_a").join(side("item_id", "_b").hint("merge"), [*key, "term"]).groupBy(*key, "event_id", "item_id").agg(
+        (most >= (F.first("_a") + F.first("_b")) * (floor / (1 + floor)) - 1e-9).alias("_may")).filter("_may").drop("_may")
     together = e.select(*key, "event_id", F.explode("_ee").alias("u")).join(
-        i.select(*key, "item_id", F.explode("_ie").alias("u")), [*key, "u"]).select(*key, "event_id", "item_id")
-    pairs = alike.unionByName(together).distinct().join(e, [*key, "event_id"]).join(i, [*key, "item_id"])
+        i.select(*key, "item_id", F.explode("_ie").alias("u")).hint("merge"), [*key, "u"]).select(*key, "event_id", "item_id")
+    pairs = alike.unionByName(together).distinct().join(e.hint("merge"), [*key, "event_id"]).join(i.hint("merge"), [*key, "item_id"])
     shared = F.arrays_overlap("_ee", "_ie")
     similarity = tx.jaccard(F.col("_et"), F.col("_it"))
     kept = pairs.withColumns({

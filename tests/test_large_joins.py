@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dialogue_lake.operators import lookup
+from dialogue_lake.operators import audit, lookup
 from dialogue_lake.operators import metrics as me
 from dialogue_lake.operators import terms as tm
 from dialogue_lake.operators.intervals import range_collect, range_join
@@ -64,3 +64,16 @@ def test_matching_does_not_carry_texts_along_their_words(spark, monkeypatch):
         "case_id bigint, gold_no bigint, keywords array<array<string>>")
     assert sorted((r.item_no, r.gold_no) for r in me.match_gold(outputs, gold).collect()) == [(1, 1), (2, 2), (3, 5)]
     assert kept == [["case_id", "item_no", "_w"]]
+
+
+def test_coverage_keeps_a_pair_at_the_floor_itself(spark):
+    """55 of 100 terms are 0.55, although 100 * 0.55 in floating point is above 55."""
+    shared, own = [f"s{n}" for n in range(55)], [f"o{n}" for n in range(45)]
+    events = spark.createDataFrame([(1, "e1", "DECISION", "accepted", ["u1"], " ".join(shared + own)), (1, "e2", "DECISION", "accepted", ["u1"], "s1 z1 z2 z3 z4 z5")],
+                                   "meeting_id bigint, event_id string, choice string, outcome string, evidence_ids array<string>, text string")
+    items = spark.createDataFrame([(1, "i1", "decisions", "fact", ["u2"], " ".join(shared)), (1, "i2", "decisions", "fact", ["u1"], "q")],
+                                  "meeting_id bigint, item_id string, section string, kind string, evidence_ids array<string>, text string")
+    best, counts = audit.coverage_candidates(events, items, floor=0.55)
+    assert sorted((r.event_id, r.item_id, r.shared, round(r.similarity, 6)) for r in best.collect()) == [
+        ("e1", "i1", False, 0.55), ("e1", "i2", True, 0.0), ("e2", "i2", True, 0.0)]
+    assert sorted(map(tuple, counts.collect())) == [(1, "e1", 2), (1, "e2", 1)]
