@@ -1,6 +1,7 @@
 """Folding in the JVM against Python's, and what is left for Python workers."""
 
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -27,3 +28,20 @@ def test_kinds_of_change(spark):
     flags = tx.safety_flags(F.col("a"), F.col("b"))
     got = [tuple(r) for r in rows.select(*[flags[f"{k}_changes"] for k in ("number", "negation", "date_time", "modality")]).collect()]
     assert got == [(False, True, False, False), (False,) * 4, (False, False, True, False), (True, False, False, False), (False,) * 4]
+
+
+def test_words_are_put_together_in_one_walk(spark):
+    def joined(tokens):
+        out, before = "", " "
+        for t in tokens:
+            out += "" if t is None else t if before is not None and before[-1:].isspace() or t[:1].isspace() else f" {t}"
+            before = t
+        return out
+
+    cases = [["a", " b", "c ", "d", "", "e\n", "f", "\tg"], ["", "x"], [" ", "x"], ["x"], [], ["a", None, "b", None, " c"], [None, "a"]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, t array<string>").select("n", tx.render_words(F.col("t")).alias("r"))
+    assert {r.n: r.r for r in rows.collect()} == {n: joined(c) for n, c in enumerate(cases)}
+    # An array made by an expression is made once, not once for every word.
+    start = time.time()
+    many = spark.range(1).select(tx.render_words(F.array_sort(F.transform(F.sequence(F.col("id"), F.lit(20_000)), lambda i: F.format_string("%06d", i)))).alias("r"))
+    assert many.first().r == " ".join(f"{i:06d}" for i in range(20_001)) and time.time() - start < 60
