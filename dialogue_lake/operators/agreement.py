@@ -13,6 +13,7 @@ from dialogue_lake.operators.intervals import (
     boundaries,
     coalesce_intervals,
     elementary_intervals,
+    home_join,
     overlap_ms,
     range_join,
     union_intervals,
@@ -225,50 +226,54 @@ def time_fractions(spans: DataFrame, intervals: DataFrame, ids: list[str]) -> Da
     ``spans`` has ``meeting_id``, ``ids``, ``speaker_id, start_ms, end_ms``.
     """
     start, end = F.col("start_ms"), F.col("end_ms")
-    met = range_join(
-        spans.select("meeting_id", *ids, "speaker_id", "start_ms", "end_ms").filter(end > start),
+    key = ["meeting_id", *ids]
+    rest = [c for c in spans.columns if c not in key]
+    joined, dealt, match = home_join(
+        spans,
         intervals.select(
-            "meeting_id", F.col("start_ms").alias("_is"), F.col("end_ms").alias("_ie"), "state",
-            "exclusive_speaker",
-            F.when((F.size("secondary") == 1) & (F.size("mapped") == 1), F.get("mapped", F.lit(0))).alias("sole"),
+            "meeting_id", F.col("start_ms").alias("_is"), F.col("end_ms").alias("_ie"), F.col("state").alias("_state"),
+            F.col("exclusive_speaker").alias("_exclusive"),
+            F.when((F.size("secondary") == 1) & (F.size("mapped") == 1), F.get("mapped", F.lit(0))).alias("_sole"),
             (F.size("regular") > 1).alias("_po"), (F.size("secondary") > 1).alias("_so"),
         ),
-        ["meeting_id"], (start, end), (F.col("_is"), F.col("_ie")),
-        (F.col("_is") < end) & (F.col("_ie") > start),
-    ).withColumn("ms", overlap_ms(start, end, F.col("_is"), F.col("_ie")))
+        (start, end), (F.col("_is"), F.col("_ie")),
+        (end > start) & (F.col("_is") < end) & (F.col("_ie") > start),
+    )
+    # What does not meet has no time and no label; a span that meets nothing stays a row.
+    met = joined.withColumns({
+        "_ms": F.when(match, overlap_ms(start, end, F.col("_is"), F.col("_ie"))), "_sole": F.when(match, F.col("_sole"))})
     plain = ["SILENCE", "PRIMARY_ONLY", "SECONDARY_ONLY", "UNMAPPED_SECONDARY"]
     agrees = F.coalesce(
-        (F.col("sole") == F.col("speaker_id")) & (F.col("exclusive_speaker") == F.col("speaker_id")),
+        (F.col("_sole") == F.col("speaker_id")) & (F.col("_exclusive") == F.col("speaker_id")),
         F.lit(False),
     )
-    is_plain = F.col("state").isin(*plain)
+    is_plain = F.col("_state").isin(*plain)
     parts: dict[str, Column] = {
         "agreement": ~is_plain & agrees,
         "disagreement": ~is_plain & ~agrees,
-        "primary_only": F.col("state") == "PRIMARY_ONLY",
-        "secondary_only": F.col("state") == "SECONDARY_ONLY",
-        "silence": F.col("state") == "SILENCE",
+        "primary_only": F.col("_state") == "PRIMARY_ONLY",
+        "secondary_only": F.col("_state") == "SECONDARY_ONLY",
+        "silence": F.col("_state") == "SILENCE",
         "primary_overlap": F.col("_po"),
         "secondary_overlap": F.col("_so"),
-        "overlap_agreement": F.col("state") == "OVERLAP_AGREE",
-        "unmapped": F.col("state") == "UNMAPPED_SECONDARY",
+        "overlap_agreement": F.col("_state") == "OVERLAP_AGREE",
+        "unmapped": F.col("_state") == "UNMAPPED_SECONDARY",
     }
-    key = ["meeting_id", *ids]
-    by_label = met.groupBy(*key, "sole").agg(
-        F.sum("ms").alias("label_ms"),
-        *[F.sum(F.when(test, F.col("ms")).otherwise(0)).alias(name) for name, test in parts.items()],
+    by_label = met.groupBy(*dealt, *ids, "_sole").agg(
+        F.first(F.struct(*rest)).alias("_rest"), F.sum("_ms").alias("_label_ms"),
+        *[F.sum(F.when(test, F.col("_ms")).otherwise(0)).alias(f"_sum_{name}") for name, test in parts.items()],
     )
-    summed = by_label.groupBy(*key).agg(
-        F.min(F.when(F.col("sole").isNotNull(), F.struct((-F.col("label_ms")).alias("m"), "sole")))["sole"]
+    out = by_label.groupBy(*dealt, *ids).agg(
+        F.first("_rest").alias("_rest"),
+        F.min(F.when(F.col("_sole").isNotNull(), F.struct((-F.col("_label_ms")).alias("m"), "_sole")))["_sole"]
         .alias("secondary_speaker"),
-        *[F.sum(name).alias(name) for name in parts],
-    )
-    out = spans.join(summed, key, "left")
+        *[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in parts],
+    ).select(*key, "_rest.*", "secondary_speaker", *[f"_sum_{name}" for name in parts])
     length = end - start
     for name in FRACTIONS:
-        share = F.least(F.lit(1.0), F.col(name) / length)
+        share = F.least(F.lit(1.0), F.col(f"_sum_{name}") / length)
         out = out.withColumn(f"{name}_fraction", F.coalesce(F.when(length > 0, share), F.lit(0.0)))
-    return out.drop(*FRACTIONS)
+    return out.drop(*[f"_sum_{name}" for name in FRACTIONS])
 
 
 def classify_reliability(rows: DataFrame, rules=ReliabilityRules()) -> DataFrame:
