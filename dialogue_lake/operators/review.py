@@ -63,14 +63,17 @@ def artifact_lookup(artifacts: DataFrame, allowed: DataFrame) -> DataFrame:
         "meeting_id", "kind", "file_name", "media_type", F.coalesce("_have", F.lit(False)).alias("ready"))
 
 
-def review_queue(utterances: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+def review_queue(utterances: DataFrame, parts: dict[str, DataFrame | None]) -> DataFrame:
     """Ordered union of review rows with the source time of the first cited utterance.
 
-    Every part has ``meeting_id, record_id, title, utterance_id`` (null when none).
+    Every part has ``meeting_id, record_id, title, utterance_id`` (null when none). A part
+    that is not asked for is None; the others keep their rank.
     """
     experimental = {"Semantic", "Coverage"}
     out = None
     for rank, (category, rows) in enumerate(parts.items(), 1):
+        if rows is None:
+            continue
         part = rows.select(
             "meeting_id", F.lit(rank).cast("bigint").alias("category_rank"), F.lit(category).alias("category"), "record_id", "title",
             "utterance_id", F.lit(category in experimental).alias("experimental"))

@@ -624,19 +624,31 @@ def _(v):
     return rv.artifact_lookup(v.calls.select("meeting_id", kind.alias("kind")), allowed).select("meeting_id", "kind", "ready")
 
 
-def review(v: Views):
+def review(v: Views, *categories: str):
+    """The review queue, or its rows of some categories: only those are computed."""
     first = lambda ids: F.get(ids, F.lit(0))
-    lost = va.items_without_evidence(v.items, v.utterances).join(v.items, ["meeting_id", "item_id"]).select(
-        "meeting_id", F.col("item_id").alias("record_id"), F.col("text").alias("title"), first("evidence_ids").alias("utterance_id"))
-    unsure = utterance_reliability(v).filter(F.col("status") == "UNCERTAIN").select(
-        "meeting_id", F.col("utterance_id").alias("record_id"), "status", "utterance_id").withColumnRenamed("status", "title")
-    from dialogue_lake.operators.audit import verification_status
 
-    doubtful = verification_status(v.answers).filter(F.col("status").isin("REVIEW", "UNSUPPORTED")).join(v.items, ["meeting_id", "item_id"]).select(
-        "meeting_id", F.col("item_id").alias("record_id"), F.col("text").alias("title"), first("evidence_ids").alias("utterance_id"))
-    missing = coverage_result(v).filter(F.col("status") == "missing").join(v.events, ["meeting_id", "event_id"]).select(
-        "meeting_id", F.col("event_id").alias("record_id"), F.col("text").alias("title"), "utterance_id")
-    return rv.review_queue(v.utterances, {"Evidence": lost, "Speaker": unsure, "Semantic": doubtful, "Coverage": missing})
+    def lost():
+        return va.items_without_evidence(v.items, v.utterances).join(v.items, ["meeting_id", "item_id"]).select(
+            "meeting_id", F.col("item_id").alias("record_id"), F.col("text").alias("title"), first("evidence_ids").alias("utterance_id"))
+
+    def unsure():
+        return utterance_reliability(v).filter(F.col("status") == "UNCERTAIN").select(
+            "meeting_id", F.col("utterance_id").alias("record_id"), "status", "utterance_id").withColumnRenamed("status", "title")
+
+    def doubtful():
+        from dialogue_lake.operators.audit import verification_status
+
+        return verification_status(v.answers).filter(F.col("status").isin("REVIEW", "UNSUPPORTED")).join(v.items, ["meeting_id", "item_id"]).select(
+            "meeting_id", F.col("item_id").alias("record_id"), F.col("text").alias("title"), first("evidence_ids").alias("utterance_id"))
+
+    def missing():
+        return coverage_result(v).filter(F.col("status") == "missing").join(v.events, ["meeting_id", "event_id"]).select(
+            "meeting_id", F.col("event_id").alias("record_id"), F.col("text").alias("title"), "utterance_id")
+
+    parts = {"Evidence": lost, "Speaker": unsure, "Semantic": doubtful, "Coverage": missing}
+    return rv.review_queue(v.utterances, {
+        name: build() if not categories or name in categories else None for name, build in parts.items()})
 
 
 REVIEW = """SELECT q.*, u.start_ms FROM (
@@ -655,7 +667,7 @@ def _(v):
 
 @query("c20_review_filter", f"SELECT meeting_id, record_id, utterance_id FROM ({REVIEW}) WHERE category = 'Semantic'")
 def _(v):
-    return review(v).filter(F.col("category") == "Semantic").select("meeting_id", "record_id", "utterance_id")
+    return review(v, "Semantic").select("meeting_id", "record_id", "utterance_id")
 
 
 @query("d27_missing_event_lookup", "SELECT meeting_id, event_id, text FROM v_cov JOIN v_ev USING (meeting_id, event_id) WHERE status = 'missing'")
