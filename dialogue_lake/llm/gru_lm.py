@@ -87,6 +87,30 @@ def initial(head_counts: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
     return flat
 
 
+class Model:
+    """What tasks need to make the weights: the counts behind the first ones, and how far each moved since.
+
+    The first weights are made anew from the counts, and moves are sent in half precision, so
+    a task is sent two bytes a weight, and none in the first round.
+    """
+
+    def __init__(self, head_counts: np.ndarray, tail_counts: np.ndarray, moved: np.ndarray | None = None):
+        self.head_counts, self.tail_counts, self.moved = head_counts, tail_counts, moved
+
+    def weights(self) -> np.ndarray:
+        flat = initial(self.head_counts, self.tail_counts)
+        return flat if self.moved is None else flat + self.moved.astype(np.float32)
+
+    def after(self, moves: dict[int, np.ndarray]) -> Model:
+        """The model whose weights moved on, by place of each stretch."""
+        moved = np.zeros(sum(int(np.prod(x)) for x in shapes(len(self.head_counts)).values()), np.float32)
+        if self.moved is not None:
+            moved += self.moved
+        for place, part in moves.items():
+            moved[place : place + len(part)] += part
+        return Model(self.head_counts, self.tail_counts, moved.astype(np.float16))
+
+
 class Vocabulary:
     """The most frequent words: sorted hashes with their counts and places by frequency."""
 
@@ -341,13 +365,14 @@ def log_space(tails: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.log(tails + 0.5 * (kinds + 1))
 
 
-def averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
-    """Each task learns from its texts starting at ``flat``; the weights' mean, by tokens walked.
+def averaged(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> Model:
+    """Each task learns from its texts starting at ``model``; the weights' mean, by tokens walked.
 
     Tasks send how far weights moved, in half precision; rows no task met are zeros and pack well.
     """
 
     def learn(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = model.weights()
         trainer, walked, left = Trainer(flat, vocabulary.head), 0, np.zeros(0, np.int32)
         for table in tables:
             stream = [left]
@@ -365,14 +390,11 @@ def averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.n
     def mean(found: pa.Table) -> pa.Table:
         weights = found["weight"].to_numpy()
         value = sum(w * np.frombuffer(x.as_py(), np.float16).astype(np.float64) for w, x in zip(weights, found["part"], strict=True)) / weights.sum()
-        return pa.table({"place": found["place"].slice(0, 1), "part": pa.array([value.astype(np.float32)], pa.list_(pa.float32()))})
+        return pa.table({"place": found["place"].slice(0, 1), "part": pa.array([value.astype(np.float16).tobytes()], pa.binary())})
 
     rows = texts.mapInArrow(learn, "place long, part binary, weight double").groupBy("place").applyInArrow(
-        mean, "place long, part array<float>").toArrow()  # the weights once
-    out = flat.copy()
-    for place, part in zip(rows["place"].to_pylist(), rows["part"], strict=True):
-        out[place : place + BLOCK] += part.values.to_numpy()
-    return out
+        mean, "place long, part binary").toArrow()  # the weights once
+    return model.after({place: np.frombuffer(part.as_py(), np.float16) for place, part in zip(rows["place"].to_pylist(), rows["part"], strict=True)})
 
 
 def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -391,14 +413,14 @@ def likelihoods(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     head = np.zeros(size)
     head[: min(size, len(counts))] = counts[:size]
     tails, kinds = rest_of_classes(table, top["tail"].to_numpy(int), counts, size)
-    flat = initial(head, tails)
+    model = Model(head, tails)
     part = F.pmod(F.xxhash64("key"), F.lit(8))
     for share in (part == 0, part != 0):
-        flat = averaged(train.filter(share).select("text"), vocabulary, flat)
+        model = averaged(train.filter(share).select("text"), vocabulary, model)
     shares = log_space(tails, kinds)
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpacked(flat, size)
+        w = unpacked(model.weights(), size)
         for batch in tables:
             n = batch.num_rows
             columns: list[list[np.ndarray]] = [[], [], [], []]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -237,6 +238,20 @@ def test_head_grows_with_the_counts_and_every_token_is_walked():
     assert (w["input"][1:8999] != gru_lm.unpacked(flat, head)["input"][1:8999]).any(axis=1).all()
 
 
+def test_tasks_are_sent_two_bytes_a_weight():
+    head, tails = np.ones(gru_lm.HEAD), np.ones(gru_lm.TAILS)
+    first = gru_lm.Model(head, tails)
+    flat = first.weights()
+    assert (flat == gru_lm.initial(head, tails)).all() and len(pickle.dumps(first)) < len(flat)
+    move = np.random.default_rng(2).standard_normal(len(flat)).astype(np.float16)
+    moved = first.after({at: move[at : at + 5000] for at in range(0, len(flat), 5000)})
+    assert (moved.weights() == flat + move.astype(np.float32)).all()
+    again = moved.after({5000: move[:3]})
+    assert again.weights()[5000:5003] == pytest.approx(moved.weights()[5000:5003] + move[:3].astype(np.float32), rel=2e-3, abs=2e-3)
+    assert (np.delete(again.weights(), range(5000, 5003)) == np.delete(moved.weights(), range(5000, 5003))).all()
+    assert len(pickle.dumps(again)) < 2 * len(flat) + 20_000
+
+
 def test_gradients_are_those_of_the_likelihood():
     flat = gru_lm.initial(np.ones(gru_lm.HEAD), np.ones(gru_lm.TAILS)).astype(np.float64)
     rng = np.random.default_rng(1)
