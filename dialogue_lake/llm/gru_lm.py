@@ -1,10 +1,11 @@
 """A gated recurrent language model with a class-factored output, and its unigram base.
 
 Counts of all training tokens come from one aggregation. The words counted ``RARE``
-times or more (head) have their own inputs and outputs, in classes by frequency whose number
-and width grow with them; every other word is known by a class that its last byte gives. The model's probability of a word is that of its class given the state times
+times or more (head) have their own inputs and outputs, in classes by frequency that are
+small for frequent words and wide for rare ones; every other word is known by a class that
+its last byte gives. The model's probability of a word is that of its class given the state times
 
-* a softmax over the class's words given the state, for head words, or
+* the decisions on its way down the class's binary tree given the state, for head words, or
 * its share of the class's counts, (c + 0.5) / (class count + 0.5 (class words + 1)), for
   all others, where an unseen word counts 0. Seen words and one unseen word sum to 1.
 
@@ -14,14 +15,15 @@ eighth of the documents, then over the others. Documents are scored in step, man
 time, with the state carried from window to window until each document's end.
 
 Counts of the ``LOCAL`` most frequent words go to every task, a fixed bound, which also bounds
-the head (weights and Adam's moments take about 1 KB a word in a task); the few other
+the head (weights take about 0.5 KB a word in a task); the few other
 tokens are joined to the table of counts. A missing text is empty: its one token is the
 end. Repeated rows are scored alike; with no training rows everything is unknown.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +33,28 @@ from pyspark.sql import functions as F
 from dialogue_lake.llm import textual as tx
 from dialogue_lake.llm.hashed_words import Words, blocks
 
-HIDDEN, HEAD, PER_CLASS, TAILS = 16, 1024, 32, 16
+HIDDEN, HEAD, TAILS = 16, 1024, 16
+#: Words of a class, a power of two, for places by frequency below a bound that it divides.
+WIDTHS = ((1 << 10, 32), (1 << 13, 512), (1 << 16, 4096), (1 << 62, 8192))
 LOCAL = 200_000
 #: Words counted less often have no weights of their own.
 RARE = 8
 END = 0
 END_HASH = np.int64(0x1E3779B97F4A7C15)
-LANES, STEPS, RATE = 512, 8, 0.004
+LANES, STEPS, RATE = 1024, 8, 0.016
+#: How much faster rows of words and nodes start to learn than the weights that all tokens share.
+ROWS = 10
+DENSE = ("state", "class", "class_bias")
 #: Weights a row when the tasks' weights are averaged.
 BLOCK = 1 << 16
 WINDOW_ROWS = 1 << 14
+#: Tokens whose class scores are made at once, so that they stay in a core's cache.
+TOGETHER = 1 << 10
 
 
 def per_class(head: int) -> int:
-    """Words of a class: about as many as there are classes."""
-    width = PER_CLASS
-    while width * width < head:
-        width *= 2
-    return width
+    """Words of the widest class."""
+    return next(width for bound, width in WIDTHS if head <= bound)
 
 
 def head_size(counts: np.ndarray) -> int:
@@ -57,12 +63,21 @@ def head_size(counts: np.ndarray) -> int:
     return -(-n // per_class(n)) * per_class(n)
 
 
+@cache
+def class_of(head: int) -> np.ndarray:
+    """The class of every place and, after them, of every tail."""
+    widths, at = [], 0
+    for bound, width in WIDTHS:
+        widths += [width] * ((min(head, bound) - at) // width)
+        at = min(head, bound)
+    return np.repeat(np.arange(len(widths) + TAILS, dtype=np.int32), [*widths, *[1] * TAILS])
+
+
 def shapes(head: int) -> dict[str, tuple[int, ...]]:
-    width = per_class(head)
-    classes = head // width
+    classes = int(class_of(head)[-1]) + 1
     return {
-        "input": (head + TAILS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "class": (HIDDEN, classes + TAILS),
-        "class_bias": (classes + TAILS,), "word": (classes, HIDDEN, width), "word_bias": (classes, width)}
+        "input": (head + TAILS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "class": (HIDDEN, classes),
+        "class_bias": (classes,), "node": (head, HIDDEN), "node_bias": (head,)}
 
 
 def unpacked(flat: np.ndarray, head: int = HEAD) -> dict[str, np.ndarray]:
@@ -79,11 +94,21 @@ def initial(head_counts: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(3)
     flat = (rng.standard_normal(sum(int(np.prod(s)) for s in shapes(len(head_counts)).values())) * 0.1).astype(np.float32)
     w = unpacked(flat, len(head_counts))
-    by_class = head_counts.reshape(w["word_bias"].shape) + 0.5
-    w["class_bias"][:] = np.log(np.concatenate([by_class.sum(axis=1), tail_counts + 0.5]))
-    w["word_bias"][:] = np.log(by_class)
+    own = head_counts + 0.5
+    w["class_bias"][:] = np.log(np.bincount(class_of(len(own)), np.concatenate([own, tail_counts + 0.5])))
+    at = 0
+    for bound, width in WIDTHS:
+        below = own[at:bound].reshape(-1, width)
+        # Nodes of a class's tree stand like those of a heap: 1 at the top, 2 k and 2 k + 1 below k.
+        bias = w["node_bias"][at:bound].reshape(-1, width)
+        bias[:, 0] = 0
+        for level in range(width.bit_length() - 2, -1, -1):
+            left, right = below[:, ::2], below[:, 1::2]
+            bias[:, 1 << level : 2 << level] = np.log(right / left)
+            below = left + right
+        at = bound
     w["class"][:] *= 0.1
-    w["word"][:] *= 0.1
+    w["node"][:] *= 0.1
     return flat
 
 
@@ -146,46 +171,93 @@ def step(w: dict[str, np.ndarray], tokens: np.ndarray, h: np.ndarray) -> tuple[n
     return n + z * (h - n), z, r, n, own
 
 
-def class_of(ids: np.ndarray, classes: int, width: int) -> np.ndarray:
-    head = classes * width
-    return np.where(ids < head, ids // width, classes + ids - head)
+def class_scores(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """e to the score of every class, less the largest of a row, and the sum of each row."""
+    scores = h @ w["class"]
+    scores += w["class_bias"]
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    return scores, scores.sum(axis=1)
+
+
+def paths(ids: np.ndarray, head: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By depth of the trees: which of ``ids`` are there, the node of each level above them, and the way taken (0 or 1)."""
+    at = 0
+    for bound, width in WIDTHS:
+        own = np.flatnonzero((ids >= at) & (ids < min(bound, head)))
+        if len(own):
+            place = ids[own].astype(np.intp)
+            code = (place & (width - 1)) + width
+            levels = np.arange(width.bit_length() - 1, 0, -1)[:, None]
+            yield own, (place - code + width) + (code >> levels), code >> (levels - 1) & 1
+        at = bound
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+def node_scores(w: dict[str, np.ndarray], h: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes' weights, and the score by level for going right at each, with a state for each column."""
+    value = w["node"].take(nodes, axis=0)
+    scores = w["node_bias"].take(nodes)
+    for level, x in enumerate(value):
+        scores[level] += np.einsum("nk,nk->n", x, h)
+    return value, scores
 
 
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each target's class and, for head words, of the word in it."""
-    n, _, width = w["word"].shape
-    classes, rows = class_of(ids, n, width), np.arange(len(ids))
-    logits = h @ w["class"] + w["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    out = logits[rows, classes] - np.log(np.exp(logits).sum(axis=1))
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(n + 1))
-    for c in range(n):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
-            logits = h[own] @ w["word"][c] + w["word_bias"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            out[own] += logits[np.arange(len(own)), ids[own] % width] - np.log(np.exp(logits).sum(axis=1))
+    """Natural logarithm of each target's class and, for head words, of the way to the word in it."""
+    head = len(w["node"])
+    classes = class_of(head)[ids]
+    out = np.empty(len(ids), h.dtype)
+    for at in range(0, len(ids), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        scores, total = class_scores(w, h[part])
+        out[part] = np.log(scores[np.arange(len(total)), classes[part]] / total)
+    for own, nodes, way in paths(ids, head):
+        scores = node_scores(w, h[own], nodes)[1]
+        np.negative(scores, out=scores, where=way > 0)
+        out[own] -= np.logaddexp(0, scores).sum(axis=0)
     return out
 
 
+class Sums:
+    """Adds up rows of equal places, of a table with ``size`` places, without sorting them."""
+
+    def __init__(self, size: int):
+        self.seen, self.number = np.zeros(size, bool), np.zeros(size, np.intp)
+
+    def __call__(self, places: np.ndarray, columns: Iterable[np.ndarray], out: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct places in order and, for each, its sum of every column."""
+        self.seen[places] = True
+        found = np.flatnonzero(self.seen)
+        self.seen[found] = False
+        self.number[found] = np.arange(len(found))
+        local = self.number[places]
+        return found, np.stack([np.bincount(local, x, len(found)) for x in columns], axis=1).astype(out)
+
+
 class Trainer:
-    """Adam over windows of ``STEPS`` tokens in many lanes; states flow on, gradients don't.
+    """Windows of ``STEPS`` tokens in many lanes; states flow on, gradients don't.
 
-    Rows of words and classes that a window does not hold stay as they are.
+    Weights that all tokens share learn by Adam. A word's or a node's row learns at a pace that
+    falls with the squares of all its own gradients; rows that a window does not meet stay as they are.
     """
 
     def __init__(self, flat: np.ndarray, head: int = HEAD, rate: float = RATE):
         self.flat, self.rate, self.turn = flat.copy(), rate, 0
-        self.first, self.second = np.zeros_like(flat), np.zeros_like(flat)
-        self.grad = np.zeros_like(flat)
-        self.w, self.g, self.m, self.v = (unpacked(x, head) for x in (self.flat, self.grad, self.first, self.second))
-        self.touched: dict[str, np.ndarray] = {}
+        self.w = unpacked(self.flat, head)
+        self.first, self.second = ({n: np.zeros_like(self.w[n]) for n in DENSE} for _ in range(2))
+        self.squares = {n: np.zeros(len(x), flat.dtype) for n, x in self.w.items() if n not in DENSE}
+        self.inputs, self.nodes = Sums(head + TAILS), Sums(head)
+        #: The last window's gradients: what rows of each table it met, and theirs.
+        self.slopes: dict[str, tuple[np.ndarray | slice, np.ndarray]] = {}
+
+    @property
+    def grad(self) -> np.ndarray:
+        """The last window's gradients, with a zero for every weight that it did not meet."""
+        out = np.zeros_like(self.flat)
+        tables = unpacked(out, len(self.w["node"]))
+        for name, (at, slope) in self.slopes.items():
+            tables[name][at] = slope
+        return out
 
     def learn(self, stream: np.ndarray, lanes: int = 0) -> np.ndarray:
         """One walk through a stream of token ids; END ends a document and resets the state.
@@ -210,9 +282,8 @@ class Trainer:
             stream = self.learn(stream, max(1, (len(stream) - 1) // STEPS))
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> np.ndarray:
-        w, g = self.w, self.g
-        for name, x in g.items():
-            x[self.touched.get(name, slice(None))] = 0
+        w, every = self.w, slice(None)
+        g = {name: np.zeros_like(w[name]) for name in DENSE}
         trace, states = [], []
         for t in range(inputs.shape[1]):
             going = (inputs[:, t] != END)[:, None].astype(np.float32)
@@ -221,25 +292,29 @@ class Trainer:
             trace.append((before, z, r, n, own, going))
             states.append(h)
         flat, ids = np.concatenate(states), targets.T.ravel()
-        count, _, width = w["word"].shape
-        classes, scale = class_of(ids, count, width), np.float32(1 / len(ids))
-        p = softmax(flat @ w["class"] + w["class_bias"])
-        p[np.arange(len(ids)), classes] -= 1
-        p *= scale
-        g["class"] += flat.T @ p
-        g["class_bias"] += p.sum(axis=0)
-        back = p @ w["class"].T
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(count + 1))
-        for c in range(count):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                p = softmax(flat[own] @ w["word"][c] + w["word_bias"][c])
-                p[np.arange(len(own)), ids[own] % width] -= 1
-                p *= scale
-                g["word"][c] += flat[own].T @ p
-                g["word_bias"][c] += p.sum(axis=0)
-                back[own] += p @ w["word"][c].T
+        head, scale = len(w["node"]), np.float32(1 / len(ids))
+        classes, back = class_of(head)[ids], np.empty_like(flat)
+        for at in range(0, len(ids), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            p, total = class_scores(w, flat[part])
+            p *= (scale / total)[:, None]
+            p[np.arange(len(total)), classes[part]] -= scale
+            g["class"] += flat[part].T @ p
+            g["class_bias"] += p.sum(axis=0)
+            back[part] = p @ w["class"].T
+        met, sums = [np.zeros(0, np.intp)], [np.zeros((0, HIDDEN + 1), flat.dtype)]
+        for own, nodes, way in paths(ids, head):
+            state = flat[own]
+            value, slope = node_scores(w, state, nodes)
+            slope = (sigmoid(slope) - way) * scale
+            value *= slope[:, :, None]
+            back[own] += value.sum(axis=0)
+            wide = slope.astype(float)
+            found, total = self.nodes(nodes.ravel(), [*((wide * x).ravel() for x in np.ascontiguousarray(state.T, float)), wide.ravel()], flat.dtype)
+            met.append(found)
+            sums.append(total)
+        found, total = np.concatenate(met), np.concatenate(sums)
+        self.slopes = {"node": (found, total[:, :HIDDEN]), "node_bias": (found, total[:, HIDDEN])}
         back = back.reshape(inputs.shape[1], -1, HIDDEN)
         dh = np.zeros_like(h)
         steps = np.zeros((inputs.shape[1], len(h), 3 * HIDDEN), np.float32)
@@ -253,24 +328,24 @@ class Trainer:
             da = np.concatenate([dz, dr, dn * r], axis=1)
             g["state"] += before.T @ da
             dh = (dh * z + da @ w["state"].T) * going
-        # Gradients of equal inputs are summed over sorted rows.
-        seen = inputs.T.ravel()
-        order = np.argsort(seen, kind="stable")
-        found, begin = np.unique(seen[order], return_index=True)
-        g["input"][found] += np.add.reduceat(steps.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
-        held = np.flatnonzero(np.diff(edges))
-        self.touched = {"input": found, "word": held, "word_bias": held}
-        rows = {name: self.touched.get(name, slice(None)) for name in g}
-        norm = float(np.sqrt(sum((g[name][at] ** 2).sum() for name, at in rows.items())))
+        columns = np.ascontiguousarray(steps.reshape(-1, 3 * HIDDEN).T, float)
+        self.slopes["input"] = self.inputs(inputs.T.ravel(), columns, flat.dtype)
+        self.slopes |= {name: (every, slope) for name, slope in g.items()}
+        flats = {name: slope.reshape(len(slope), slope[0].size if len(slope) else 1) for name, (_, slope) in self.slopes.items()}
+        squares = {name: np.einsum("nk,nk->n", x, x) for name, x in flats.items()}
+        scale = 1 / max(float(np.sqrt(sum(x.sum() for x in squares.values()))), 1)
         self.turn += 1
         size = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-        for name, at in rows.items():
-            slope = g[name][at] / np.float32(max(norm, 1))
-            first, second = self.m[name][at], self.v[name][at]
-            first = first + np.float32(0.1) * (slope - first)
-            second = second + np.float32(0.01) * (slope**2 - second)
-            self.m[name][at], self.v[name][at] = first, second
-            w[name][at] -= (size * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
+        for name, (at, slope) in self.slopes.items():
+            if name in DENSE:
+                first, second = self.first[name], self.second[name]
+                first += 0.1 * (slope * scale - first)
+                second += 0.01 * ((slope * scale) ** 2 - second)
+                w[name] -= size * first / (np.sqrt(second) + 1e-8)
+            else:
+                self.squares[name][at] = total = self.squares[name][at] + squares[name] * (scale**2 / flats[name].shape[1])
+                pace = (ROWS * self.rate * scale / np.sqrt(total + 1e-20)).astype(slope.dtype)
+                w[name][at] -= (slope.T * pace).T
         return h
 
 

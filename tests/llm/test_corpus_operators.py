@@ -275,6 +275,26 @@ def test_gradients_are_those_of_the_likelihood():
         assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(grad[place], rel=0.02, abs=1e-5)
 
 
+def test_chances_sum_to_one_and_a_window_meets_few_rows():
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(gru_lm.RARE, 5000, 70_000))[::-1].astype(float)
+    head = gru_lm.head_size(counts)
+    counts, tails = np.concatenate([counts, np.zeros(head - len(counts))]), rng.integers(1, 99, gru_lm.TAILS).astype(float)
+    flat, every = gru_lm.initial(counts, tails), np.arange(head + gru_lm.TAILS)
+    shares = np.concatenate([counts, tails]) + 0.5
+    still = gru_lm.log_probabilities(gru_lm.unpacked(flat, head), np.zeros((len(every), gru_lm.HIDDEN), np.float32), every)
+    assert np.exp(still) == pytest.approx(shares / shares.sum(), rel=1e-3)
+    trainer = gru_lm.Trainer(flat, head)
+    inputs, targets = rng.integers(0, head + gru_lm.TAILS, (2, 16, 5))
+    for _ in range(3):
+        h = trainer.window(inputs, targets, np.zeros((16, gru_lm.HIDDEN), np.float32))
+    for state in h[:3]:
+        moved = gru_lm.log_probabilities(trainer.w, np.tile(state, (len(every), 1)), every)
+        assert np.exp(moved.astype(float)).sum() == pytest.approx(1, abs=1e-3) and moved != pytest.approx(still)
+    # Of 70,000 words a window moves the nodes above its own only, not whole classes.
+    assert 16 < (trainer.w["node"] != gru_lm.unpacked(flat, head)["node"]).any(axis=1).sum() <= 13 * targets.size
+
+
 def test_marginals_are_those_of_all_labelings():
     rng = np.random.default_rng(3)
     good, ties, starts = rng.standard_normal(7), rng.standard_normal((2, 2)), np.asarray([0, 4, 5, 7])
