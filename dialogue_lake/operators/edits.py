@@ -44,16 +44,18 @@ def edit_verdicts(records: DataFrame) -> DataFrame:
 
     Needs ``observed, replacement, text, char_start, char_end, match_type, scope, category,
     domain, lexical, phonetic, semantic`` and ``candidate_names`` (canonicals listed for
-    the record, each as ``comparable`` writes it).
+    the record, each as ``comparable`` writes it). No token of a signature has a blank in it,
+    so only the words that the span touches can tell the text's signature from the edited one's.
     """
     source, target, text = F.col("observed"), F.col("replacement"), F.col("text")
-    edited = F.concat(
-        F.substr(text, F.lit(1), F.col("char_start").cast("int")), target,
-        F.substr(text, (F.col("char_end") + 1).cast("int")))
+    before = F.substring_index(F.substr(text, F.lit(1), F.col("char_start").cast("int")), " ", -1)
+    after = F.substring_index(F.substr(text, (F.col("char_end") + 1).cast("int")), " ", 1)
+    inside = F.substr(text, (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
+    said, edited = F.concat(before, inside, after), F.concat(before, target, after)
     rows = records.withColumns({
         "_s": tx.comparable(source), "_t": tx.comparable(target),
         "_changed": (tx.protected_signature(source) != tx.protected_signature(target))
-        | (tx.protected_signature(text) != tx.protected_signature(edited)),
+        | (tx.protected_signature(said) != tx.protected_signature(edited)),
     })
     words = lambda c: F.size(tx.words_of(c))
     acronym = lambda c: c.rlike("^[A-Z][A-Z0-9]{1,9}$")

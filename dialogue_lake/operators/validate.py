@@ -135,7 +135,8 @@ def edit_replay(refined: DataFrame, log: DataFrame) -> DataFrame:
     spans = log.filter(F.col("status") == "applied").groupBy("meeting_id", "utt_idx").agg(F.collect_list(span).alias("_spans"))
     rows = refined.join(spans, ["meeting_id", "utt_idx"], "left")
     again = F.when(F.col("_spans").isNotNull(), tx.apply_replacements(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    kept = tx.protected_signature(F.col("text")) == tx.protected_signature(F.col("refined_text"))
+    same = F.col("text") == F.col("refined_text")
+    kept = same | (tx.protected_signature(F.col("text")) == tx.protected_signature(F.col("refined_text")))
     return rows.withColumns({"_again": again, "_kept": kept}).groupBy("meeting_id").agg(
         F.count(F.lit(1)).alias("utterances"), F.count_if(F.col("_again") == F.col("refined_text")).alias("replayed"),
         F.count_if("_kept").alias("signature_kept"))
